@@ -4,15 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lyceum.llm import mixing, sharding, url_filter
+from lyceum.llm import chroma, fingerprint, langid, minhash_dedup, mixing, packing, pii, quality, sharding, url_filter
 from lyceum.session import prepare, table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return minhash_dedup.near_duplicates(table(prepare(spark), sf_dir, "documents"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document from weak labels."""
+    return quality.classify(table(prepare(spark), sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in a tree of 40 shards, law `key`."""
     return sharding.shard_rows(table(prepare(spark), sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in sequences of 2048."""
+    return packing.pack(table(prepare(spark), sf_dir, "documents"))
+
+
+def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as a recording, with its fingerprint and the query that aligns best with it."""
+    return chroma.match_recordings(chroma.recordings(table(prepare(spark), sf_dir, "embeddings")))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL, by rules and by the list of syndicated URLs."""
     pages = table(prepare(spark), sf_dir, "pages")
@@ -24,7 +44,28 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(prepare(spark), sf_dir, "documents")).drop("source", "start", "key")
 
 
-QUERIES = {f.__name__: f for f in (op3_sharding, op6_url_filter, op7_mixing)}
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text."""
+    return pii.personal_data(table(prepare(spark), sf_dir, "documents"))
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text."""
+    return fingerprint.fingerprint_rows(table(prepare(spark), sf_dir, "documents"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text."""
+    return langid.identify(table(prepare(spark), sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_near_duplicates, op2_quality, op3_sharding, op4_packing, op5_chroma,
+        op6_url_filter, op7_mixing, op8_personal_data, op9_fingerprint, op10_language,
+    )
+}
 
 ORACLE = {
     "op6_url_filter": r"""
