@@ -32,6 +32,7 @@ class Part:
     words: np.ndarray
     tails: np.ndarray
     first: np.ndarray
+    shape: np.ndarray  # [text, repeats, stale lines, symbols, capitals]
 
 
 def _vote(bad: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -82,9 +83,9 @@ def _parts(column: pa.Array) -> Iterator[Part]:
         each = (
             _vote(symbols > 0.03 * size, symbols == 0), _vote(upper > 0.5 * cased, upper < 0.15 * cased), _vote(repeats > 0.2, repeats < 0.05),
             _vote((n >= 50) & (variety < 0.4), (n >= 50) & (variety > 0.6)), _vote((lines >= 4) & (fresh < 0.6), (lines >= 2) & (fresh == 1)),
-            _vote(marks > 0.2 * some, np.zeros(len(n), bool)), _vote(letters < 0.7, letters > 0.78), _vote(n < 5, n >= 30),
+            _vote(marks > 0.2 * some, np.zeros(len(n), bool)), _vote(letters < 0.7, letters > 0.78), _vote(n < 1, n >= 30),
         )
-        yield Part(sum(v.astype(np.int64) * 3**k for k, v in enumerate(each)), words, tails, first)
+        yield Part(sum(v.astype(np.int64) * 3**k for k, v in enumerate(each)), words, tails, first, np.stack([repeats, 1 - fresh, 10 * symbols / size, upper / cased], axis=1))
 
 
 def votes(docs: DataFrame) -> DataFrame:
@@ -135,12 +136,15 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> Labe
 
 
 def _features(part: Part) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bin, value) of the hashed words and word ends; the values of a text add up to 2."""
+    """(text, bin, value) of the hashed words and word ends, whose values add up to 2 in a text, and of its shape."""
     n = np.diff(part.first)
     text = np.repeat(np.arange(len(n)), n)
     value = 1.0 / np.maximum(n, 1)[text]
     bins = [(mix64(h + np.uint64(salt)) & np.uint64(BINS - 1)).astype(np.int64) for salt, h in ((1, part.words), (2, part.tails))]
-    return np.concatenate([text, text]), np.concatenate(bins), np.concatenate([value, value])
+    rows, kinds = part.shape.shape
+    at = np.tile(np.arange(rows), kinds)
+    names = np.repeat((mix64(np.arange(kinds, dtype=np.uint64) + np.uint64(1)) & np.uint64(BINS - 1)).astype(np.int64), rows)
+    return np.concatenate([text, text, at]), np.concatenate([*bins, names]), np.concatenate([value, value, part.shape.T.ravel()])
 
 
 @dataclass
