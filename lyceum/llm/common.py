@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised pass handles; longer single texts form a pass of their own.
 PASS_BYTES = 1 << 20
@@ -24,11 +24,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names; a folder of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is set."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lyceum-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

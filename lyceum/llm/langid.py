@@ -199,3 +199,30 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 def identify(docs: DataFrame) -> DataFrame:
     """Fit on the training rows, and predict every row."""
     return predict(docs, fit(docs))
+
+
+def known(docs: DataFrame, most_bits: float = 8.0) -> DataFrame:
+    """Rows in a learned language, with the predicted language where `lang` is null; other columns stay.
+
+    A text is rejected if it is `und`, or if even its best language needs more than `most_bits` bits
+    a byte, as many as no model at all. Where nothing could be learned, texts with a letter stay.
+    """
+    model = fit(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            column = batch.column("text")
+            raw, offsets = text_buffer(column)
+            keep = np.array([bool(_LETTER.search(t)) if (t := x.as_py()) else False for x in column], bool)
+            cols = {c: batch.column(c) for c in names}
+            if m.langs and batch.num_rows:
+                bits = code_lengths(m, raw, offsets)
+                keep &= bits.min(axis=1) <= most_bits * np.diff(offsets)
+                best = bits.argmin(axis=1)
+                cols["lang"] = pa.array([m.langs[b] if x is None else x for b, x in zip(best, cols["lang"].to_pylist(), strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols)).filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lyceum.llm.common import saved
 
@@ -76,4 +80,50 @@ def mix(docs: DataFrame) -> DataFrame:
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    return joined.withColumn("start", start).select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), "start", "key")
+    return joined.withColumn("start", start).select(
+        "doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), "start", "key", whole.cast("long").alias("whole"), rest.cast("long").alias("rest")
+    )
+
+
+def cuts(docs: DataFrame) -> DataFrame:
+    """One row a source: whole epochs, the key of the document at which the last epoch is cut, and the words taken of that one."""
+    last = F.min(F.when(F.col("start") + F.col("size") > F.col("rest"), F.struct("key", (F.col("rest") - F.col("start")).alias("words"))))
+    rows = mix(docs).groupBy("source").agg(F.max("whole").alias("whole"), last.alias("last"))
+    return rows.select("source", "whole", F.col("last.key").alias("cut_key"), F.col("last.words").alias("words"))
+
+
+@F.pandas_udf(StringType())
+def _first_words(texts: pd.Series, words: pd.Series) -> pd.Series:
+    """The beginning of each text up to its n-th word; null texts stay null."""
+    word = re.compile(WORD)
+
+    def cut(text: str | None, n: float) -> str | None:
+        end = 0
+        if text is not None:
+            for _, m in zip(range(int(n)), word.finditer(text)):
+                end = m.end()
+        return None if text is None else text[:end]
+
+    return pd.Series([cut(t, n) for t, n in zip(texts, words)], dtype=object)
+
+
+def materialised(docs: DataFrame) -> DataFrame:
+    """The mix as rows: a row for every whole copy that is taken, and the first words of the document at a source's cut.
+
+    A document lies before the cut, at it or after it by its hash key alone, so the texts meet only
+    a table of one row a source and are not shuffled. All columns stay, with `n_chars` counted anew
+    for the cut ones. Documents without words are not taken. Repeated rows at a cut are cut alike.
+    """
+    edges = saved(cuts(docs))
+    rows = docs.select(F.struct("*").alias("row"), hash_key(F.col("doc_id")).alias("key"), F.col("source"))
+    both = rows.alias("r").join(edges.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")))
+    part = F.when(F.col("key") == F.col("cut_key"), F.col("words")).otherwise(0)
+    full = F.col("whole") + F.when(F.col("key") < F.col("cut_key"), 1).otherwise(0)
+    both = both.select("row", part.cast("long").alias("part"), full.cast("long").alias("full")).where(F.coalesce(F.col("row.text").rlike(WORD), F.lit(False)) & ((F.col("part") > 0) | (F.col("full") > 0)))
+    both = both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("full") + F.when(F.col("part") > 0, 1).otherwise(0))))
+    cut = F.col("copy") > F.col("full")
+    both = both.withColumn("short", _first_words(F.when(cut, F.col("row.text")), F.col("part")))
+    new = {"text": F.when(cut, F.col("short")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.length("short")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return both.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

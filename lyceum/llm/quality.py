@@ -101,7 +101,7 @@ def votes(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class LabelModel:
-    """Share of good documents, and for each labeller the chance of each vote in bad and good ones."""
+    """Share of good documents, and for each labeller the chance of each vote in bad and good ones, given that it votes."""
 
     prior: float
     table: np.ndarray  # [labeller, class, vote]
@@ -114,11 +114,10 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -60, 60)))
 
     def accuracy(self) -> dict[str, float]:
-        """Estimated share of right votes of each labeller among those it casts."""
+        """Estimated share of right votes of each labeller among those it casts, at the classes' shares."""
         share = np.array([1 - self.prior, self.prior])
         right = share[0] * self.table[:, 0, 0] + share[1] * self.table[:, 1, 2]
-        cast = (share[None, :, None] * self.table[:, :, [0, 2]]).sum((1, 2))
-        return dict(zip(LABELLERS, (right / np.maximum(cast, 1e-12)).tolist(), strict=True))
+        return dict(zip(LABELLERS, right.tolist(), strict=True))
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> LabelModel:
@@ -130,7 +129,10 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> Labe
         weight = np.stack([counts * (1 - good), counts * good])
         total = weight.sum(1)
         table = np.stack([[[weight[c][digits[:, k] == v].sum() for v in range(3)] for c in range(2)] for k in range(len(LABELLERS))])
-        model = LabelModel(float(np.clip((total[1] + 1) / (total.sum() + 2), 0.01, 0.99)), (table + 0.5) / (total[None, :, None] + 1.5))
+        cast = table[:, :, [0, 2]].sum(2, keepdims=True)
+        table = (table + 0.5) / (cast + 1)
+        table[:, :, 1] = 1  # an abstention says nothing
+        model = LabelModel(float(np.clip((total[1] + 1) / (total.sum() + 2), 0.01, 0.99)), table)
         good = model.posterior(patterns)
     return model
 
