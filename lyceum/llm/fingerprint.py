@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.common import mix64, saved, window_hashes
+from lyceum.llm.common import mix64, window_hashes
 
 #: Bytes of a shingle (a shorter text is one shingle), bins, stored bits of a bin (at most 8).
 WIDTH, BINS, LOW_BITS = 12, 256, 8
 #: Rows that a range of ids holds on average.
 RANGE_ROWS = 2_000
+#: Sampled ids for each range.
+SAMPLE = 20
 
 _BIN_SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 _PIECE = 1 << 19
@@ -88,15 +90,18 @@ def edited(text: str, following: str) -> str:
 def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
     """Rows with `part`, a range of descending ids; the first row of each range is repeated at the end of the range before it.
 
-    The limits are ids of the table: an approximate quantile for each range, some hundred bytes
-    for a million rows. Rows without an id come last.
+    The limits are ids of the table, even steps through a sample of about SAMPLE ids for each
+    range that is drawn by hash, so the same on every run. Rows without an id come last.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     rows = docs.select("doc_id", "text", key.alias("key"))
     n, top = rows.agg(F.count("*"), F.max("key")).first()
     count = max(1, n // RANGE_ROWS)
-    shares = F.array(*[F.lit(i / count) for i in range(1, count)]) if count > 1 else None
-    limits = sorted(set(rows.agg(F.expr("approx_percentile(key, array(" + ",".join(f"{i / count!r}D" for i in range(1, count)) + "), 20000)")).first()[0]) - {top}, reverse=True) if shares is not None else []
+    limits: list[int] = []
+    if count > 1:
+        place = F.shiftrightunsigned(F.xxhash64("key"), 11) / F.lit(float(1 << 53))
+        sample = sorted(r["key"] for r in rows.where(place < SAMPLE * count / n).select("key").distinct().collect())
+        limits = sorted({sample[k * len(sample) // count] for k in range(1, count)} - {top}, reverse=True) if sample else []
     bounds = docs.sparkSession.sparkContext.broadcast(np.array(limits, np.int64)[::-1].copy())
     parts = len(limits) + 1
 
