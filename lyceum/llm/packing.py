@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import base64
 import json
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -144,18 +142,23 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 8 else pa.binary()) for k, c in enumerate(columns)], _FIELDS)
 
 
-def _merge_group(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["source", "place"])
-    level, group = int(rows["level"].iloc[0]), int(rows["to"].iloc[0])
+def _at(batch: pa.RecordBatch, place: int) -> pa.RecordBatch:
+    return batch.append_column("at", pa.array(np.full(batch.num_rows, place, np.int64)))
+
+
+def _left_over(table: pa.Table) -> Iterator[tuple[int | None, int, np.ndarray, int]]:
+    """(doc_id, start, ids, doc_tokens) of pieces left over, in order."""
+    for r in table.select(["doc_id", "start", "ids", "doc_tokens"]).to_pylist():
+        yield r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"]
+
+
+def _merge_group(table: pa.Table) -> pa.Table:
+    table = table.sort_by([("source", "ascending"), ("place", "ascending")])
+    level, group = table.column("level")[0].as_py(), table.column("to")[0].as_py()
     packer = Packer((level << 56) | (group << 24), 1)
-    for doc_id, start, total, ids in zip(rows["doc_id"], rows["start"], rows["doc_tokens"], rows["ids"], strict=True):
-        packer.open.append((0, [(None if pd.isna(doc_id) else int(doc_id), int(start), np.frombuffer(ids, "<u4"), int(total))]))
+    packer.open = [(0, [piece]) for piece in _left_over(table)]
     rest = packer.close()
-    out = pd.DataFrame(_rows(packer.done, rest), columns=_FIELDS)
-    for c in _FIELDS[:8]:
-        out[c] = out[c].astype("Int64")
-    out["at"] = group
-    return out
+    return pa.Table.from_batches([_at(_batch(_rows(packer.done, rest)), group)])
 
 
 def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -180,9 +183,6 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
         rest = packer.close()
         yield _at(_batch(_rows(packer.done, rest)), part)
 
-    def _at(batch: pa.RecordBatch, part: int) -> pa.RecordBatch:
-        return batch.append_column("at", pa.array(np.full(batch.num_rows, part, np.int64)))
-
     state = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA + ", at long"))
     out, level = state.where("sequence_id is not null"), 0
     left = state.where("sequence_id is null")
@@ -194,35 +194,29 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
             break
         level += 1
         numbered = left.withColumn("source", F.col("at")).withColumn("to", F.floor(F.col("at") / MERGE)).withColumn("level", F.lit(level))
-        state = saved(numbered.drop("at", "sequence_id", "offset", "ids_crc32", "length").groupBy("to").applyInPandas(_merge_group, _SCHEMA + ", at long"))
+        state = saved(numbered.drop("at", "sequence_id", "offset", "ids_crc32", "length").groupBy("to").applyInArrow(_merge_group, _SCHEMA + ", at long"))
         out = out.unionByName(state.where("sequence_id is not null"))
         left = state.where("sequence_id is null")
-    out = out.unionByName(left.mapInPandas(_final, _SCHEMA + ", at long")) if level else out
+    out = out.unionByName(left.mapInArrow(_final, _SCHEMA + ", at long")) if level else out
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-def _final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The one leftover, less than a sequence, as sequences whose lengths are powers of two."""
-    rows = [x for x in batches if len(x)]
-    if not rows:
+    held = [x for x in batches if x.num_rows]
+    if not held:
         return
-    rows = pd.concat(rows).sort_values("place")
-    packer = Packer(1 << 62)
-    room = 0
-    total = int(rows["length"].sum())
+    table = pa.Table.from_batches(held).sort_by("place")
+    packer, room = Packer(1 << 62), 0
+    total = sum(table.column("length").to_pylist())
     pieces: list[tuple] = []
-    for doc_id, start, tokens, raw in zip(rows["doc_id"], rows["start"], rows["doc_tokens"], rows["ids"], strict=True):
-        ids, start = np.frombuffer(raw, "<u4"), int(start)
+    for doc_id, start, ids, tokens in _left_over(table):
         while len(ids):
             room = room or 1 << (total.bit_length() - 1)
             head, ids = ids[:room], ids[room:]
-            pieces.append((None if pd.isna(doc_id) else int(doc_id), start, head, int(tokens)))
+            pieces.append((doc_id, start, head, tokens))
             start, room, total = start + len(head), room - len(head), total - len(head)
             if not room:
                 packer.emit(pieces)
                 pieces = []
-    out = pd.DataFrame(_rows(packer.done, pieces), columns=_FIELDS)
-    for c in _FIELDS[:8]:
-        out[c] = out[c].astype("Int64")
-    out["at"] = 0
-    yield out
+    yield _at(_batch(_rows(packer.done, pieces)), 0)
