@@ -98,16 +98,11 @@ class Packer:
             self.emit([(doc_id, start, ids[:LENGTH], total)])
             ids, start = ids[LENGTH:], start + LENGTH
         while len(ids):
-            fits = [w for w in self.open if w[0] >= len(ids)]
-            if fits:
-                window = min(fits, key=lambda w: w[0])
-            elif len(self.open) < self.windows:
-                window = (LENGTH, [])
-                self.open.append(window)
-            else:
-                window = min(self.open, key=lambda w: w[0])
-            self.open.remove(window)
-            room, pieces = window
+            fits = [k for k, w in enumerate(self.open) if w[0] >= len(ids)]
+            if not fits and len(self.open) < self.windows:
+                self.open.append((LENGTH, []))
+                fits = [len(self.open) - 1]
+            room, pieces = self.open.pop(min(fits or range(len(self.open)), key=lambda k: self.open[k][0]))
             head, ids = ids[:room], ids[room:]
             pieces.append((doc_id, start, head, total))
             start += len(head)
