@@ -5,8 +5,9 @@ bijection of the ring, and signature coordinate k is the least image after a shi
 with equal shingle sets are one class. Classes that share a band are tied to the least and the
 greatest class of that band (a star, so a band of m classes makes 2m candidates, not m*m). Links are
 confirmed on full sets. Where a band still holds several components, its classes are compared by
-their sketches, block by block, and only pairs of different components that could reach the
-threshold are confirmed on full sets as well: no bucket is capped and no candidate is dropped.
+their sketches, block by block; those that could reach the threshold with one of another component
+are compared on full sets, within their blocks as well: no bucket is capped, no candidate is
+dropped, and only links leave these comparisons.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SKETCH_AGREE = 72
 PERCENT = 75
 #: Rows of one block of a bucket in the comparison of sketches.
 BLOCK = 1024
+#: Shingles that one run of a group's rows holds in the comparison of full sets.
+RUN = 1_000_000
 
 _COORDS = BANDS * ROWS
 _SHIFT = np.arange(_COORDS, dtype=np.uint32)[:, None]
@@ -110,38 +113,8 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
-def _pairs_of(groups: np.ndarray, rows: dict[str, np.ndarray], sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one group, of different components and compatible sizes, whose sketches agree; rows lie by group and size."""
-    n, comp, side = rows["n"], rows["comp"], rows["side"]
-    alive, d = np.arange(len(groups)), 1
-    while True:
-        alive = alive[alive + d < len(groups)]
-        other = alive + d
-        ok = (groups[alive] == groups[other]) & (100 * n[alive] >= PERCENT * n[other])
-        alive, other = alive[ok], other[ok]
-        if not len(alive):
-            return
-        test = (comp[alive] != comp[other]) & ((side[alive] != side[other]) | (side[alive] < 0))
-        x, y = alive[test], other[test]
-        for k in range(0, len(x), 4096):
-            i, j = x[k : k + 4096], y[k : k + 4096]
-            hit = (sketches[i] == sketches[j]).sum(axis=1) >= SKETCH_AGREE
-            if hit.any():
-                yield rows["node"][i[hit]], rows["node"][j[hit]]
-        d += 1
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of sorted rows (bkey, i, j, side, n, node, comp, sketch); a group that a batch cuts is finished with the next."""
-
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        cols = {c: t.column(c).to_numpy() for c in ("bkey", "i", "j", "side", "n", "node", "comp")}
-        change = np.zeros(t.num_rows, np.int64)
-        change[1:] = (np.diff(cols["bkey"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)
-        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, _COORDS)
-        for x, y in _pairs_of(np.cumsum(change), cols, sketches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups (bkey, i, j) of sorted rows; a group that a batch cuts is finished with the next."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
@@ -149,13 +122,95 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(batch)
         t = pa.Table.from_batches(held)
         keys = [t.column(c).to_numpy() for c in ("bkey", "i", "j")]
-        last = np.flatnonzero((keys[0] != keys[0][-1]) | (keys[1] != keys[1][-1]) | (keys[2] != keys[2][-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0
+        other = np.flatnonzero((keys[0] != keys[0][-1]) | (keys[1] != keys[1][-1]) | (keys[2] != keys[2][-1]))
+        cut = int(other[-1]) + 1 if len(other) else 0
         if cut:
-            yield from pairs(t.slice(0, cut))
+            yield t.slice(0, cut)
         held = t.slice(cut).combine_chunks().to_batches()
     if held:
-        yield from pairs(pa.Table.from_batches(held))
+        yield pa.Table.from_batches(held)
+
+
+def _numbered(t: pa.Table) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The number of each row's group, and the columns that pairs are chosen by."""
+    cols = {c: t.column(c).to_numpy() for c in ("bkey", "i", "j", "side", "n", "node", "comp")}
+    change = np.zeros(t.num_rows, np.int64)
+    change[1:] = (np.diff(cols["bkey"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)
+    return np.cumsum(change), cols
+
+
+def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes that have, in one of their groups, a row of another component and of compatible size whose sketch agrees."""
+    for t in _groups(batches):
+        group, c = _numbered(t)
+        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, _COORDS)
+        found, alive, d = np.zeros(len(group), bool), np.arange(len(group)), 1
+        while True:
+            alive = alive[alive + d < len(group)]
+            ok = (group[alive] == group[alive + d]) & (100 * c["n"][alive] >= PERCENT * c["n"][alive + d])
+            alive = alive[ok]
+            if not len(alive):
+                break
+            x = alive[_foreign(c, alive, alive + d)]
+            x = x[~(found[x] & found[x + d])]
+            for k in range(0, len(x), 4096):
+                i = x[k : k + 4096]
+                hit = i[(sketches[i] == sketches[i + d]).sum(axis=1) >= SKETCH_AGREE]
+                found[hit] = found[hit + d] = True
+            d += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(c["node"][found]), pa.int64())], ["node"])
+
+
+def _foreign(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether rows lie in different components, and in different blocks where their group joins two."""
+    return (c["comp"][x] != c["comp"][y]) & ((c["side"][x] != c["side"][y]) | (c["side"][x] < 0))
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of one group and of different components that reach the threshold on full sets.
+
+    Shared shingles are counted through postings within runs of rows of similar size, so the work
+    follows the shared shingles and only links leave the task.
+    """
+    for t in _groups(batches):
+        group, c = _numbered(t)
+        sets = t.column("set")
+        edges = np.flatnonzero(np.diff(group, prepend=-1, append=group[-1] + 1))
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            run = np.cumsum(c["n"][lo:hi]) // RUN
+            starts = [*np.flatnonzero(np.diff(run, prepend=-1)).tolist(), hi - lo]
+            parts = [(lo + a, lo + b) for a, b in zip(starts, starts[1:], strict=False)]
+            for p, (a0, a1) in enumerate(parts):
+                for b0, b1 in parts[p:]:
+                    if 100 * c["n"][a1 - 1] >= PERCENT * c["n"][b0]:
+                        x, y = _links_between(sets, c, (a0, a1), (b0, b1))
+                        if len(x):
+                            u, v = c["node"][x], c["node"][y]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+
+
+def _links_between(sets: pa.ChunkedArray, c: dict[str, np.ndarray], left: tuple[int, int], right: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    def flat(lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in sets.slice(lo, hi - lo)]
+        return np.concatenate(rows), np.repeat(np.arange(lo, hi), [len(r) for r in rows])
+
+    value, owner = flat(*right)
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order] - right[0]
+    xs, ys = [], []
+    here = np.arange(*right)
+    for k in range(*left):
+        own = np.frombuffer(sets[k].as_buffer(), np.uint64)
+        a, b = np.searchsorted(value, own, "left"), np.searchsorted(value, own, "right")
+        a, count = a[b > a], (b - a)[b > a]
+        if not len(a):
+            continue
+        at = np.repeat(a - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        both = np.bincount(owner[at], minlength=len(here))
+        hit = (100 * both >= PERCENT * (len(own) + c["n"][here] - both)) & (here > k) & _foreign(c, np.full(len(here), k), here)
+        xs.append(np.full(hit.sum(), k))
+        ys.append(here[hit])
+    return (np.concatenate(xs), np.concatenate(ys)) if xs else (here[:0], here[:0])
 
 
 class _Corpus:
@@ -197,23 +252,32 @@ def _stars(members: DataFrame) -> DataFrame:
     return pairs.where(fits).select(F.least("node", "end.node").alias("a"), F.greatest("node", "end.node").alias("b")).distinct()
 
 
-def _rest(corpus: _Corpus, members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components that share a band and whose sketches agree.
-
-    A band's classes are dealt to blocks, and each pair of blocks is one group, so that a large
-    band is spread over many tasks.
-    """
-    rows = members.select("bkey", "node", "n").join(labels, "node", "left").select("bkey", "node", "n", F.coalesce("component", "node").alias("comp"))
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Rows (bkey, node, n, comp) of bands that hold several components, dealt to blocks; each pair of a band's blocks is one group."""
     open_bands = rows.groupBy("bkey").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).where("c1 <> c2")
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     rows = rows.join(open_bands.select("bkey", blocks.alias("blocks")), "bkey").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "bkey", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "n", "node", "comp",
-    ).join(corpus.sketches, "node")
-    rows = rows.select("bkey", "i", "j", "side", "n", "node", "comp", "sketch").repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j", "n", "node")
-    return rows.mapInArrow(_compare, "a long, b long").distinct()
+    side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return rows.select("bkey", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "n", "node", "comp")
+
+
+def _sorted(rows: DataFrame, payload: str) -> DataFrame:
+    rows = rows.select("bkey", "i", "j", "side", "n", "node", "comp", payload)
+    return rows.repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j", "n", "node")
+
+
+def _rest(corpus: _Corpus, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Links between different components that share a band.
+
+    Sketches first tell the few classes that could have such a link at all; only those are compared
+    on full sets, inside their groups, so no table of candidate pairs is made.
+    """
+    rows = members.select("bkey", "node", "n").join(labels, "node", "left").select("bkey", "node", "n", F.coalesce("component", "node").alias("comp"))
+    rows = saved(rows)
+    suspects = saved(_sorted(_blocks(rows).join(corpus.sketches, "node"), "sketch").mapInArrow(_suspects, "node long").distinct())
+    sets = corpus.sets_of(suspects).select(F.col("doc_id").alias("node"), "set")
+    return _sorted(_blocks(rows.join(suspects, "node")).join(sets, "node"), "set").mapInArrow(_linked, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -231,7 +295,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = saved(bands.join(shared, "bkey"))
     links = saved(corpus.confirmed(corpus.likely(_stars(members))))
     labels = saved(components(links))
-    more = corpus.confirmed(_rest(corpus, members, labels))
+    more = _rest(corpus, members, labels)
     labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
     named = corpus.classes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("class_id"))
     return corpus.rows.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select(
@@ -239,3 +303,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each near-duplicate group, with all columns; repeated rows of a kept document become one.
+
+    Texts are not shuffled while the ids to drop are few enough to broadcast.
+    """
+    found = saved(near_duplicates(docs).select("doc_id", "kept"))
+
+    def ids(rows: DataFrame) -> DataFrame:
+        rows = saved(rows.select(F.col("doc_id").alias("_drop")).distinct())
+        return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+    kept = docs.join(ids(found.where("not kept")), F.col("doc_id") == F.col("_drop"), "left_anti")
+    repeated = ids(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1"))
+    single = kept.join(repeated, F.col("doc_id") == F.col("_drop"), "left_anti")
+    return single.unionByName(kept.join(repeated, F.col("doc_id") == F.col("_drop"), "left_semi").dropDuplicates(["doc_id"]))
