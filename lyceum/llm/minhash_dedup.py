@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.common import BROADCAST_IDS, binary_array, mix64, saved, shingle_rows
+from lyceum.llm.common import BROADCAST_IDS, binary_array, mix64, release, saved, shingle_rows
 from lyceum.llm.components import components
 
 #: Bands of ROWS coordinates: a pair at the threshold of 0.75 shares no band with a probability of 5e-6.
@@ -293,9 +293,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bands = corpus.classes.select("node", "n", F.explode("bands").alias("bkey"))
     shared = bands.groupBy("bkey").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).where("m > 1")
     members = saved(bands.join(shared, "bkey"))
+    del bands, shared
+    release(docs.sparkSession)
     links = saved(corpus.confirmed(corpus.likely(_stars(members))))
     labels = saved(components(links))
-    more = _rest(corpus, members, labels)
+    more = saved(_rest(corpus, members, labels))
+    release(docs.sparkSession)
     labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
     named = corpus.classes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("class_id"))
     return corpus.rows.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select(
