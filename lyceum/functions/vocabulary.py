@@ -1,0 +1,50 @@
+"""Small vocabularies: message codes, chapters of paths, opened files of a tool log, severities."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Patterns in order, the first that fits gives the code.
+MESSAGES = (
+    (r"(?i)NUL|控制字节|control", "unsafe_control_text"), (r"(?i)formula|公式|LaTeX|math", "formula_or_math"), (r"(?i)missing.answer|缺.*答案|答案.*缺", "missing_answer"),
+    (r"(?i)keyword|关键词", "subjective_keywords_missing"), (r"(?i)chapter|章节|未归属", "chapter_mapping"), (r"(?i)visual|asset|图片|图像|题面图|答案图", "visual_asset"), (r"(?i)review|审核|复核", "review_pending"),
+)
+CHAPTER_IN_PATH = r"(?i)(?:lecture|lec|ch|chapter|ps)[\s_\-]*0*(\d+)"
+TOOL_LOG = "type string, result string, total_cost_usd double, message struct<content: array<struct<type: string, name: string, input: struct<file_path: string, pattern: string, path: string>>>>"
+
+
+def message_code(message: Column) -> Column:
+    out = F.lit("other")
+    for pattern, code in reversed(MESSAGES):
+        out = F.when(message.rlike(pattern), code).otherwise(out)
+    return out
+
+
+def chapter_of(path: Column) -> Column:
+    """The chapter that a path names, in its last part rather than before."""
+    number = lambda p: F.nullif(F.regexp_extract(p, CHAPTER_IN_PATH, 1), F.lit(""))
+    return F.coalesce(number(F.element_at(F.split(path, "/"), -1)), number(path)).cast("int")
+
+
+def opened_files(log: Column) -> Column:
+    """Paths that a run opened, in order and once each, from a log of one JSON object a line.
+
+    A read gives its file, a glob its pattern and path, a search its path only: what it searches for is no path.
+    """
+    events = F.transform(F.split(log, "\n"), lambda line: F.from_json(line, TOOL_LOG))
+    calls = F.flatten(F.transform(F.filter(events, lambda e: e["type"] == "assistant"), lambda e: F.coalesce(e["message"]["content"], F.array().cast("array<struct<type: string, name: string, input: struct<file_path: string, pattern: string, path: string>>>"))))
+    used = F.filter(calls, lambda c: c["type"] == "tool_use")
+    paths = F.transform(
+        used,
+        lambda c: F.when(c["name"] == "Read", F.array(c["input"]["file_path"])).when(c["name"] == "Glob", F.array(c["input"]["pattern"], c["input"]["path"])).when(c["name"] == "Grep", F.array(c["input"]["path"])).otherwise(F.array().cast("array<string>")),
+    )
+    return F.array_distinct(F.filter(F.flatten(paths), lambda p: p.isNotNull() & (p != "")))
+
+
+def severity(kind: Column, blocking: list[str]) -> Column:
+    """Blocking if the kind holds one of the words."""
+    out = F.lit(False)
+    for word in blocking:
+        out = out | F.contains(kind, F.lit(word))
+    return F.when(out, "blocking").otherwise("warning")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from lyceum.plans import corpus, materials, study
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**corpus.QUERIES, **materials.QUERIES, **study.QUERIES}
+ORACLE: dict[str, str] = {**corpus.ORACLE, **materials.ORACLE, **study.ORACLE}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query that the smoke check runs."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+#: The query that the smoke check runs.
+flagship = corpus.bm25_topk
