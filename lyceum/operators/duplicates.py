@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.functions.text import normalize_exact, normalize_near, trigrams
+from lyceum.functions.text import normalize_exact, normalize_near
 from lyceum.session import stored
 
 # Scale, threshold, shortest text, order of conflicts, patterns.
@@ -24,8 +24,8 @@ KIND_FAMILY = {
     "answer": "answer", "table": "table", "code": "code", "figure": "visual", "diagram": "visual", "other": "other", "page_anchor": "other",
 }
 
-#: Different trigrams up to which their counts order a text's entries.
-MAX_GRAMS = 2_000_000
+#: Rows (trigram, count in a text) up to which they order a text's entries, and the count from which counts are taken for one.
+MAX_GRAMS, MAX_REPEATS = 2_000_000, 1 << 20
 
 
 def kind_family(kind: Column) -> Column:
@@ -85,28 +85,45 @@ def _entries(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _prefixes(texts: DataFrame, threshold: int) -> DataFrame:
     """(unit_id, block, n, prefix, entries): all entries of each text, and the rarest few that a pair at the threshold must share one of.
 
-    Any common order of entries is right; this one goes by how often a trigram occurs, divided by
-    the number of the repeat, from a table of trigrams that is broadcast up to MAX_GRAMS and left
-    out beyond (then the order is by hash).
+    Any common order of entries is right; this one goes by how many texts have an entry, from a
+    table of trigrams by their counts in texts that is broadcast up to MAX_GRAMS rows and left out
+    beyond (then the order is by hash).
     """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(_gram_codes(near), return_counts=True) for near in batch.column("near").to_pylist()]
+            if found:
+                both = np.stack([np.concatenate([f[0].view(np.int64) for f in found]), np.minimum(np.concatenate([f[1] for f in found]), MAX_REPEATS)])
+                rows, texts_with = np.unique(both, axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(texts_with, pa.int64())], ["gram", "c", "texts"])
+
     spark = texts.sparkSession
-    grams = texts.select(F.explode(trigrams(F.col("near"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("c"))
+    grams = texts.select("near").mapInArrow(count, "gram long, c long, texts long").groupBy("gram", "c").agg(F.sum("texts").alias("texts"))
     rows = grams.limit(MAX_GRAMS + 1).collect()
-    rows = [] if len(rows) > MAX_GRAMS else sorted((int(_gram_codes(r["gram"])[0]), r["c"]) for r in rows)
-    table = spark.sparkContext.broadcast((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], float)))
+    rows = [] if len(rows) > MAX_GRAMS else sorted((r["gram"], r["c"], r["texts"]) for r in rows)
+    known, place = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)
+    keys = place.astype(np.int64) * (MAX_REPEATS + 1) + np.array([r[1] for r in rows], np.int64)
+    # Texts with more than k repeats of a trigram: those of all larger counts of the same one.
+    upto = np.concatenate([[0], np.cumsum([r[2] for r in rows])]).astype(np.int64)
+    ends = upto[np.searchsorted(place, np.arange(len(known)), "right")] if len(known) else np.zeros(0, np.int64)
+    table = spark.sparkContext.broadcast((known, keys, upto, ends))
     share = threshold / SCALE / (2 - threshold / SCALE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = table.value
+        known, keys, upto, ends = table.value
         for batch in batches:
             n, prefix, entries = [], [], []
             for near in batch.column("near").to_pylist():
                 codes = _gram_codes(near)
                 k, h = _entries(codes)
-                weight = counts[np.searchsorted(known, codes)] / (k + 1) ** 2 if len(known) else np.zeros(len(codes))
+                rarity = np.zeros(len(codes))
+                if len(known):
+                    at = np.searchsorted(known, codes.view(np.int64))
+                    rarity = ends[at] - upto[np.searchsorted(keys, at * (MAX_REPEATS + 1) + np.minimum(k, MAX_REPEATS - 1), "right")]
                 keep = len(codes) - int(np.ceil(share * len(codes) - 1e-9)) + 1
                 n.append(len(codes))
-                prefix.append(h[np.lexsort((h, weight))[:keep]].tolist())
+                prefix.append(h[np.lexsort((h, rarity))[:keep]].tolist())
                 entries.append(h.tolist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("unit_id"), batch.column("block"), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(entries, pa.list_(pa.int64()))], ["unit_id", "block", "n", "prefix", "entries"]
