@@ -139,8 +139,9 @@ def near_pairs(units: DataFrame, block: str, unit_id: str = "unit_id", text: str
     Star pairs for equal texts (`exact`) and for equal normal texts of unequal fingerprints
     (`near`, a million), then pairs whose multisets of character trigrams have a Dice similarity of
     the threshold at least. Such a pair shares an entry among the rarest few of each text's
-    entries (a prefix of n - ceil(t * n / (2 - t)) + 1), so only texts that share a rare entry in a
-    block, of lengths that allow the threshold, are counted; nothing is capped.
+    entries (a prefix of n - ceil(t * n / (2 - t)) + 1), and enough of them that the rest can make up
+    for the others, so only such texts of a block, of lengths that allow the threshold, are
+    counted in full; nothing is capped.
     """
     rows = units.select(
         F.col(block).alias("block"), F.col(unit_id).alias("unit_id"), exact_fingerprint(F.col(text)).alias("fingerprint"), normalize_near(F.col(text)).alias("near")
@@ -156,7 +157,11 @@ def near_pairs(units: DataFrame, block: str, unit_id: str = "unit_id", text: str
     fits = (F.col("a.block") == F.col("b.block")) & (F.col("a.element") == F.col("b.element"))
     shorter = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.unit_id") < F.col("b.unit_id")))
     band = F.col("b.n") <= F.expr(f"(2 * a.n * {SCALE}) div {threshold} - a.n")
-    pairs = a.join(b, fits & shorter & band).select(F.col("a.block").alias("block"), F.col("a.unit_id").alias("x"), F.col("b.unit_id").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).distinct()
+    hits = a.join(b, fits & shorter & band).groupBy(F.col("a.block").alias("block"), F.col("a.unit_id").alias("x"), F.col("b.unit_id").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).agg(F.count("*").alias("c"))
+    # Entries up to the end of the shorter prefix are all counted, so beyond them a pair shares the rest of one text at most.
+    rest = lambda n: F.ceil(F.lit(threshold / SCALE / (2 - threshold / SCALE)) * F.col(n) - 1e-9) - 1
+    enough = 2 * SCALE * (F.col("c") + F.greatest(rest("nx"), rest("ny"))) >= threshold * (F.col("nx") + F.col("ny"))
+    pairs = hits.where(enough).drop("c")
     left = pairs.join(texts.select("block", F.col("unit_id").alias("x"), F.col("entries").alias("ex")), ["block", "x"])
     both = left.join(texts.select("block", F.col("unit_id").alias("y"), F.col("entries").alias("ey")), ["block", "y"])
     shared = both.withColumn("both", F.size(F.array_intersect("ex", "ey")).cast("long"))
