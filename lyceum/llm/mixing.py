@@ -16,7 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeating; share of all words that the mix takes; most epochs of a source.
 WEIGHTS, SHARE_PERCENT, EPOCHS = (3, 1, 2), 150, 2
 #: Rows that one prefix-sum group holds on average.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2_000
+#: Sources up to which the table of their cuts is broadcast.
+BROADCAST_SOURCES = 100_000
 
 
 def hash_key(doc_id: Column) -> Column:
@@ -115,6 +117,7 @@ def materialised(docs: DataFrame) -> DataFrame:
     for the cut ones. Documents without words are not taken. Repeated rows at a cut are cut alike.
     """
     edges = saved(cuts(docs))
+    edges = F.broadcast(edges) if edges.count() <= BROADCAST_SOURCES else edges
     rows = docs.select(F.struct("*").alias("row"), hash_key(F.col("doc_id")).alias("key"), F.col("source"))
     both = rows.alias("r").join(edges.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")))
     part = F.when(F.col("key") == F.col("cut_key"), F.col("words")).otherwise(0)
