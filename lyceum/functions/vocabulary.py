@@ -24,7 +24,7 @@ def message_code(message: Column) -> Column:
 def chapter_of(path: Column) -> Column:
     """The chapter that a path names, in its last part rather than before."""
     number = lambda p: F.nullif(F.regexp_extract(p, CHAPTER_IN_PATH, 1), F.lit(""))
-    return F.coalesce(number(F.element_at(F.split(path, "/"), -1)), number(path)).cast("int")
+    return F.coalesce(number(F.element_at(F.split(path, "/"), -1)), number(path)).try_cast("int")
 
 
 def opened_files(log: Column) -> Column:

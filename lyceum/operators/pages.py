@@ -58,8 +58,8 @@ def needs_assets(text: Column, renderable: Column) -> Column:
 
 def chapters(pages: DataFrame) -> DataFrame:
     """Pages (file, page, text) with a chapter: their own heading, else the file's name, else the page before, else 1; `guessed` where there was no clue."""
-    own = F.nullif(F.regexp_extract("text", r"(?im)^\s*(?:chapter|ch\.?|第)\s*(\d+)", 1), F.lit("")).cast("int")
-    named = F.nullif(F.regexp_extract("file", r"(?i)ch(?:apter)?[\s_\-]*0*(\d+)", 1), F.lit("")).cast("int")
+    own = F.nullif(F.regexp_extract("text", r"(?im)^\s*(?:chapter|ch\.?|第)\s*(\d+)", 1), F.lit("")).try_cast("int")
+    named = F.nullif(F.regexp_extract("file", r"(?i)ch(?:apter)?[\s_\-]*0*(\d+)", 1), F.lit("")).try_cast("int")
     w = Window.partitionBy("file").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     clue = F.coalesce(F.last(F.coalesce(own, named), ignorenulls=True).over(w))
     return pages.withColumn("chapter", F.coalesce(clue, F.lit(1))).withColumn("guessed", clue.isNull())
@@ -71,7 +71,7 @@ def markers(pages: DataFrame) -> DataFrame:
     found = lines.select("file", "page", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(MARKER), F.lit(0))).alias("at", "said"))
     part = lambda k: F.regexp_extract("said", MARKER, k)
     role = F.when(F.lower(part(4)).rlike("^(solution|answer)"), "solution").otherwise("problem")
-    return found.select("file", "page", (F.col("line_no") * 1000 + F.col("at")).alias("ordinal"), F.lower(part(1)).alias("kind"), part(2).cast("int").alias("chapter"), part(3).cast("int").alias("num"), role.alias("role"))
+    return found.select("file", "page", (F.col("line_no") * 1000 + F.col("at")).alias("ordinal"), F.lower(part(1)).alias("kind"), part(2).try_cast("int").alias("chapter"), part(3).try_cast("int").alias("num"), role.alias("role"))
 
 
 def paired(found: DataFrame) -> DataFrame:

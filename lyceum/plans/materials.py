@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lyceum.functions import mathtext, vocabulary
 from lyceum.functions import quality as q
-from lyceum.operators import claims, fusion, gate, pages, retrieval
+from lyceum.operators import claims, extraction, fusion, gate, ledger, pages, questions, retrieval
 from lyceum.plans import corpus
 from lyceum.session import prepare, table
 
@@ -197,11 +197,102 @@ def answer_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(pairs, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("rank"), F.count("*").alias("found"))
 
 
+# ---- extraction: a turn is a unit, its conversation the source ----
+
+
+def _units(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c, k = F.col("conv_id"), F.col("turn")
+    rows = _t(spark, sf_dir, "conversations").select(F.concat_ws("-", c, k).alias("unit_id"), c, k, F.when(F.col("role") == "assistant", "answer").otherwise("question").alias("kind"))
+    gold = rows.select("unit_id", "kind", F.when(c % 6 != 0, F.concat(F.lit("ch"), (c % 5).cast("string"))).alias("chapter_id"), F.when(c % 3 == 0, "ai").otherwise("source").alias("provenance"), (k % 3 == 0).alias("requires_visual"))
+    found = rows.where(c % 13 != 0).select(
+        "unit_id", "kind", F.concat(F.lit("ch"), ((c + F.when(k == 2, 1).otherwise(0)) % 5).cast("string")).alias("chapter_id"), F.when(c % 4 == 0, "ai").otherwise("source").alias("provenance"), (k % 2 == 0).alias("requires_visual"),
+        F.when(c % 2 == 0, F.when(c % 8 == 0, "student_attempt").when(c % 10 == 0, "worked_solution").otherwise("question_context")).alias("asset_role"), F.lit("p").alias("asset_path"), F.when(c % 7 != 0, "x").alias("asset_sha256"), (k % 4 == 1).alias("exposed_in_question"),
+    )
+    return gold, found
+
+
+def extraction_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapter and provenance accuracy and visual recall, one row each."""
+    gold, found = _units(spark, sf_dir)
+    parts = [extraction.agreement(gold, found, "chapter_id", skip_null=True), extraction.agreement(gold, found, "provenance", skip_null=False), extraction.visual_recall(gold, found)]
+    rows = [p.toDF("hits", "total", "share").withColumn("metric", F.lit(n)) for n, p in zip(("chapter", "provenance", "visual"), parts, strict=True)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def leaking_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of the answer side that a question shows."""
+    return extraction.leaks(_units(spark, sf_dir)[1])
+
+
+def qa_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring turns as pairs against pairs of even and odd turns."""
+    c = _t(spark, sf_dir, "conversations").where("turn >= 1").select("conv_id", F.col("turn").alias("q"), (F.col("turn") + 1).alias("a"))
+    return extraction.pair_scores(c.where("q % 2 = 1"), c.where("q % 3 <> 0"), ["conv_id", "q", "a"])
+
+
+def extraction_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall and reciprocal rank of the fused lists."""
+    lists = fusion.rrf(corpus._lists(spark, sf_dir)).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("units"))
+    relevant = corpus.contamination_pairs(spark, sf_dir).groupBy(F.col("item_id").alias("query_id")).agg(F.array_sort(F.collect_set("doc_id")).alias("relevant"))
+    return extraction.retrieval_scores(relevant, lists)
+
+
+def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.element_at(F.array(*map(F.lit, ("Which is right?\nA. ", "Fill in: x ____ y\nA. ", "Points to treat:\nA. ", "Answer: ____\n"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    words = F.substring("text", 1, 12)
+    return _t(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.regexp_replace(words, "\\n", " "), F.lit("\nB. other thing")).alias("text"), F.element_at(F.array(*map(F.lit, ("Answer: B", "1) b because", "other thing.", "Solution set", "Question 2: C"))), (F.col("doc_id") % 5 + 1).cast("int")).alias("answer"))
+
+
+def question_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions by type, and the letters of their answers."""
+    kind, options = questions.question_type(F.col("text"))
+    rows = _typed(spark, sf_dir).select(kind.alias("type"), options.alias("options"), "answer")
+    return rows.groupBy("type", questions.choice_letter(F.col("answer"), F.col("options")).alias("letter"), questions.answer_body(F.col("answer")).alias("body")).agg(F.count("*").alias("n"))
+
+
+def patch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units after a ledger of patches, by whether they exist and what didn't fit."""
+    c = _t(spark, sf_dir, "conversations").where("turn < 4")
+    uid = F.concat_ws("-", "conv_id", "turn")
+    null = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    units = c.where("turn < 3").select(uid.alias("unit_id"), F.when(F.col("role") == "assistant", "answer").otherwise("question").alias("kind"), F.lit("t").alias("text"), *null("chapter_id", "phase_id", "asset_role", "paired_unit_id"))
+    k = F.col("conv_id") % 4
+    op = F.when(F.col("turn") == 3, "add_unit").when(k == 0, "assign_chapter").when(k == 1, "classify_asset").when(k == 2, "replace_unit").otherwise("pair_qa")
+    ops = c.where("turn > 0").select(
+        (F.col("conv_id") * 10 + F.col("turn")).alias("seq"), op.alias("op"), uid.alias("unit_id"), F.lit("question").alias("kind"), F.lit("new").alias("text"), F.lit("ch01").alias("chapter_id"), F.lit("p1").alias("phase_id"), F.lit("question_context").alias("asset_role"),
+        F.concat_ws("-", "conv_id", F.col("turn") + 1).alias("paired_unit_id"), F.lit("stale").alias("expected_sha256"),
+    )
+    return ledger.replay(units, ops).groupBy("exists", "changed", "problems").agg(F.count("*").alias("n"))
+
+
+def conflict_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conflicts by their status after decisions."""
+    d = F.col("o_orderkey")
+    rows = _t(spark, sf_dir, "orders")
+    conflicts = rows.select(d.alias("conflict_id"), _pick(("answer_mismatch", "textual_divergence", "provenance_mismatch"), "o_orderkey").alias("kind"), d.alias("issue_id"))
+    patches = rows.where(d % 2 == 0).select(d.alias("issue_id"), F.concat(F.lit("p"), d.cast("string")).alias("patch_id"), _pick(("mark_resolved", "x", "mark_unrecoverable", "x", "replace_unit"), "o_orderkey").alias("op"), F.when(d % 7 == 0, "proposed").otherwise("applied").alias("status"), F.lit("r").alias("reason"))
+    return ledger.overlay(conflicts, patches).groupBy("kind", "status", "problem").agg(F.count("*").alias("n"))
+
+
+def conflict_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows to review for pairs of neighbouring documents, by severity and number of targets."""
+    docs = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit_id"), "source", (F.col("doc_id") % 9).alias("page"))
+    pairs = docs.select(F.col("unit_id").alias("conflict_id"), _pick(("numeric_mismatch", "textual_divergence"), "unit_id").alias("kind"), F.col("unit_id").alias("left_id"), (F.col("unit_id") + 1).alias("right_id"))
+    return ledger.conflict_reviews(pairs, docs).groupBy("severity", F.size("targets").alias("targets")).agg(F.count("*").alias("n"))
+
+
+def batch_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as batches whose turns are events."""
+    e = _t(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("batch"), F.col("turn").alias("seq"), F.when((F.col("turn") == 1) & (F.col("conv_id") % 3 == 0), "planned").otherwise(F.element_at(F.array(*map(F.lit, ledger.BATCH_STATES)), F.least(F.col("turn") + 1, F.lit(3)).cast("int"))).alias("state"))
+    return ledger.batch_states(e).groupBy("state", "skipped").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         visual_pages, asset_cues, visual_question_index, chapter_carry_forward, lecture_markers, lecture_pairs, orphan_solutions, math_spans, math_hazards, message_codes, path_chapters, opened_files,
-        claims_located, claims_verified, multi_column, merged_quality, gate_decision, answer_rank,
+        claims_located, claims_verified, multi_column, merged_quality, gate_decision, answer_rank, extraction_scores, leaking_units, qa_pair_scores, extraction_retrieval, question_types, patch_replay,
+        conflict_overlay, conflict_reviews, batch_states,
     )
 }
 
@@ -238,4 +329,18 @@ from p join f using (kind, chapter, num) left join s using (kind, chapter, num,
     "claims_verified": """with u as (select doc_id as c, source, substring(text, 1, 300) as t, case when doc_id % 9 = 0 then 'nowhere to be found' when doc_id % 9 = 1 then ' ' else substring(text, 5, 12) end as quote, case when doc_id % 5 = 0 then 'formula' else 'text' end as kind from documents),
 p as (select case when c % 37 = 0 then 'unit_stale' when c % 23 = 0 then 'source_stale' when c % 19 = 0 then 'payload_changed' when substring(t, 5, length(quote)) <> quote then 'quote_changed' when c % 31 = 0 then 'student_attempt' when c % 29 = 0 then 'tainted_asset'
   when c % 3 = 0 and kind <> 'formula' then 'role_mismatch' end as problem from u) select problem, count(*)::bigint as n from p group by 1""",
+    "extraction_scores": """with c as (select conv_id as c, turn as k from conversations),
+j as (select *, c % 13 <> 0 as f from c), r as (
+  select 'chapter' as metric, count(*) filter (f and c % 5 = (c + (k = 2)::int) % 5)::bigint as hits, count(*)::bigint as total from j where c % 6 <> 0
+  union all select 'provenance', count(*) filter (f and (c % 3 = 0) = (c % 4 = 0))::bigint, count(*)::bigint from j
+  union all select 'visual', count(*) filter (f and k % 2 = 0 and c % 2 = 0 and c % 8 <> 0 and c % 7 <> 0)::bigint, count(*)::bigint from j where k % 3 = 0)
+select hits, total, round(coalesce(hits / nullif(total, 0), 0), 6) as share, metric from r""",
+    "leaking_units": "select conv_id || '-' || turn as unit_id from conversations where conv_id % 13 <> 0 and turn % 4 = 1 and (role = 'assistant' or (conv_id % 2 = 0 and (conv_id % 8 = 0 or conv_id % 10 = 0)))",
+    "qa_pair_scores": """with c as (select count(*) filter (turn % 2 = 1 and turn % 3 <> 0)::bigint as tp, count(*) filter (turn % 2 <> 1 and turn % 3 <> 0)::bigint as fp, count(*) filter (turn % 2 = 1 and turn % 3 = 0)::bigint as fn from conversations where turn >= 1)
+select *, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) as recall, round(2 * tp / (2 * tp + fp + fn), 6) as f1 from c""",
+    "conflict_overlay": """with o as (select list_extract(['answer_mismatch', 'textual_divergence', 'provenance_mismatch'], (o_orderkey % 3 + 1)::int) as kind, case when o_orderkey % 2 = 0 and o_orderkey % 7 <> 0 then list_extract(['mark_resolved', 'x', 'mark_unrecoverable', 'x', 'replace_unit'], (o_orderkey % 5 + 1)::int) end as op from orders),
+s as (select kind, case when op = 'mark_resolved' and kind <> 'answer_mismatch' then 'resolved_keep_both' when op = 'mark_unrecoverable' then 'unrecoverable' else 'unresolved' end as status, case when op = 'mark_resolved' and kind = 'answer_mismatch' then 'blocking_needs_correction' end as problem from o)
+select kind, status, problem, count(*)::bigint as n from s group by 1, 2, 3""",
+    "conflict_reviews": """with p as (select a.doc_id, case when a.doc_id % 2 = 0 then 'blocking' else 'warning' end as severity, unnest(case when b.source is null then [a.source] when a.source = b.source then [a.source] else [a.source, b.source] end) as source, case when a.source = b.source then 2 else 1 end as targets from documents a left join documents b on b.doc_id = a.doc_id + 1)
+select severity, targets::int as targets, count(*)::bigint as n from p group by 1, 2""",
 }
