@@ -171,7 +171,7 @@ def test_quality_of_awkward_rows(docs, empty):
 
 def test_quality_finds_weak_texts(spark):
     rng = np.random.default_rng(8)
-    word = lambda: "".join(rng.choice(["an", "the", "er", "ti", "on"], rng.integers(1, 4)))
+    word = lambda: "".join(rng.choice(["an", "the", "er", "ti", "on", "ou", "re", "st", "ha", "nd", "wh", "ly"], rng.integers(2, 5)))
     rows = []
     for i in range(300):
         text = " ".join(word() for _ in range(80)) + ".\n" + " ".join(word() for _ in range(30)) + "."
