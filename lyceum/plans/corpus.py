@@ -104,8 +104,8 @@ def _signals() -> dict:
 
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, reasons and route of every document as a page."""
-    score, reasons, route = q.assess(_signals())
-    return _docs(spark, sf_dir).select("doc_id", score.alias("score"), F.array_join(reasons, ",").alias("reasons"), route.alias("route"))
+    rows = q.assess(_docs(spark, sf_dir).select("doc_id", "text"), _signals())
+    return rows.select("doc_id", "score", F.array_join("reasons", ",").alias("reasons"), "route")
 
 
 def page_corruption(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +116,7 @@ def page_corruption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by reason and route."""
-    score, reasons, route = q.assess(_signals())
-    rows = _docs(spark, sf_dir).select(score.alias("score"), F.explode_outer(reasons).alias("reason"), route.alias("route"))
+    rows = q.assess(_docs(spark, sf_dir).select("doc_id", "text"), _signals()).select("score", F.explode_outer("reasons").alias("reason"), "route")
     return rows.groupBy("reason", "route").agg(F.count("*").alias("n"), F.min("score").alias("least"))
 
 

@@ -42,8 +42,7 @@ def test_language_evidence(spark, value, kind, want):
 def page(spark, text, **signals):
     base = {"page": 1, "image_count": 0, "image_area_ratio": 0.0, "vector_count": 0, "multi_column_hint": False, "table_hint": False, "formula_hint": False} | signals
     c = {k: F.lit(v) if v is not None else F.lit(None).cast("int") for k, v in base.items()} | {"text": F.col("t")}
-    score, reasons, route = quality.assess(c)
-    return tuple(spark.createDataFrame([(text,)], "t string").select(score, reasons, route).first())
+    return tuple(quality.assess(spark.createDataFrame([(text,)], "t string"), c).select("score", "reasons", "route").first())
 
 
 def test_page_quality(spark):
