@@ -39,8 +39,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and rates of every cell."""
-    out = matrix.cells(matrix.merge_rows(*_runs(spark, sf_dir)))
-    return out.withColumn("cost_usd", F.round("cost_usd", 4))
+    return matrix.cells(matrix.merge_rows(*_runs(spark, sf_dir)))
 
 
 def matrix_merge_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,7 +469,7 @@ ORACLE = {
     "matrix_cells": f"""with {_RUNS} select course, model, arm, count(*)::bigint as n, count(*) filter (a)::bigint as n_answerable, count(*) filter (o)::bigint as n_oos,
   round(avg(case when a then correct::int end), 4) as correct, round(avg(case when a and not judge_error then faithfulness end), 4) as faithfulness, round(avg(case when a then hallucinated::int end), 4) as hallucination,
   round(avg(case when o then abstained::int end), 4) as abstention_oos, count(*) filter (a and judge_error)::bigint as n_judge_error, count(*) filter (a and scored_by = 'lexical')::bigint as n_lexical,
-  count(*) filter (infra)::bigint as n_infra_error, round(sum(cost), 4) as cost_usd from merged group by 1, 2, 3""",
+  count(*) filter (infra)::bigint as n_infra_error, round(sum(cost), 6) as cost_usd from merged group by 1, 2, 3""",
     "matrix_merge_problems": f"""with {_RUNS}, x as (select count(*)::bigint as n from sc where item_id::bigint % 1000 = 3) select 'score_without_answer' as rule, n from x where n > 0
   union all select 'answerable_missing', count(*)::bigint from ans where answerable is null having count(*) > 0""",
     "cost_per_q": f"with {_RUNS} select course, arm, round(avg(case when not infra then cost end), 4) as cost_per_q from merged group by 1, 2",
