@@ -24,6 +24,8 @@ from lyceum.llm.common import saved
 RATE, FRAME, SPAN, MATCH = 2000, 512, 8, 0.25
 #: Every how many ids one is a query.
 EVERY = 20
+#: Type of the list of a class's matches.
+LINKS = "array<struct<match_id: long, offset: long, bit_error: double>>"
 
 
 @cache
@@ -147,13 +149,15 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def match_recordings(media: DataFrame, every: int = EVERY) -> DataFrame:
-    """rec_id, n_frames, fingerprint, class_id, match_id, offset, bit_error for every recording.
+    """rec_id, n_frames, fingerprint, class_id, match_id, offset, bit_error, n_links, links for every recording.
 
     class_id is the smallest id with the same fingerprint. Queries are the classes with a member
     whose id is divisible by `every`; match_id is the class, other than a recording's own, among
     them that aligns with the least bit error (then the smallest id), up to MATCH, and offset its
-    place against it; null where none does. Copies are not expanded: only class representatives
-    are aligned. A null or too short recording has an empty fingerprint and no class. Repeated rows
+    place against it; null where none does. n_links counts all classes that align so, and links
+    lists them (match_id, offset, bit_error), best first. Copies are not expanded: only class
+    representatives are aligned, and only the rows with rec_id = class_id hold the list (null
+    elsewhere). A null or too short recording has an empty fingerprint and no class. Repeated rows
     get a row each; a null id is never a query; an empty table gives no rows.
     """
     rows = saved(fingerprints(media.select("rec_id", "pcm")))
@@ -166,6 +170,11 @@ def match_recordings(media: DataFrame, every: int = EVERY) -> DataFrame:
     pairs = entries.select("node", "mark").join(asked, "mark").where("node <> query").select("query", "node").distinct()
     pairs = pairs.join(classes.select(F.col("node").alias("query"), F.col("marks").alias("q_marks")), "query").join(classes.select("node", "marks"), "node")
     hits = pairs.select("query", "node", "q_marks", "marks").mapInArrow(_aligned, "query long, node long, offset long, bit_error double")
-    best = hits.groupBy("node").agg(F.min(F.struct("bit_error", "query", "offset")).alias("b")).select("node", F.col("b.query").alias("match_id"), F.col("b.offset").alias("offset"), F.col("b.bit_error").alias("bit_error"))
-    named = classes.select("marks", "node").join(best, "node", "left")
-    return rows.join(named, "marks", "left").select("rec_id", "n_frames", F.lower(F.hex("marks")).alias("fingerprint"), F.col("node").alias("class_id"), "match_id", "offset", "bit_error")
+    found = F.sort_array(F.collect_list(F.struct("bit_error", F.col("query").alias("match_id"), "offset")))
+    linked = hits.groupBy("node").agg(F.transform(found, lambda x: F.struct(x["match_id"], x["offset"], x["bit_error"])).alias("links"))
+    named = classes.select("marks", "node").join(linked, "node", "left")
+    best = F.get("links", F.lit(0))
+    return rows.join(named, "marks", "left").select(
+        "rec_id", "n_frames", F.lower(F.hex("marks")).alias("fingerprint"), F.col("node").alias("class_id"), *[best[c].alias(c) for c in ("match_id", "offset", "bit_error")],
+        F.when(F.col("node").isNotNull(), F.coalesce(F.size("links"), F.lit(0))).alias("n_links"), F.when(F.col("rec_id") == F.col("node"), F.coalesce("links", F.array().cast(LINKS))).alias("links"),
+    )

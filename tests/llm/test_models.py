@@ -204,6 +204,19 @@ def test_recordings_are_aligned(spark):
     assert by[24].class_id is None and by[25].fingerprint == "" and by[26].n_frames == 0
 
 
+def test_every_match_of_a_recording_is_listed(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=64)
+    rows = [(1, base)] + [(20 * k, np.concatenate([base[:60], rng.normal(size=4)])) for k in range(1, 6)]
+    rows += [(3, base), (7, rng.normal(size=64))]
+    media = chroma.recordings(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>"))
+    by = {r.rec_id: r for r in chroma.match_recordings(media).collect()}
+    assert {x.match_id for x in by[1].links} == {20, 40, 60, 80, 100} and by[1].n_links == by[3].n_links == 5
+    assert {x.match_id for x in by[40].links} == {20, 60, 80, 100}
+    assert by[1].links[0].match_id == by[1].match_id and by[3].class_id == 1 and by[3].links is None
+    assert by[7].n_links == 0 and by[7].links == []
+
+
 def test_integral_image_filters_match_plain_sums():
     rng = np.random.default_rng(1)
     image = rng.random((20, 12)).astype(np.float32)
