@@ -4,12 +4,13 @@ A recording is 16-bit mono PCM. Frames of FRAME samples, half overlapping, give
 class; an integral image over (frame, pitch class) lets sixteen rectangle filters be read with a
 few look-ups each; each filter's log ratio is quantised to two bits, so a frame is one packed
 32-bit integer. Recordings with equal fingerprints are one class. A query class is compared with
-the classes that share an integer: the differences of positions form a histogram, the fullest bin
-is the offset, and the share of unequal bits there is the bit error.
+the classes that share an integer, at every offset with enough overlap: the share of unequal bits
+is the bit error, and the offset of a pair is the one where most frames match.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.common import saved
+from lyceum.llm.common import PASS_BYTES, saved
 
 #: Samples a second, samples of a frame, frames that the widest filter spans, largest bit error of a match.
 RATE, FRAME, SPAN, MATCH = 2000, 512, 8, 0.25
@@ -124,28 +125,45 @@ def fingerprints(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, "rec_id long, n_frames long, marks binary")
 
 
-def align(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
-    """(offset, bit error) of the best alignment of two fingerprints by their offset histogram; bit error 1 without a common integer."""
-    order = np.argsort(b, kind="stable")
-    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    count = hi - lo
-    if not count.sum():
-        return 0, 1.0
-    i = np.repeat(np.arange(len(a)), count)
-    j = order[np.concatenate([np.arange(x, y) for x, y in zip(lo, hi, strict=True) if y > x])]
-    votes = np.bincount(i - j + len(b))
-    offset = int(votes.argmax()) - len(b)
-    x0, y0 = max(0, offset), max(0, -offset)
-    n = min(len(a) - x0, len(b) - y0)
-    return offset, float(np.bitwise_count(a[x0 : x0 + n] ^ b[y0 : y0 + n]).sum() / (32 * n))
+def least_overlap(n: int, m: int) -> int:
+    """Frames that an alignment of n and m frames has at least: half of the shorter recording, and SPAN or all of it."""
+    return max((min(n, m) + 1) // 2, min(n, m, SPAN))
+
+
+def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offset, matched frames, bit error) of the best alignment of each row of `a` with the same row of `b`; bit error 1 where none is up to MATCH.
+
+    A frame is matched if its own bit error is up to MATCH. Among the offsets with enough overlap
+    and a bit error up to MATCH, the best has most matched frames, then the least bit error, then
+    the least shift.
+    """
+    n, m = a.shape[1], b.shape[1]
+    least = least_overlap(n, m)
+    offset, matched, error = np.zeros(len(a), np.int64), np.full(len(a), -1, np.int64), np.ones(len(a))
+    for k in sorted(range(least - m, n - least + 1), key=abs):
+        x0, y0 = max(0, k), max(0, -k)
+        w = min(n - x0, m - y0)
+        bits = np.bitwise_count(a[:, x0 : x0 + w] ^ b[:, y0 : y0 + w])
+        e, f = bits.sum(axis=1, dtype=np.int64) / (32 * w), (bits <= int(32 * MATCH)).sum(axis=1)
+        better = (e <= MATCH) & ((f > matched) | (f == matched) & (e < error))
+        offset[better], matched[better], error[better] = k, f[better], e[better]
+    return offset, matched, error
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [align(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)) for x, y in zip(batch.column("q_marks"), batch.column("marks"), strict=True)]
-        keep = pa.array([f[1] <= MATCH for f in found], pa.bool_())
-        cols = [batch.column("query"), batch.column("node"), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())]
-        yield pa.RecordBatch.from_arrays(cols, ["query", "node", "offset", "bit_error"]).filter(keep)
+        pairs = [(x.as_py(), y.as_py()) for x, y in zip(batch.column("q_marks"), batch.column("marks"), strict=True)]
+        offset, matched, error = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64), np.ones(len(pairs))
+        shapes = defaultdict(list)
+        for i, (x, y) in enumerate(pairs):
+            shapes[len(x), len(y)].append(i)
+        for (n, m), rows in shapes.items():
+            step = max(1, 4 * PASS_BYTES // (n + m))
+            for at in (rows[k : k + step] for k in range(0, len(rows), step)):
+                a, b = (np.frombuffer(b"".join(pairs[i][side] for i in at), np.uint32).reshape(len(at), -1) for side in (0, 1))
+                offset[at], matched[at], error[at] = align(a, b)
+        cols = [batch.column("query"), batch.column("node"), pa.array(offset), pa.array(matched), pa.array(error)]
+        yield pa.RecordBatch.from_arrays(cols, ["query", "node", "offset", "matched", "bit_error"]).filter(pa.array(error <= MATCH))
 
 
 def match_recordings(media: DataFrame, every: int = EVERY) -> DataFrame:
@@ -153,11 +171,11 @@ def match_recordings(media: DataFrame, every: int = EVERY) -> DataFrame:
 
     class_id is the smallest id with the same fingerprint. Queries are the classes with a member
     whose id is divisible by `every`; match_id is the class, other than a recording's own, among
-    them that aligns with the least bit error (then the smallest id), up to MATCH, and offset its
-    place against it; null where none does. n_links counts all classes that align so, and links
-    lists them (match_id, offset, bit_error), best first. Copies are not expanded: only class
-    representatives are aligned, and only the rows with rec_id = class_id hold the list (null
-    elsewhere). A null or too short recording has an empty fingerprint and no class. Repeated rows
+    them that aligns with most matched frames (then the least bit error, then the smallest id), up
+    to MATCH over the least overlap, and offset its place against it; null where none does. n_links
+    counts all classes that align so, and links lists them (match_id, offset, bit_error), best first.
+    Copies are not expanded: only class representatives are aligned, and only the rows with
+    rec_id = class_id hold the list (null elsewhere). A null or too short recording has an empty fingerprint and no class. Repeated rows
     get a row each; a null id is never a query; an empty table gives no rows.
     """
     rows = saved(fingerprints(media.select("rec_id", "pcm")))
@@ -169,8 +187,8 @@ def match_recordings(media: DataFrame, every: int = EVERY) -> DataFrame:
     asked = entries.where("asked").select(F.col("node").alias("query"), "mark")
     pairs = entries.select("node", "mark").join(asked, "mark").where("node <> query").select("query", "node").distinct()
     pairs = pairs.join(classes.select(F.col("node").alias("query"), F.col("marks").alias("q_marks")), "query").join(classes.select("node", "marks"), "node")
-    hits = pairs.select("query", "node", "q_marks", "marks").mapInArrow(_aligned, "query long, node long, offset long, bit_error double")
-    found = F.sort_array(F.collect_list(F.struct("bit_error", F.col("query").alias("match_id"), "offset")))
+    hits = pairs.select("query", "node", "q_marks", "marks").mapInArrow(_aligned, "query long, node long, offset long, matched long, bit_error double")
+    found = F.sort_array(F.collect_list(F.struct((-F.col("matched")).alias("order"), "bit_error", F.col("query").alias("match_id"), "offset")))
     linked = hits.groupBy("node").agg(F.transform(found, lambda x: F.struct(x["match_id"], x["offset"], x["bit_error"])).alias("links"))
     named = classes.select("marks", "node").join(linked, "node", "left")
     best = F.get("links", F.lit(0))

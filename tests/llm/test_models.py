@@ -217,6 +217,18 @@ def test_every_match_of_a_recording_is_listed(spark):
     assert by[7].n_links == 0 and by[7].links == []
 
 
+def test_short_overlaps_do_not_displace_a_match(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=64)
+    near = base.copy()
+    near[20:23] = rng.normal(size=3)
+    rows = [(1, base), (20, near)] + [(40 + 20 * k, np.concatenate([base[-(9 + k) :], rng.normal(size=55 - k)])) for k in range(4)]
+    media = spark.createDataFrame([(i, chroma.tones(v)) for i, v in rows], "rec_id long, pcm binary")
+    got = {r.rec_id: r for r in chroma.match_recordings(media).collect()}[1]
+    assert (got.match_id, got.offset, got.n_links) == (20, 0, 1)
+    assert chroma.least_overlap(57, 57) == 29 and chroma.least_overlap(10, 57) == 8 and chroma.least_overlap(3, 57) == 3
+
+
 def test_integral_image_filters_match_plain_sums():
     rng = np.random.default_rng(1)
     image = rng.random((20, 12)).astype(np.float32)
