@@ -4,8 +4,8 @@ A recording is 16-bit mono PCM. Frames of FRAME samples, half overlapping, give
 class; an integral image over (frame, pitch class) lets sixteen rectangle filters be read with a
 few look-ups each; each filter's log ratio is quantised to two bits, so a frame is one packed
 32-bit integer. Recordings with equal fingerprints are one class. A query class is compared with
-the classes that share an integer, at every offset with enough overlap: the share of unequal bits
-is the bit error, and the offset of a pair is the one where most frames match.
+the classes that share three of the four bytes of an integer, at every offset with enough overlap:
+the share of unequal bits is the bit error, and the offset of a pair is where most frames match.
 """
 
 from __future__ import annotations
@@ -125,6 +125,21 @@ def fingerprints(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, "rec_id long, n_frames long, marks binary")
 
 
+def _entries(classes: DataFrame) -> DataFrame:
+    """(node, asked, mark): the distinct sub-words of each class; a sub-word is an integer without one of its bytes, and which one that is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = []
+            for x in batch.column("marks"):
+                marks = np.unique(np.frombuffer(x.as_buffer(), np.uint32)).astype(np.int64)
+                words.append(np.unique(np.concatenate([(marks & ~(255 << 8 * k)) | (k << 32) for k in range(4)])))
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, words)]).astype(np.int32), np.concatenate(words) if words else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("asked"), lists], ["node", "asked", "words"])
+
+    return classes.select("node", "asked", "marks").mapInArrow(run, "node long, asked boolean, words array<long>").select("node", "asked", F.explode("words").alias("mark"))
+
+
 def least_overlap(n: int, m: int) -> int:
     """Frames that an alignment of n and m frames has at least: half of the shorter recording, and SPAN or all of it."""
     return max((min(n, m) + 1) // 2, min(n, m, SPAN))
@@ -182,8 +197,7 @@ def match_recordings(media: DataFrame, every: int = EVERY) -> DataFrame:
     sounding = rows.where(F.length("marks") > 0)
     grouped = sounding.groupBy("marks").agg(F.min("rec_id").alias("node"), F.max(F.coalesce(F.pmod("rec_id", F.lit(every)) == 0, F.lit(False))).alias("asked"))
     classes = saved(grouped.where("node is not null"))
-    number = F.transform(F.sequence(F.lit(1), (F.length("marks") / 4).cast("int")), lambda k: F.substring("marks", (k - 1) * 4 + 1, F.lit(4)))
-    entries = classes.select("node", "asked", F.explode(F.array_distinct(number)).alias("mark"))
+    entries = _entries(classes)
     asked = entries.where("asked").select(F.col("node").alias("query"), "mark")
     pairs = entries.select("node", "mark").join(asked, "mark").where("node <> query").select("query", "node").distinct()
     pairs = pairs.join(classes.select(F.col("node").alias("query"), F.col("marks").alias("q_marks")), "query").join(classes.select("node", "marks"), "node")

@@ -229,6 +229,32 @@ def test_short_overlaps_do_not_displace_a_match(spark):
     assert chroma.least_overlap(57, 57) == 29 and chroma.least_overlap(10, 57) == 8 and chroma.least_overlap(3, 57) == 3
 
 
+def brute_matches(marks):
+    """Pairs of rows that align at some offset, by comparing all of them at all offsets."""
+    out = set()
+    for i, a in enumerate(marks):
+        for j, b in enumerate(marks):
+            for k in range(1 - len(b), len(a)):
+                x, y = a[max(0, k) :], b[max(0, -k) :]
+                w = min(len(x), len(y))
+                if i != j and w >= chroma.least_overlap(len(a), len(b)) and np.bitwise_count(x[:w] ^ y[:w]).sum() <= chroma.MATCH * 32 * w:
+                    out.add((i, j))
+    return out
+
+
+def test_noisy_copies_are_found_as_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    bases = rng.normal(size=(12, 64))
+    rows = [b + rng.normal(size=64) * noise for b in bases for noise in (0, 0.05, 0.1, 0.2)]
+    media = chroma.recordings(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")).collect()
+    marks = [chroma.packed(chroma.chroma(np.frombuffer(r.pcm, "<i2"))) for r in sorted(media, key=lambda r: r.rec_id)]
+    want = brute_matches(marks)
+    got = {(x.match_id, r.rec_id) for r in chroma.match_recordings(spark.createDataFrame(media), every=1).collect() for x in r.links}
+    whole = {(i, j) for i, j in want if not set(marks[i].tolist()) & set(marks[j].tolist())}
+    assert got <= want and len(got & want) >= 0.95 * len(want)
+    assert whole and len(got & whole) >= 0.9 * len(whole)
+
+
 def test_integral_image_filters_match_plain_sums():
     rng = np.random.default_rng(1)
     image = rng.random((20, 12)).astype(np.float32)
