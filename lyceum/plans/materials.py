@@ -80,7 +80,7 @@ FORMULAS = ("cost $x^2$ and", "raw x^2 here", "p_0 bare", r"use \alpha now", r"s
 
 
 def _formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", _pick(FORMULAS, "doc_id"), F.substring("text", 1, 200)).alias("text"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", _pick(FORMULAS, "doc_id"), "text").alias("text"))
 
 
 def math_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

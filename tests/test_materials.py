@@ -136,3 +136,18 @@ def test_question_types(spark, text, kind):
 def test_choice_letters(spark, answer, letter):
     df = spark.createDataFrame([(answer, ["A. one", "B. two"])], "a string, o array<string>")
     assert df.select(questions.choice_letter(F.col("a"), F.col("o"))).first()[0] == letter
+
+
+def documents(spark, folder, texts):
+    rows = [(i, t, f"s{i % 2}") for i, t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_formulas_are_searched_in_whole_texts(spark, tmp_path):
+    from lyceum.plans import materials
+
+    at = documents(spark, tmp_path, [(0, "plain " * 60 + "$y$ and $$z$$"), (9, "plain " * 60 + "y_1 and \\beta then = 4\n9, done")])
+    assert {r.doc_id: r.n for r in materials.math_spans(spark, at).collect()} == {0: 3, 9: 0}
+    late = {r.doc_id: r for r in materials.math_hazards(spark, documents(spark, tmp_path / "b", [(8, "plain " * 60 + "y_1 and \\beta then = 4\n9, done")])).collect()}[8]
+    assert (late.raw, late.command, late.layout) == ("raw_subscript", r"\beta", "stacked_fraction_flattened")
