@@ -9,23 +9,18 @@ from pyspark.sql import functions as F
 ROLE_KIND = {"formula_evidence": "formula", "question_evidence": "question", "answer_evidence": "answer"}
 
 
-def occurrences(text: Column, part: Column) -> Column:
-    """How often a part stands in a text, overlapping ones counted."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - F.length(part) + 1, F.lit(1)))
-    return F.size(F.filter(starts, lambda i: F.substring(text, i, F.length(part)) == part))
-
-
 def located(proposals: DataFrame, units: DataFrame) -> DataFrame:
     """Proposals (claim_id, unit_id, quote, start) with the code-point span of their quote, or the problem: the quote must occur, and once if no start is given."""
     rows = proposals.join(units.select("unit_id", F.col("text").alias("payload")), "unit_id", "left")
-    n = occurrences(F.col("payload"), F.col("quote"))
+    at = F.instr("payload", F.col("quote"))
+    again = F.position("quote", "payload", at + 1) > 0  # overlapping ones count
     given = F.col("start").isNotNull()
     there = F.substring("payload", F.col("start") + 1, F.length("quote")) == F.col("quote")
     problem = (
         F.when(F.col("payload").isNull() | (F.col("payload") == ""), "payload_missing").when(F.trim(F.coalesce("quote", F.lit(""))) == "", "quote_blank").when(given & ~there, "quote_not_at_start")
-        .when(~given & (n == 0), "quote_absent").when(~given & (n > 1), "quote_ambiguous")
+        .when(~given & (at == 0), "quote_absent").when(~given & again, "quote_ambiguous")
     )
-    first = F.when(given, F.col("start")).otherwise(F.instr("payload", F.col("quote")) - 1)
+    first = F.when(given, F.col("start")).otherwise(at - 1)
     return rows.select("claim_id", "unit_id", "quote", F.when(problem.isNull(), first).alias("start"), F.when(problem.isNull(), first + F.length("quote")).alias("end"), problem.alias("problem"))
 
 

@@ -126,7 +126,7 @@ def opened_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _quotes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = _t(spark, sf_dir, "documents")
-    units = docs.select(F.col("doc_id").cast("string").alias("unit_id"), F.col("source").alias("source_id"), F.when(F.col("doc_id") % 5 == 0, "formula").otherwise("text").alias("kind"), F.when(F.col("doc_id") % 31 == 0, "student_attempt").alias("asset_role"), F.when(F.col("doc_id") % 29 == 0, "p1").otherwise("p2").alias("asset_path"), F.substring("text", 1, 300).alias("text"))
+    units = docs.select(F.col("doc_id").cast("string").alias("unit_id"), F.col("source").alias("source_id"), F.when(F.col("doc_id") % 5 == 0, "formula").otherwise("text").alias("kind"), F.when(F.col("doc_id") % 31 == 0, "student_attempt").alias("asset_role"), F.when(F.col("doc_id") % 29 == 0, "p1").otherwise("p2").alias("asset_path"), "text")
     quote = F.when(F.col("doc_id") % 9 == 0, "nowhere to be found").when(F.col("doc_id") % 9 == 1, " ").otherwise(F.substring("text", 5, 12))
     said = docs.select(F.col("doc_id").alias("claim_id"), F.col("doc_id").cast("string").alias("unit_id"), quote.alias("quote"), F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 4 + 2).cast("int")).alias("start"))
     return units, said
@@ -154,7 +154,7 @@ def claims_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multi_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as pages whose lines are boxes: a gap between them makes columns."""
-    rows = _t(spark, sf_dir, "lineitem").where("l_linenumber <= 6")
+    rows = _t(spark, sf_dir, "lineitem")
     x = F.when(F.col("l_linenumber") % 2 == 0, 100.0).otherwise(0.0) * (F.col("l_orderkey") % 3)
     y = F.col("l_linenumber") * 10.0 * F.when(F.col("l_orderkey") % 2 == 0, 1.0).otherwise(0.2)
     boxes = rows.select(F.lit("f").alias("file"), F.col("l_orderkey").alias("page"), x.alias("x0"), (x + 80).alias("x1"), y.alias("y0"), (y + 25).alias("y1"))

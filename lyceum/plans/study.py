@@ -397,7 +397,7 @@ def readiness_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names by the problem that they would have as ids."""
-    return _t(spark, sf_dir, "documents").groupBy(rules.stable_id_problem(F.substring("text", 1, 230)).alias("problem")).agg(F.count("*").alias("n"))
+    return _t(spark, sf_dir, "documents").groupBy(rules.stable_id_problem(F.col("text")).alias("problem")).agg(F.count("*").alias("n"))
 
 
 def unsafe_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

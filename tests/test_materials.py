@@ -151,3 +151,23 @@ def test_formulas_are_searched_in_whole_texts(spark, tmp_path):
     assert {r.doc_id: r.n for r in materials.math_spans(spark, at).collect()} == {0: 3, 9: 0}
     late = {r.doc_id: r for r in materials.math_hazards(spark, documents(spark, tmp_path / "b", [(8, "plain " * 60 + "y_1 and \\beta then = 4\n9, done")])).collect()}[8]
     assert (late.raw, late.command, late.layout) == ("raw_subscript", r"\beta", "stacked_fraction_flattened")
+
+
+def test_claims_are_checked_against_whole_texts(spark, tmp_path):
+    from lyceum.plans import materials, study
+
+    quote = "a quoted run of words"
+    at = documents(spark, tmp_path, [(3, f"abc {quote} " + "filler " * 60 + quote[:12]), (5, f"abc {quote} " + "filler " * 60), (7, "abc aaaaaaaaaaaaaaaa"), (11, "x" * 300)])
+    got = {r.claim_id: r for r in materials.claims_located(spark, at).collect()}
+    assert got[3].problem == got[7].problem == got[11].problem == "quote_ambiguous" and got[5].problem is None and (got[5].start, got[5].end) == (4, 16)
+    assert {r.problem: r.n for r in materials.claims_verified(spark, at).collect()} == {None: 3, "role_mismatch": 1}
+    ids = documents(spark, tmp_path / "b", [(1, "a" * 229 + " b"), (2, "a" * 229 + "b ")])
+    assert {r.problem: r.n for r in study.stable_ids(spark, ids).collect()} == {"too_long": 1, "padded": 1}
+
+
+def test_boxes_are_all_lines(spark, tmp_path):
+    from lyceum.plans import materials
+
+    lines = [(1, n) for n in range(1, 4)] + [(1, 8)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {r.multi_column: r.n for r in materials.multi_column(spark, str(tmp_path)).collect()} == {True: 1}
