@@ -65,7 +65,7 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = saved(
         docs.select(
             "doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            "source", hash_key(F.col("doc_id")).alias("key"),
+            "source", hash_key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("mark"),
         )
     )
     groups = 1 << max(0, (rows.count() // GROUP_ROWS).bit_length())
@@ -75,23 +75,27 @@ def mix(docs: DataFrame) -> DataFrame:
     parts = parts.select("source", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first"), F.sum("words").over(Window.partitionBy("source")).alias("source_size"))
     targets = source_targets(parts.groupBy("source").agg(F.max("source_size").alias("source_size"))).withColumnRenamed("source_size", "_size")
     parts = parts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.source", "part", "first", "source_size", "target")
-    joined = rows.alias("r").join(parts.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.part") == F.col("p.part"))).select("doc_id", "size", "r.source", "key", "r.part", "first", "source_size", "target")
-    within = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.alias("r").join(parts.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.part") == F.col("p.part"))).select("doc_id", "size", "r.source", "key", "mark", "r.part", "first", "source_size", "target")
+    within = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("first") + F.coalesce(F.sum("size").over(within), F.lit(0))
     budget = F.floor(F.col("target") + F.lit(1e-9))
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
     return joined.withColumn("start", start).select(
-        "doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), "start", "key", whole.cast("long").alias("whole"), rest.cast("long").alias("rest")
+        "doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), "start", "key", whole.cast("long").alias("whole"), rest.cast("long").alias("rest"), "mark"
     )
 
 
 def cuts(docs: DataFrame) -> DataFrame:
-    """One row a source: whole epochs, the key of the document at which the last epoch is cut, and the words taken of that one."""
-    last = F.min(F.when(F.col("start") + F.col("size") > F.col("rest"), F.struct("key", (F.col("rest") - F.col("start")).alias("words"))))
-    rows = mix(docs).groupBy("source").agg(F.max("whole").alias("whole"), last.alias("last"))
-    return rows.select("source", "whole", F.col("last.key").alias("cut_key"), F.col("last.words").alias("words"))
+    """One row a source: whole epochs; key and tie (id, size, hash of the text) of the document at which the last epoch is cut; its number among the rows that equal it in both, how many these are, and the words taken of it."""
+    rows = saved(mix(docs).select("source", "whole", "rest", "start", "size", "key", F.struct("doc_id", "size", "mark").alias("tie")))
+    last = F.min(F.when(F.col("start") + F.col("size") > F.col("rest"), F.struct("key", "tie", "start", (F.col("rest") - F.col("start")).alias("words"))))
+    edges = rows.groupBy("source").agg(F.max("whole").alias("whole"), last.alias("last")).alias("e")
+    same = F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.key") == F.col("last.key")) & (F.col("r.tie") == F.col("last.tie"))
+    both = edges.join(rows.alias("r"), same, "left").groupBy("e.source", "e.whole", "last")
+    both = both.agg((F.count_if(F.col("r.start") < F.col("last.start")) + 1).alias("cut_nth"), F.count("r.key").alias("ties"))
+    return both.select("source", "whole", F.col("last.key").alias("cut_key"), F.col("last.tie").alias("cut_tie"), "cut_nth", "ties", F.col("last.words").alias("words"))
 
 
 @F.pandas_udf(StringType())
@@ -112,16 +116,29 @@ def _first_words(texts: pd.Series, words: pd.Series) -> pd.Series:
 def materialised(docs: DataFrame) -> DataFrame:
     """The mix as rows: a row for every whole copy that is taken, and the first words of the document at a source's cut.
 
-    A document lies before the cut, at it or after it by its hash key alone, so the texts meet only
-    a table of one row a source and are not shuffled. All columns stay, with `n_chars` counted anew
-    for the cut ones. Documents without words are not taken. Repeated rows at a cut are cut alike.
+    A document lies before the cut, at it or after it by its own columns, so the texts meet only
+    a table of one row a source and are not shuffled. Rows with the key of the cut are told apart by
+    id, size and text; only rows that are equal in these as well, where a source is cut among them,
+    are numbered by a window. All columns stay, with `n_chars` counted anew for the cut ones.
+    Documents without words are not taken.
     """
     edges = saved(cuts(docs))
     edges = F.broadcast(edges) if edges.count() <= BROADCAST_SOURCES else edges
     rows = docs.select(F.struct("*").alias("row"), hash_key(F.col("doc_id")).alias("key"), F.col("source"))
     both = rows.alias("r").join(edges.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")))
-    part = F.when(F.col("key") == F.col("cut_key"), F.col("words")).otherwise(0)
-    full = F.col("whole") + F.when(F.col("key") < F.col("cut_key"), 1).otherwise(0)
+    size = F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long")
+    tied = F.coalesce(F.col("key") == F.col("cut_key"), F.lit(False))
+    tie = F.when(tied, F.struct(F.col("row.doc_id").alias("doc_id"), size.alias("size"), F.xxhash64("row.text").alias("mark")))
+    both = both.select("row", "key", "whole", "cut_key", "cut_tie", "cut_nth", "ties", "words", F.col("e.source").alias("source"), tie.alias("tie"))
+    equal = F.coalesce(F.col("tie") == F.col("cut_tie"), F.lit(False))
+    if edges.where("ties > 1").isEmpty():
+        both = both.withColumn("nth", F.when(equal, 1))
+    else:
+        among = Window.partitionBy("source").orderBy(F.xxhash64("row"))
+        both = both.where(~equal).withColumn("nth", F.lit(None).cast("int")).unionByName(both.where(equal).withColumn("nth", F.row_number().over(among)))
+    before = (F.col("key") < F.col("cut_key")) | (F.col("tie") < F.col("cut_tie")) | (equal & (F.col("nth") < F.col("cut_nth")))
+    part = F.when(equal & (F.col("nth") == F.col("cut_nth")), F.col("words")).otherwise(0)
+    full = F.col("whole") + F.when(before, 1).otherwise(0)
     both = both.select("row", part.cast("long").alias("part"), full.cast("long").alias("full")).where(F.coalesce(F.col("row.text").rlike(WORD), F.lit(False)) & ((F.col("part") > 0) | (F.col("full") > 0)))
     both = both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("full") + F.when(F.col("part") > 0, 1).otherwise(0))))
     cut = F.col("copy") > F.col("full")

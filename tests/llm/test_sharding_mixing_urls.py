@@ -4,6 +4,7 @@ import zlib
 
 import xxhash
 from lyceum.llm import mixing, sharding, url_filter
+from pyspark.sql import functions as F
 
 
 def signed(h):
@@ -106,3 +107,14 @@ def test_bloom_filter_has_no_false_negatives_and_few_false_positives(spark):
         assert url_filter.maybe_listed(names, made, blocks, broadcast=broadcast).where("not maybe").count() == 0
     others = spark.range(20_000).selectExpr("concat('other', id) as canon")
     assert url_filter.maybe_listed(others, made, blocks, broadcast=True).where("maybe").count() < 400
+
+
+def test_ties_at_a_cut_are_taken_exactly(spark):
+    rows = [(None, f"w{i % 7} " * 10, "a") for i in range(60)] + [(None, "same text of the b " * 2, "b")] * 30 + [(i, "c " * 9, "c") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = mixing.mix(docs).collect()
+    for source in "abc":
+        want = sum(r.taken for r in plan if r.source == source)
+        got = [len(r.text.split()) for r in mixing.materialised(docs).where(F.col("source") == source).collect()]
+        assert sum(got) == want == int(next(r.target for r in plan if r.source == source) + 1e-9)
+        assert sorted(got) == sorted(n for r in plan if r.source == source for n in [r.size] * (r.taken // r.size) + [r.taken % r.size] if n)
