@@ -1,5 +1,6 @@
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -17,12 +18,6 @@ def plain_code_length(samples, text):
         for i in range(3, len(raw)):
             for k in range(4):
                 seen[k][raw[i - k : i]][raw[i]] += 1
-    # Training runs over the joined texts, so the marks of the next text are counted as well.
-    joined = b"".join(b"\n\n\n" + t for t in samples)
-    seen = [defaultdict(Counter) for _ in range(4)]
-    for i in range(3, len(joined)):
-        for k in range(4):
-            seen[k][joined[i - k : i]][joined[i]] += 1
     raw, bits = b"\n\n\n" + text, 0.0
     for i in range(3, len(raw)):
         for k in (3, 2, 1, 0):
@@ -40,7 +35,8 @@ def plain_code_length(samples, text):
 
 def test_table_gives_exact_code_lengths():
     samples = {"a": [b"the cat sat on the mat", b"the rat"], "b": ["der Hund läuft über".encode(), b"die Katze"]}
-    model = langid.train(samples)
+    model = langid.train(samples | {"none": [b"", b""]})
+    assert model.langs == ["a", "b"]
     texts = ["the hat", "die über", "", "q", "üq zz", "the cat sat on the mat and more"]
     raw, offsets = text_buffer(pa.array(texts))
     got = langid.code_lengths(model, raw, offsets)
@@ -49,6 +45,49 @@ def test_table_gives_exact_code_lengths():
             assert got[k, j] == pytest.approx(plain_code_length(samples[lang], text.encode()), rel=1e-4, abs=1e-4)
 
 
+def test_many_languages_keep_every_context(monkeypatch):
+    rng = np.random.default_rng(3)
+    samples = {f"l{k:02d}": [rng.integers(97, 123, 60, dtype=np.uint8).tobytes() for _ in range(3)] for k in range(20)}
+    model = langid.train(samples)
+    assert len(model.groups) == 3
+    texts = [samples[x][0].decode() for x in sorted(samples)] + ["zz top"]
+    got = langid.code_lengths(model, *text_buffer(pa.array(texts)))
+    assert got[:-1].argmin(axis=1).tolist() == list(range(20))
+    for k in (0, 9, 20):
+        for j in (0, 7, 8, 19):
+            assert got[k, j] == pytest.approx(plain_code_length(samples[model.langs[j]], texts[k].encode()), rel=1e-4)
+
+
+def test_predictions_match_a_plain_model(spark):
+    rng = np.random.default_rng(5)
+    parts = {"x": ["tion", "the", "and", "ing"], "y": ["sch", "der", "und", "ein"], "z": [""]}
+    rows = [(i, " ".join("".join(rng.choice(parts[lang], 2)) for _ in range(8)) if lang != "z" else "", lang) for i, lang in enumerate(["x", "y", "x", "y", "x", "y", "z"] * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    learned = {lang: [t.encode() for i, t, x in rows if x == lang and not held[i]] for lang in "xy"}
+    assert all(learned.values()) and any(not held[i] for i, _, x in rows if x == "z")
+    for r in langid.identify(docs).collect():
+        text = rows[r.doc_id][1]
+        assert r.held_out == held[r.doc_id]
+        if not text:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        bits = {lang: plain_code_length(samples, text.encode()) for lang, samples in learned.items()}
+        assert r.lang_pred == min(sorted(bits), key=bits.__getitem__)
+        size = len(text.encode())
+        odds = sum(2 ** (-(b - min(bits.values())) / size * min(size, 64)) for b in bits.values())
+        assert r.score == pytest.approx(1 / odds, rel=1e-3)
+
+
+def test_rejections_rest_on_texts_that_were_not_counted(spark):
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(["tion", "the", "and", "ing", "er"], 2))
+    rows = [(i, " ".join(word() for _ in range(40)), "x") for i in range(120)]
+    rows += [(500 + i, "".join(chr(c) for c in rng.integers(33, 127, 400)), None) for i in range(5)]
+    kept = {r.doc_id: r.lang for r in langid.known(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert set(kept) == set(range(120))
+
+
 def test_languages_of_awkward_rows(docs, empty, spark):
     got = langid.identify(docs).collect()
     assert len(got) == docs.count()
