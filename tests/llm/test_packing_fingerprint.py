@@ -45,6 +45,15 @@ def test_pieces_are_an_exact_round_trip(docs, tokenizer):
     check(packing.pack(docs).collect(), texts, tokenizer)
 
 
+def test_special_tokens_in_a_text_are_the_named_tokenizer_s_ids(spark, tokenizer):
+    names = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.special]
+    assert names
+    texts = [f"a {x} b{x}{x}" for x in names] + ["plain text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(packing.pack(docs).collect(), {i: [t] for i, t in enumerate(texts)}, tokenizer)
+    assert any(set(tokenizer.encode(t, add_special_tokens=False).ids) & set(tokenizer.get_added_tokens_decoder()) for t in texts)
+
+
 def test_many_partitions_merge_in_levels(spark, tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "MERGE", 4)
     docs = spark.range(200).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), int(id)) as text").repartition(40)
