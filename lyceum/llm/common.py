@@ -8,12 +8,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: Bytes of text that one vectorised pass handles; longer single texts form a pass of their own.
 PASS_BYTES = 1 << 20
 #: Rows up to which a table of ids is broadcast; more ids are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows that one range of an ordered running sum holds on average.
+RANGE_ROWS = 50_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -26,10 +31,13 @@ _LOWER[65:91] += 32
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only in a local session that names none."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lyceum-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lyceum-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -45,6 +53,68 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def few(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """A saved table, and whether it is small enough to be broadcast."""
+    rows = saved(rows)
+    return rows, rows.count() <= BROADCAST_IDS
+
+
+def hot_join(rows: DataFrame, side: DataFrame, on: list[str], how: str, hot: Column) -> DataFrame:
+    """`rows` joined with `side`, one row for each key; keys that `hot` marks in `side` are looked up in a broadcast table and not shuffled.
+
+    The rows of other keys meet by a shuffle, and so does everything where hot keys are too many to
+    broadcast. `side` is read twice, so it should be stored.
+    """
+    heavy, small = few(side.where(hot))
+    if not small or heavy.isEmpty():
+        return rows.join(side, on, how)
+    heavy = F.broadcast(heavy)
+    cold = rows.join(heavy, on, "left_anti").join(side.where(~hot), on, how)
+    return rows.join(heavy, on).unionByName(cold)
+
+
+def running_sums(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+    """`rows` with `before`, the sum of `value` over the rows of the same group (null is one) that precede in `order`, and `total`, that of the group.
+
+    Rows are dealt to ranges of (group, order), a last key tells equal rows apart so that ranges cut
+    through them, and every range sums its rows in one stream. Sums of ranges give each group's
+    start in a range, so no task holds a whole group, whatever its size. Equal rows are
+    interchangeable: which of them comes first does not change the rows that result.
+    """
+    rows = saved(rows.withColumn("_row", F.monotonically_increasing_id()))
+    names = [*rows.columns]
+    ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    keys = [F.col(c).asc_nulls_last() if c == group else F.col(c) for c in (group, *order, "_row")]
+    schema = StructType([*rows.schema.fields, StructField("_range", LongType()), StructField("_local", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, last, done = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(group).dictionary_encode()
+            known = codes.dictionary.to_pylist()
+            number = codes.indices.fill_null(len(known)).to_numpy()
+            amount = batch.column(value).to_numpy().astype(np.int64)
+            new = np.flatnonzero(np.diff(number, prepend=number[0] - 1))
+            names_at = [None if number[k] == len(known) else known[number[k]] for k in new]
+            sums = np.cumsum(amount) - amount
+            base = sums[new].copy()
+            if last is not None and names_at[0] == last[0]:
+                base[0] -= done
+            local = sums - np.repeat(base, np.diff(np.append(new, len(number))))
+            last, done = (names_at[-1],), int(local[-1] + amount[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(number), here, np.int64)), pa.array(local)], [*names, "_range", "_local"])
+
+    placed = saved(rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema))
+    sums = placed.groupBy(group, "_range").agg(F.sum(value).alias("_sum"))
+    whole = Window.partitionBy(group)
+    before = F.sum("_sum").over(whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sums, small = few(sums.select(F.col(group).alias("_group"), F.col("_range").alias("_of"), F.coalesce(before, F.lit(0)).alias("_first"), F.sum("_sum").over(whole).alias("total")))
+    both = placed.join(F.broadcast(sums) if small else sums, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
+    return both.select(*[c for c in names if c != "_row"], (F.col("_first") + F.col("_local")).alias("before"), "total")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, a bijection on 64-bit words."""
     x = x ^ (x >> _S30)

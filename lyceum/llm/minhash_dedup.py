@@ -5,9 +5,10 @@ bijection of the ring, and signature coordinate k is the least image after a shi
 with equal shingle sets are one class. Classes that share a band are tied to the least and the
 greatest class of that band (a star, so a band of m classes makes 2m candidates, not m*m). Links are
 confirmed on full sets. Where a band still holds several components, its classes are compared by
-their sketches, block by block; those that could reach the threshold with one of another component
-are compared on full sets, within their blocks as well: no bucket is capped, no candidate is
-dropped, and only links leave these comparisons.
+their sketches: the members of its largest component lie in one block each, only the rest visit all
+blocks. Those that could reach the threshold with one of another component are compared on full
+sets, within their blocks as well: no bucket is capped, no candidate is dropped, and only links
+leave these comparisons.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.common import BROADCAST_IDS, binary_array, mix64, release, saved, shingle_rows
+from lyceum.llm.common import binary_array, few, hot_join, mix64, release, saved, shingle_rows
 from lyceum.llm.components import components
 
 #: Bands of ROWS coordinates: a pair at the threshold of 0.75 shares no band with a probability of 5e-6.
@@ -30,6 +31,8 @@ SKETCH_AGREE = 72
 PERCENT = 75
 #: Rows of one block of a bucket in the comparison of sketches.
 BLOCK = 1024
+#: Rows of one key from which they are looked up in a broadcast table instead of being shuffled.
+HOT = 512
 #: Shingles that one run of a group's rows holds in the comparison of full sets.
 RUN = 1_000_000
 
@@ -82,15 +85,15 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands.append(None)
                 sketches.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), binary_array(sketches)],
-            ["doc_id", "n", "h1", "h2", "bands", "sketch"],
+            [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), binary_array(sketches)],
+            ["doc_id", "mark", "n", "h1", "h2", "bands", "sketch"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [s.tobytes() for s in shingle_rows(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), binary_array(sets)], ["doc_id", "set"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), binary_array(sets)], ["node", "set"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,15 +117,15 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole groups (bkey, i, j) of sorted rows; a group that a batch cuts is finished with the next."""
+    """Tables of whole groups (bkey, i) of sorted rows; a group that a batch cuts is finished with the next."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         t = pa.Table.from_batches(held)
-        keys = [t.column(c).to_numpy() for c in ("bkey", "i", "j")]
-        other = np.flatnonzero((keys[0] != keys[0][-1]) | (keys[1] != keys[1][-1]) | (keys[2] != keys[2][-1]))
+        keys = [t.column(c).to_numpy() for c in ("bkey", "i")]
+        other = np.flatnonzero((keys[0] != keys[0][-1]) | (keys[1] != keys[1][-1]))
         cut = int(other[-1]) + 1 if len(other) else 0
         if cut:
             yield t.slice(0, cut)
@@ -133,9 +136,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _numbered(t: pa.Table) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """The number of each row's group, and the columns that pairs are chosen by."""
-    cols = {c: t.column(c).to_numpy() for c in ("bkey", "i", "j", "side", "n", "node", "comp")}
+    cols = {c: t.column(c).to_numpy() for c in ("bkey", "i", "side", "n", "node", "comp")}
     change = np.zeros(t.num_rows, np.int64)
-    change[1:] = (np.diff(cols["bkey"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)
+    change[1:] = (np.diff(cols["bkey"]) != 0) | (np.diff(cols["i"]) != 0)
     return np.cumsum(change), cols
 
 
@@ -162,8 +165,8 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _foreign(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether rows lie in different components, and in different blocks where their group joins two."""
-    return (c["comp"][x] != c["comp"][y]) & ((c["side"][x] != c["side"][y]) | (c["side"][x] < 0))
+    """Whether rows lie in different components, and one of them at least in its own block."""
+    return (c["comp"][x] != c["comp"][y]) & ((c["side"][x] == 0) | (c["side"][y] == 0))
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,27 +217,44 @@ def _links_between(sets: pa.ChunkedArray, c: dict[str, np.ndarray], left: tuple[
 
 
 class _Corpus:
-    """The class table of a corpus and what the steps look up in it."""
+    """The class table of a corpus and what the steps look up in it.
+
+    A class is named by its least doc_id and known by a node: that id, or a hash of its set where
+    rows of one id have different texts and several classes would share it.
+    """
 
     def __init__(self, docs: DataFrame) -> None:
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.rows = saved(self.docs.mapInArrow(_prepare, "doc_id long, n long, h1 long, h2 long, bands array<long>, sketch binary"))
-        full = self.rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n", "bands", "sketch")).alias("r"))
-        self.classes = saved(full.select("h1", "h2", F.col("r.doc_id").alias("node"), "r.n", "r.bands", "r.sketch"))
-        self.sketches = self.classes.select("node", "sketch")
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
+        self.rows = saved(self.docs.mapInArrow(_prepare, "doc_id long, mark long, n long, h1 long, h2 long, bands array<long>, sketch binary"))
+        full = self.rows.where("n > 0 and doc_id is not null").groupBy("h1", "h2")
+        full = full.agg(F.min(F.struct("doc_id", "mark", "n", "bands", "sketch")).alias("r"), F.count("*").alias("copies"))
+        classes = saved(full.select("h1", "h2", F.col("r.doc_id").alias("name"), "r.mark", "r.n", "r.bands", "r.sketch", "copies"))
+        shared, small = few(classes.groupBy("name").count().where("count > 1").select(F.col("name").alias("_name")))
+        self.repeated = not shared.isEmpty()
+        if self.repeated:
+            shared = F.broadcast(shared) if small else shared
+            both = classes.join(shared, F.col("name") == F.col("_name"), "left")
+            classes = saved(both.withColumn("node", F.when(F.col("_name").isNull(), F.col("name")).otherwise(F.xxhash64("h1", "h2"))).drop("_name"))
+        else:
+            classes = classes.withColumn("node", F.col("name"))
+        self.classes = classes
+        self.sketches = classes.select("node", "sketch")
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
-        """(doc_id, set) for the nodes in `ids`; their texts are found without a shuffle while the ids are few enough to broadcast."""
-        few = ids.count() <= BROADCAST_IDS
-        found = self.docs.join(F.broadcast(ids) if few else ids, self.docs["doc_id"] == ids["node"], "left_semi")
-        return found.mapInArrow(_sets, "doc_id long, set binary")
+        """(node, set) for the nodes in `ids`; their texts are found without a shuffle while the ids are few enough to broadcast."""
+        found = ids.join(self.classes.select("node", "name", "mark"), "node") if self.repeated else ids.select("node", F.col("node").alias("name"))
+        found, small = few(found.withColumnRenamed("mark", "_mark"))
+        same = self.docs["doc_id"] == F.col("name")
+        if self.repeated:
+            same = same & (self.docs["mark"] == F.col("_mark"))
+        return self.docs.join(F.broadcast(found) if small else found, same).select("node", "text").mapInArrow(_sets, "node long, set binary")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those pairs (a, b) that reach the threshold on full sets."""
         pairs = saved(pairs)
         sets = saved(self.sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
-        left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("left")), "a")
-        both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("right")), "b")
+        left = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("left")), "a")
+        both = left.join(sets.select(F.col("node").alias("b"), F.col("set").alias("right")), "b")
         return both.select("a", "b", "left", "right").mapInArrow(_confirm, "a long, b long").distinct()
 
     def likely(self, pairs: DataFrame) -> DataFrame:
@@ -243,6 +263,15 @@ class _Corpus:
         both = left.join(self.sketches.select(F.col("node").alias("b"), F.col("sketch").alias("right")), "b")
         return both.select("a", "b", "left", "right").mapInArrow(_agree, "a long, b long")
 
+    def named(self, labels: DataFrame) -> DataFrame:
+        """(h1, h2, class_id, copies): the least doc_id that each class reaches; `labels` are (node, component)."""
+        both = self.classes.select("h1", "h2", "node", "name", "copies").join(labels, "node", "left")
+        if not self.repeated:
+            return both.select("h1", "h2", F.coalesce("component", "name").alias("class_id"), "copies")
+        both = saved(both)
+        least = both.where("component is not null").groupBy("component").agg(F.min("name").alias("class_id"))
+        return both.join(least, "component", "left").select("h1", "h2", F.coalesce("class_id", "name").alias("class_id"), "copies")
+
 
 def _stars(members: DataFrame) -> DataFrame:
     """Members of a band with its least and its greatest class."""
@@ -253,18 +282,22 @@ def _stars(members: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows (bkey, node, n, comp) of bands that hold several components, dealt to blocks; each pair of a band's blocks is one group."""
-    open_bands = rows.groupBy("bkey").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("m")).where("c1 <> c2")
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    rows = rows.join(open_bands.select("bkey", blocks.alias("blocks")), "bkey").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return rows.select("bkey", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "n", "node", "comp")
+    """Rows (bkey, node, n, comp) of bands that hold several components, dealt to blocks.
+
+    Two members of different components can't both be of the largest one. A member of it stays in
+    its own block (side 0); any other also visits the other blocks of the band (side 1).
+    """
+    parts = rows.groupBy("bkey", "comp").agg(F.count("*").alias("m"))
+    bands = parts.groupBy("bkey").agg(F.sum("m").alias("m"), F.count("*").alias("parts"), F.max(F.struct("m", "comp")).alias("most")).where("parts > 1")
+    bands, small = few(bands.select("bkey", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("blocks"), F.col("most.comp").alias("most")))
+    rows = rows.join(F.broadcast(bands) if small else bands, "bkey").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    rows = rows.withColumn("i", F.explode(F.when(F.col("comp") == F.col("most"), F.array("own")).otherwise(every)))
+    return rows.select("bkey", "i", F.when(F.col("i") == F.col("own"), 0).otherwise(1).alias("side"), "n", "node", "comp")
 
 
 def _sorted(rows: DataFrame, payload: str) -> DataFrame:
-    rows = rows.select("bkey", "i", "j", "side", "n", "node", "comp", payload)
-    return rows.repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j", "n", "node")
+    return rows.select("bkey", "i", "side", "n", "node", "comp", payload).repartition("bkey", "i").sortWithinPartitions("bkey", "i", "n", "node")
 
 
 def _rest(corpus: _Corpus, members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -276,7 +309,7 @@ def _rest(corpus: _Corpus, members: DataFrame, labels: DataFrame) -> DataFrame:
     rows = members.select("bkey", "node", "n").join(labels, "node", "left").select("bkey", "node", "n", F.coalesce("component", "node").alias("comp"))
     rows = saved(rows)
     suspects = saved(_sorted(_blocks(rows).join(corpus.sketches, "node"), "sketch").mapInArrow(_suspects, "node long").distinct())
-    sets = corpus.sets_of(suspects).select(F.col("doc_id").alias("node"), "set")
+    sets = corpus.sets_of(suspects)
     return _sorted(_blocks(rows.join(suspects, "node")).join(sets, "node"), "set").mapInArrow(_linked, "a long, b long").distinct()
 
 
@@ -285,14 +318,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Shingles are five words, or the whole sequence where it is shorter; a null or empty text has
     none and is linked with nothing. Rows with equal sets form one class named by its smallest
-    doc_id. A row without doc_id takes no part in naming; it gets the component of its text's class
-    if an identified row has that set, else none, and is kept. Repeated rows share one class. An
-    empty table gives no rows; other columns are ignored.
+    doc_id. Rows of one id with different texts are documents of their own that share a name. A row
+    without doc_id takes no part in naming; it gets the component of its text's class if an
+    identified row has that set, else none, and is kept. Repeated rows share one class. An empty
+    table gives no rows; other columns are ignored.
     """
+    return _grouped(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """near_duplicates and `mark`, a hash of the text."""
     corpus = _Corpus(docs)
     bands = corpus.classes.select("node", "n", F.explode("bands").alias("bkey"))
     shared = bands.groupBy("bkey").agg(F.count("*").alias("m"), F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi")).where("m > 1")
-    members = saved(bands.join(shared, "bkey"))
+    members = saved(hot_join(bands, saved(shared), ["bkey"], "inner", F.col("m") > HOT).drop("m"))
     del bands, shared
     release(docs.sparkSession)
     links = saved(corpus.confirmed(corpus.likely(_stars(members))))
@@ -300,26 +339,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = saved(_rest(corpus, members, labels))
     release(docs.sparkSession)
     labels = components(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
-    named = corpus.classes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("class_id"))
-    return corpus.rows.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("class_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    rows = corpus.rows.select("doc_id", "mark", "n", "h1", "h2")
+    full = hot_join(rows.where("n > 0"), saved(corpus.named(labels)), ["h1", "h2"], "left", F.col("copies") > HOT).select("doc_id", "mark", "n", "class_id")
+    none = rows.where("n = 0").select("doc_id", "mark", "n", F.col("doc_id").alias("class_id"))
+    both = full.unionByName(none).withColumn("component_id", F.coalesce("class_id", "doc_id"))
+    return both.select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each near-duplicate group, with all columns; repeated rows of a kept document become one.
+    """The kept rows of `near_duplicates`, with all columns; rows of one id and text become one, the least by its columns.
 
-    Texts are not shuffled while the ids to drop are few enough to broadcast.
+    Rows are told apart by id and text. Texts are not shuffled while the ids to drop are few enough
+    to broadcast. Columns of any name pass.
     """
-    found = saved(near_duplicates(docs).select("doc_id", "kept"))
+    found = saved(_grouped(docs).where("doc_id is not null"))
+    names = [f.name for f in docs.schema.fields]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("of"))
 
     def ids(rows: DataFrame) -> DataFrame:
-        rows = saved(rows.select(F.col("doc_id").alias("_drop")).distinct())
-        return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
-
-    kept = docs.join(ids(found.where("not kept")), F.col("doc_id") == F.col("_drop"), "left_anti")
-    repeated = ids(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1"))
-    single = kept.join(repeated, F.col("doc_id") == F.col("_drop"), "left_anti")
-    return single.unionByName(kept.join(repeated, F.col("doc_id") == F.col("_drop"), "left_semi").dropDuplicates(["doc_id"]))
+        rows, small = few(rows.select("doc_id", "mark").distinct())
+        return F.broadcast(rows) if small else rows
+
+    same = (F.col("id") == F.col("doc_id")) & (F.col("of") == F.col("mark"))
+    kept = packed.join(ids(found.where("not kept")), same, "left_anti")
+    repeated = ids(found.where("kept").groupBy("doc_id", "mark").count().where("count > 1"))
+    single = kept.join(repeated, same, "left_anti").select("row")
+    least = kept.join(repeated, same, "left_semi").groupBy("id", "of").agg(F.min("row").alias("row")).select("row")
+    return single.unionByName(least).select(*[F.col(f"row.`{c}`").alias(c) for c in names])

@@ -41,8 +41,8 @@ def test_awkward_rows_match_brute_force(docs):
         if r.doc_id is not None:
             assert (r.n_shingles, r.component_id) == want[r.doc_id]
             assert r.kept == (r.component_id == r.doc_id)
-    nameless = [r for r in got if r.doc_id is None]
-    assert sorted(r.component_id if r.component_id is not None else -1 for r in nameless) == [-1, 0] and all(r.kept for r in nameless) is False or nameless
+    nameless = [(r.component_id, r.kept) for r in got if r.doc_id is None]
+    assert sorted(nameless, key=str) == [(0, True), (None, True)]
 
 
 def test_chain_and_dense_group_match_brute_force(spark):
@@ -72,9 +72,40 @@ def test_keep_one_keeps_columns_and_one_row_of_each_group(docs):
     ids = [r.doc_id for r in got.collect() if r.doc_id is not None]
     assert len(ids) == len(set(ids))
     want = brute([(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None])
+    assert sum(r.doc_id is None for r in got.collect()) == 2
     assert set(ids) == {i for i, (_, c) in want.items() if c == i}
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcde"}
+    rows = [(3, "b", 1), (5, "a", 2), (5, "b", 3), (7, "c", 4), (7, "d", 5), (9, "c", 6), (8, "d", 7), (7, "c", 4), (7, "c", 9), (None, "e", 8), (None, "e", 8)]
+    docs = spark.createDataFrame([(i, text[k], n, "x") for i, k, n in rows], "doc_id long, text string, row long, _drop string")
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in minhash_dedup.near_duplicates(docs).collect())
+    assert got == sorted([(3, 3, True), (5, 5, True), (5, 3, False), (7, 7, True), (7, 7, True), (9, 7, False), (8, 7, False), (7, 7, True), (7, 7, True), (-1, -1, True), (-1, -1, True)])
+    kept = minhash_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.row) for r in kept.collect()) == sorted([(3, 1), (5, 2), (7, 4), (7, 5), (-1, 8), (-1, 8)])
+
+
+def test_hot_bands_and_classes_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "HOT", 4)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(11)
+    texts = []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(30):
+            other = list(base)
+            for p in rng.choice(60, int(rng.integers(0, 4)), replace=False):
+                other[p] = f"n{rng.integers(0, 50)}"
+            texts.append(" ".join(other))
+        texts += [" ".join(base)] * 6
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_shingles_agree_with_words():
     texts = ["A b c d e f", "a B", "", None, " x\ty\nz  w v u t ", "a b c d e f"]
     sizes = [len(s) for s in shingle_rows(pa.array(texts))]
