@@ -9,16 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from lyceum.llm.common import saved
+from lyceum.llm.common import few, running_sums, saved
 
 #: Regular expression of a word; the size of a document is their number.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code-point order, repeating; share of all words that the mix takes; most epochs of a source.
 WEIGHTS, SHARE_PERCENT, EPOCHS = (3, 1, 2), 150, 2
-#: Rows that one prefix-sum group holds on average.
-GROUP_ROWS = 2_000
-#: Sources up to which the table of their cuts is broadcast.
-BROADCAST_SOURCES = 100_000
+#: Equal rows at a cut that one output task makes at most.
+CHUNK = 1_000
 
 
 def hash_key(doc_id: Column) -> Column:
@@ -55,41 +53,33 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> Data
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source, source_size, target, taken, start: how many words the mix takes of every row.
 
-    A source's documents lie in hash order on a ring; the mix takes whole epochs and then words up
-    to the exact budget, so its sum is the target rounded down and the last document may be taken
-    in part. Keys are uniform, so ranges of them are even groups: sums of groups give each group's
-    start, and no task orders a whole source. Null texts have size 0, a null source is a source of
-    its own (last), null ids share one key, repeated rows are taken one after the other, and an
-    empty table gives no rows.
+    A source's documents lie in hash order; the mix takes whole epochs and then words up to the
+    exact budget, so its sum is the target rounded down and the last document may be taken in part.
+    Rows are sorted within ranges of (source, key, id, size, text), and sums of ranges give each
+    range its start: no task holds a whole source, nor all rows of one key. Null texts have size 0,
+    a null source is a source of its own (last), null ids share one key, repeated rows are taken
+    one after the other, and an empty table gives no rows.
     """
-    rows = saved(
-        docs.select(
-            "doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            "source", hash_key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("mark"),
-        )
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        "source", hash_key(F.col("doc_id")).alias("key"), F.xxhash64("text").alias("mark"),
     )
-    groups = 1 << max(0, (rows.count() // GROUP_ROWS).bit_length())
-    rows = rows.withColumn("part", F.shiftrightunsigned("key", 60 - groups.bit_length() + 1) if groups > 1 else F.lit(0).cast("long"))
-    parts = rows.groupBy("source", "part").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("source", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first"), F.sum("words").over(Window.partitionBy("source")).alias("source_size"))
-    targets = source_targets(parts.groupBy("source").agg(F.max("source_size").alias("source_size"))).withColumnRenamed("source_size", "_size")
-    parts = parts.alias("p").join(targets.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source"))).select("p.source", "part", "first", "source_size", "target")
-    joined = rows.alias("r").join(parts.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.part") == F.col("p.part"))).select("doc_id", "size", "r.source", "key", "mark", "r.part", "first", "source_size", "target")
-    within = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("first") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    placed = saved(running_sums(rows, "source", ["key", "doc_id", "size", "mark"], "size"))
+    targets, small = few(source_targets(placed.groupBy("source").agg(F.max("total").alias("source_size"))))
+    targets = targets.select(F.col("source").alias("_source"), "source_size", "target")
+    joined = placed.join(F.broadcast(targets) if small else targets, F.col("source").eqNullSafe(F.col("_source"))).withColumnRenamed("before", "start")
     budget = F.floor(F.col("target") + F.lit(1e-9))
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = budget - whole * F.col("source_size")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    return joined.withColumn("start", start).select(
+    return joined.select(
         "doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), "start", "key", whole.cast("long").alias("whole"), rest.cast("long").alias("rest"), "mark"
     )
 
 
 def cuts(docs: DataFrame) -> DataFrame:
     """One row a source: whole epochs; key and tie (id, size, hash of the text) of the document at which the last epoch is cut; its number among the rows that equal it in both, how many these are, and the words taken of it."""
-    rows = saved(mix(docs).select("source", "whole", "rest", "start", "size", "key", F.struct("doc_id", "size", "mark").alias("tie")))
+    rows = mix(docs).select("source", "whole", "rest", "start", "size", "key", F.struct("doc_id", "size", "mark").alias("tie"))
     last = F.min(F.when(F.col("start") + F.col("size") > F.col("rest"), F.struct("key", "tie", "start", (F.col("rest") - F.col("start")).alias("words"))))
     edges = rows.groupBy("source").agg(F.max("whole").alias("whole"), last.alias("last")).alias("e")
     same = F.col("r.source").eqNullSafe(F.col("e.source")) & (F.col("r.key") == F.col("last.key")) & (F.col("r.tie") == F.col("last.tie"))
@@ -118,32 +108,33 @@ def materialised(docs: DataFrame) -> DataFrame:
 
     A document lies before the cut, at it or after it by its own columns, so the texts meet only
     a table of one row a source and are not shuffled. Rows with the key of the cut are told apart by
-    id, size and text; only rows that are equal in these as well, where a source is cut among them,
-    are numbered by a window. All columns stay, with `n_chars` counted anew for the cut ones.
-    Documents without words are not taken.
+    id, size and text; rows that are equal in these as well are counted by their content, partially
+    before the shuffle, and as many as the mix takes are made of each. All columns stay, with
+    `n_chars` counted anew for the cut ones. Documents without words are not taken.
     """
-    edges = saved(cuts(docs))
-    edges = F.broadcast(edges) if edges.count() <= BROADCAST_SOURCES else edges
-    rows = docs.select(F.struct("*").alias("row"), hash_key(F.col("doc_id")).alias("key"), F.col("source"))
-    both = rows.alias("r").join(edges.alias("e"), F.col("r.source").eqNullSafe(F.col("e.source")))
+    edges, small = few(cuts(docs))
+    names = [f.name for f in docs.schema.fields]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), hash_key(F.col("doc_id").cast("long")).alias("key"), F.col("source").alias("of"))
+    both = packed.join(F.broadcast(edges) if small else edges, F.col("of").eqNullSafe(F.col("source")))
     size = F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long")
     tied = F.coalesce(F.col("key") == F.col("cut_key"), F.lit(False))
-    tie = F.when(tied, F.struct(F.col("row.doc_id").alias("doc_id"), size.alias("size"), F.xxhash64("row.text").alias("mark")))
-    both = both.select("row", "key", "whole", "cut_key", "cut_tie", "cut_nth", "ties", "words", F.col("e.source").alias("source"), tie.alias("tie"))
+    tie = F.when(tied, F.struct(F.col("row.doc_id").cast("long").alias("doc_id"), size.alias("size"), F.xxhash64("row.text").alias("mark")))
+    both = both.where(F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))).withColumn("tie", tie)
     equal = F.coalesce(F.col("tie") == F.col("cut_tie"), F.lit(False))
-    if edges.where("ties > 1").isEmpty():
-        both = both.withColumn("nth", F.when(equal, 1))
-    else:
-        among = Window.partitionBy("source").orderBy(F.xxhash64("row"))
-        both = both.where(~equal).withColumn("nth", F.lit(None).cast("int")).unionByName(both.where(equal).withColumn("nth", F.row_number().over(among)))
-    before = (F.col("key") < F.col("cut_key")) | (F.col("tie") < F.col("cut_tie")) | (equal & (F.col("nth") < F.col("cut_nth")))
-    part = F.when(equal & (F.col("nth") == F.col("cut_nth")), F.col("words")).otherwise(0)
+    before = F.coalesce((F.col("key") < F.col("cut_key")) | (F.col("tie") < F.col("cut_tie")), F.lit(False))
     full = F.col("whole") + F.when(before, 1).otherwise(0)
-    both = both.select("row", part.cast("long").alias("part"), full.cast("long").alias("full")).where(F.coalesce(F.col("row.text").rlike(WORD), F.lit(False)) & ((F.col("part") > 0) | (F.col("full") > 0)))
-    both = both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("full") + F.when(F.col("part") > 0, 1).otherwise(0))))
-    cut = F.col("copy") > F.col("full")
-    both = both.withColumn("short", _first_words(F.when(cut, F.col("row.text")), F.col("part")))
-    new = {"text": F.when(cut, F.col("short")).otherwise(F.col("row.text"))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(cut, F.length("short")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return both.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    plain = both.where(~equal & (full > 0)).select("row", F.explode(F.sequence(F.lit(1), full.cast("long"))).alias("copy"))
+    alike = saved(both.where(equal).groupBy("source", "row", "whole", "cut_nth", "words").agg(F.count("*").alias("n")))
+    until = F.sum("n").over(Window.partitionBy("source").orderBy(F.xxhash64("row"), "row"))
+    alike = alike.withColumn("first", until - F.col("n"))
+    left = F.col("cut_nth") - 1 - F.col("first")
+    copies = F.col("whole") * F.col("n") + F.greatest(F.lit(0), F.least(F.col("n"), left))
+    whole = alike.select("row", copies.alias("copies")).where("copies > 0")
+    whole = whole.select("row", "copies", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("long"), F.lit(CHUNK).cast("long"))).alias("at")).repartition(F.hash("row", "at"))
+    whole = whole.select("row", F.explode(F.sequence(F.col("at"), F.least(F.col("copies"), F.col("at") + CHUNK) - 1)).alias("copy"))
+    cut = alike.where((left >= 0) & (left < F.col("n")) & (F.col("words") > 0)).select("row", _first_words(F.col("row.text"), F.col("words")).alias("short"))
+    kept = plain.unionByName(whole).select(*[F.col(f"row.`{c}`").alias(c) for c in names])
+    new = {"text": F.col("short")}
+    if "n_chars" in names:
+        new["n_chars"] = F.length("short").cast(docs.schema["n_chars"].dataType)
+    return kept.unionByName(cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in names]))

@@ -87,6 +87,34 @@ with recursive w as (
 )
 select w.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, w.doc_id = c.component_id as kept
 from w left join n using (doc_id) join (select doc_id, min(other) as component_id from r group by doc_id) c using (doc_id)
+""",
+    "op3_sharding": r"""
+with recursive t as (
+  select i, i as c, 0 as step from range(0, 256) x(i)
+  union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, step + 1 from t where step < 8
+), crc as (
+  select list(c order by i) as tab from t where step = 8
+), d as (
+  select doc_id, (coalesce(octet_length(encode(text)), 0) + 16)::bigint as size, coalesce(doc_id::varchar, '') as key,
+    xor(list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::bigint)),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295::bigint)::bigint as text_crc32
+  from documents, crc
+), g as (
+  select d.*, list_transform(range(0, 41), lambda i: -ln((('0x' || substr(md5(key || '/g' || case when i = 40 then 40 else i % 2 end), 1, 13))::bigint + 0.5) / 4503599627370496.0) / case when i = 40 then 1.0 else 20.0 end) as u from d
+), r as (
+  select *, case when u[1] < u[2] then 0 else 1 end as region from g
+), k as (
+  select *, list_transform(range(0, 4), lambda i: -ln((('0x' || substr(md5(key || '/g' || region || 'r' || (4 * region + i)), 1, 13))::bigint + 0.5) / 4503599627370496.0) / 5.0) as v from r
+), a as (
+  select *, 4 * region + list_position(v, list_min(v)) - 1 as rack from k
+), s as (
+  select *, list_transform(range(0, 5), lambda i: -ln((('0x' || substr(md5(key || '/' || (5 * rack + i)), 1, 13))::bigint + 0.5) / 4503599627370496.0) / 1.0) as w from a
+), c as (
+  select *, (5 * rack + list_position(w, list_min(w)) - 1)::integer as shard from s
+)
+select doc_id, size, text_crc32, 'key' as law, shard, (row_number() over (partition by shard order by md5(key), doc_id) - 1)::bigint as slot,
+  case when u[41] < least(u[1], u[2]) then 40 else shard end as grown_shard
+from c
 """,
     "op6_url_filter": r"""
 with u as (

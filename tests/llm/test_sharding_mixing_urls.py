@@ -1,32 +1,39 @@
+import hashlib
 import math
-import struct
+import re
 import zlib
 
-import xxhash
-from lyceum.llm import mixing, sharding, url_filter
+import pytest
+from lyceum.llm import common, mixing, sharding, url_filter
 from pyspark.sql import functions as F
 
 
-def signed(h):
-    return h - (1 << 64) if h >> 63 else h
+def draw(key, name, weight):
+    return -math.log((int(hashlib.md5(f"{key}/{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / weight
 
 
-def draw(doc_id, shard):
-    seed = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
-    h = xxhash.xxh64_intdigest(struct.pack("<q", shard), seed)
-    return -math.log(((h >> 11) + 0.5) / 2.0**53)
+def descend(doc_id, tree):
+    """The shard of a key, level by level."""
+    key, inside = "" if doc_id is None else str(doc_id), [x for x in tree if x.weight > 0]
+    for name in (lambda x: f"g{x.region}", lambda x: f"g{x.region}r{x.rack}", lambda x: str(x.shard)):
+        weights = {}
+        for x in inside:
+            weights[name(x)] = weights.get(name(x), 0) + x.weight
+        best = min(weights, key=lambda n: draw(key, n, weights[n]))
+        inside = [x for x in inside if name(x) == best]
+    return inside[0].shard
 
 
-def test_shards_match_a_plain_tree_and_grow_into_the_new_one_only(docs):
+def test_shards_match_a_plain_descent_and_grow_into_the_new_one_only(docs, monkeypatch):
+    monkeypatch.setattr(common, "RANGE_ROWS", 10)
     got = sharding.shard_rows(docs).collect()
     assert len(got) == docs.count()
     texts = {}
     for r in docs.collect():
         texts.setdefault(r.doc_id, set()).add(r.text)
     for r in got:
-        draws = [draw(r.doc_id, s) for s in range(41)]
-        assert r.shard == min(range(40), key=draws.__getitem__)
-        assert r.grown_shard == min(range(41), key=draws.__getitem__)
+        assert r.shard == descend(r.doc_id, sharding.founded_tree(40))
+        assert r.grown_shard == descend(r.doc_id, sharding.founded_tree(41, 40))
         assert r.grown_shard in (r.shard, 40) and r.law == "key"
         assert (r.size, r.text_crc32) in {(len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for t in texts[r.doc_id]}
     for s in range(40):
@@ -34,15 +41,49 @@ def test_shards_match_a_plain_tree_and_grow_into_the_new_one_only(docs):
         assert slots == list(range(len(slots)))
 
 
+def test_every_further_shard_takes_rows_only_into_itself(spark):
+    ids = spark.range(3000).withColumnRenamed("id", "doc_id")
+    for n in (40, 41, 46, 12):
+        founded = min(n, 40)
+        rows = sharding.descend(ids, F.col("doc_id"), sharding.founded_tree(n, founded), "a")
+        rows = sharding.descend(rows, F.col("doc_id"), sharding.founded_tree(n + 1, founded), "b").collect()
+        assert {r.b for r in rows if r.a != r.b} == {n}
+        assert abs(sum(r.b == n for r in rows) / 3000 - 1 / (n + 1)) < 0.02
+
+
 def test_weights_confine_movement_to_changed_subtrees(spark):
-    ids = spark.range(2000).withColumnRenamed("id", "doc_id")
-    tree = sharding.uniform_tree(40)
-    heavier = [sharding.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 7 else 1.0) for x in tree]
-    rows = ids.select("doc_id", sharding.shard(ids, tree).alias("a"), sharding.shard(ids, heavier).alias("b")).collect()
+    ids = spark.range(6000).withColumnRenamed("id", "doc_id")
+    tree = sharding.reweighted(sharding.founded_tree(40), {3: 2.0, 11: 0.5, 30: 0.0})
+    heavier = sharding.reweighted(tree, {7: 4.0})
+    rows = sharding.descend(sharding.descend(ids, F.col("doc_id"), tree, "a"), F.col("doc_id"), heavier, "b").collect()
+    for r in rows[:300]:
+        assert (r.a, r.b) == (descend(r.doc_id, tree), descend(r.doc_id, heavier))
+    assert all(r.a != 30 for r in rows)
+    place = {x.shard: (x.region, x.rack) for x in tree}
     moved = [r for r in rows if r.a != r.b]
-    assert moved and all(r.b == 7 for r in moved)
-    share = sum(r.b == 7 for r in rows) / len(rows)
-    assert abs(share - 3 / 42) < 0.03
+    assert moved
+    for r in moved:
+        (a, x), (b, y) = place[r.a], place[r.b]
+        # Between regions only into the heavier one, between its racks only into the heavier one, within a rack only to the shard.
+        assert b == 0 and (a != b or y == 1) and ((a, x) != (b, y) or r.b == 7)
+    for shard, weight in ((3, 2.0), (11, 0.5), (7, 4.0), (25, 1.0)):
+        assert abs(sum(r.b == shard for r in rows) / 6000 - weight / (40 + 1 - 0.5 - 1 + 3)) < 0.012
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_running_sums_match_a_plain_sort(spark, monkeypatch, size):
+    monkeypatch.setattr(common, "RANGE_ROWS", size)
+    rows = [(k % 3 if k % 5 else None, k % 4, k % 7 + 1) for k in range(60)] + [(1, 2, 5)] * 40
+    df = spark.createDataFrame(rows, "g long, o long, v long").repartition(4)
+    got = [tuple(r) for r in common.running_sums(df, "g", ["o", "v"], "v").collect()]
+    want = []
+    for g in {r[0] for r in rows}:
+        at, total = 0, sum(r[2] for r in rows if r[0] == g)
+        for r in sorted(x for x in rows if x[0] == g):
+            want.append((*r, at, total))
+            at += r[2]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert common.running_sums(df.limit(0), "g", ["o"], "v").count() == 0
 
 
 def test_empty_tables(empty, spark):
@@ -69,11 +110,10 @@ def test_mix_meets_targets_and_materialises_them(docs):
     assert made.columns == docs.columns
     words = {}
     for r in made.collect():
-        words[r.source] = words.get(r.source, 0) + len((r.text or "").split())
+        words[r.source] = words.get(r.source, 0) + len(re.findall(mixing.WORD, r.text or ""))
         assert r.n_chars == len(r.text)
-    repeated = 30_000
     for source, rows in by.items():
-        assert abs(words[source] - sum(r.taken for r in rows)) <= 3 * repeated
+        assert words[source] == sum(r.taken for r in rows)
 
 
 def test_mix_reruns_agree(docs):
@@ -109,6 +149,15 @@ def test_bloom_filter_has_no_false_negatives_and_few_false_positives(spark):
     assert url_filter.maybe_listed(others, made, blocks, broadcast=True).where("maybe").count() < 400
 
 
+def test_a_repeated_id_loses_no_words(spark):
+    rows = [(1, f"w{i % 4} " * 10, "b") for i in range(20)] + [(2, "x " * 5, "a")] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = mixing.mix(docs).collect()
+    made = mixing.materialised(docs).collect()
+    for source in "ab":
+        assert sum(r.taken for r in plan if r.source == source) == sum(len(r.text.split()) for r in made if r.source == source)
+
+
 def test_ties_at_a_cut_are_taken_exactly(spark):
     rows = [(None, f"w{i % 7} " * 10, "a") for i in range(60)] + [(None, "same text of the b " * 2, "b")] * 30 + [(i, "c " * 9, "c") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
