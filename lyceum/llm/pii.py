@@ -1,12 +1,12 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions, all in numpy.
 
 The tagger learns from labelled spans that a seeded generator writes: plain and disguised e-mail
-addresses, addresses of machines, card and phone numbers in many notations, and look-alikes. A
-span must hold an anchor (a digit, `@`, or a bracketed `at`), so text farther from every anchor
-than CONTEXT can hold none and isn't scored; the rest of every whole text is cut into overlapping
-windows, which are decoded with the CRF and reconciled over the whole text: each character takes
-the label of the window in which it lies nearest the middle, and runs of labels are spans. Spans
-of the tagger that overlap a base span, or lack what their kind needs, are dropped; base spans stay.
+addresses, addresses of machines, card and phone numbers in many notations, and look-alikes. It
+scores every character of every text in overlapping windows; each character takes the scores of the
+window in which it lies farthest from an edge, and one decoding runs over these scores of the whole
+text. Characters that no best path can tag are recognised by their margin over any transitions, so
+only the stretches between them are decoded, with the same result. Spans of the tagger that overlap
+a base span, or lack what their kind needs, are dropped; base spans stay.
 """
 
 from __future__ import annotations
@@ -21,17 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters of a window, step between windows, characters kept around an anchor.
-WINDOW, STEP, CONTEXT = 96, 48, 40
-#: Hidden units each way, training batches, windows in a batch, seed.
-HIDDEN, BATCHES, BATCH, SEED = 24, 260, 64, 20240607
+#: Characters of a window, and of the margin at its edges that a neighbouring window decides.
+WINDOW, MARGIN = 384, 20
+#: Characters of the texts that one pass scores; a longer single text is a pass of its own.
+PASS_CHARS = 1 << 21
+#: Hidden units each way, training batches, windows in a batch, characters of a training window, seed.
+HIDDEN, BATCHES, BATCH, LEARNED, SEED = 16, 240, 64, 112, 20240607
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+$")
 _IP = re.compile(r"(?<![0-9])([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_ANCHOR = re.compile(r"[0-9@]|[\[(] ?at ?[\])]")
 _AT = re.compile(r"@|[\[(] ?at ?[\])]")
 _DIGITS = re.compile("[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -246,33 +247,112 @@ class Tagger:
             np.add.at(g["x" + way], sym.ravel(), dz.reshape(-1, 4 * HIDDEN))
         return float((z - gold).sum() * scale), {k: v * scale for k, v in g.items()}
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best labels [time, row] of symbols [time, row]."""
-        s, _, _ = self.states(x)
-        e, trans = s @ self.p["w"] + self.p["b"], self.p["trans"]
-        best, back = e[0] + self.p["first"], np.empty(e.shape, np.int8)
-        for t in range(1, len(x)):
-            step = best[:, :, None] + trans
-            back[t] = step.argmax(1)
-            best = step.max(1) + e[t]
-        out = np.empty(x.shape, np.int8)
-        out[-1] = best.argmax(1)
-        rows = np.arange(x.shape[1])
-        for t in range(len(x) - 1, 0, -1):
-            out[t - 1] = back[t, rows, out[t]]
+    def scores(self, pieces: list[np.ndarray]) -> list[np.ndarray]:
+        """Scores [character, tag] of each window of symbols; the windows do not see each other."""
+        order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
+        sizes = np.array([len(pieces[k]) for k in order])
+        x, back = np.full((2, sizes[0], len(pieces)), _PAD, np.int32)
+        for r, k in enumerate(order):
+            x[: sizes[r], r], back[: sizes[r], r] = pieces[k], pieces[k][::-1]
+        alive = (sizes[None, :] > np.arange(sizes[0])[:, None]).sum(1)
+        ahead = _run(x, alive, self.p["xf"], self.p["uf"]) @ self.p["w"][:HIDDEN] + self.p["b"]
+        behind = _run(back, alive, self.p["xb"], self.p["ub"]) @ self.p["w"][HIDDEN:]
+        out: list[np.ndarray] = [ahead[:0, 0]] * len(pieces)
+        for r, k in enumerate(order):
+            out[k] = ahead[: sizes[r], r] + behind[: sizes[r], r][::-1]
+        return out
+
+    def doubtful(self, e: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Places that the best path may tag; e [character, tag] are the scores of texts that begin at `base`.
+
+        A tagged run gains over no tags at most the sum of its characters' best gains, each with
+        the best inner transition, and a constant for its ends. A place is doubtful if a run over
+        it could gain: the greatest such sum over a place comes from running sums and their
+        extremes, and a place without one is untagged in every best path.
+        """
+        t, inner = self.p["trans"].astype(np.float64), self.p["trans"][1:, 1:].max()
+        ends = max((t[0, 1:] - t[0, 0]).max(), (self.p["first"][1:] - self.p["first"][0]).max()) + max((t[1:, 0] - t[0, 0]).max(), 0) + t[0, 0] - inner
+        gain = (e[:, 1:].max(1) - e[:, 0]).astype(np.float64) + inner - t[0, 0]
+        # A wall before each text keeps runs inside it.
+        walls = np.insert(gain, base[:-1], -1e6)
+        sums = np.cumsum(walls)
+        low = np.minimum.accumulate(np.concatenate([[0.0], sums[:-1]]))
+        high = np.maximum.accumulate(np.append(sums, -np.inf)[::-1])[::-1][:-1]
+        high = np.where(walls > -5e5, high, 0)
+        reach = high - low + ends
+        return np.flatnonzero((reach > -1e-3)[walls > -5e5])
+
+    def decode(self, e: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, tags) of the best paths of texts with scores e [character, tag] that begin at `base`; other places are untagged."""
+        place = self.doubtful(e, base)
+        owner = np.searchsorted(base, place, "right") - 1
+        new = np.flatnonzero((np.diff(place, prepend=-2) != 1) | (np.diff(owner, prepend=-1) != 0))
+        if not len(new):
+            return place, np.zeros(0, np.int8)
+        sizes = np.diff(np.append(new, len(place)))
+        ends = new + sizes - 1
+        return place, self.decoded(e[place], sizes, place[new] == base[owner[new]], place[ends] + 1 == base[owner[ends] + 1])
+
+    def decoded(self, e: np.ndarray, sizes: np.ndarray, opening: np.ndarray, closing: np.ndarray) -> np.ndarray:
+        """Best tags of consecutive stretches of `sizes` characters; a stretch that opens or closes a text has no untagged neighbour there."""
+        out = np.zeros(len(e), np.int8)
+        first = np.cumsum(sizes) - sizes
+        trans, kinds = self.p["trans"], np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)
+        for kind in np.unique(kinds):
+            group = np.flatnonzero(kinds == kind)
+            group = group[np.argsort(-sizes[group], kind="stable")]
+            n, at = sizes[group], first[group]
+            back = np.empty((n[0], len(group), _TAGS), np.int8)
+            best = e[at] + np.where(opening[group][:, None], self.p["first"], trans[0])
+            last = best.copy()
+            for t in range(1, n[0]):
+                m = int((n > t).sum())
+                step = best[:m, :, None] + trans
+                back[t, :m] = step.argmax(1)
+                best = step.max(1) + e[at[:m] + t]
+                last[:m] = best
+            tag = (last + np.where(closing[group][:, None], 0, trans[:, 0])).argmax(1).astype(np.int8)
+            out[at + n - 1] = tag
+            for t in range(n[0] - 1, 0, -1):
+                m = int((n > t).sum())
+                tag[:m] = back[t, np.arange(m), tag[:m]]
+                out[at[:m] + t - 1] = tag[:m]
         return out
 
 
+def _run(x: np.ndarray, alive: np.ndarray, inputs: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+    """States [time, row, unit] of an LSTM over symbols [time, row]; the rows are sorted by length and `alive` of them last until a step."""
+    scale = np.full(4 * HIDDEN, 0.5, np.float32)
+    scale[3 * HIDDEN :] = 1  # sigmoid(z) = tanh(z / 2) / 2 + 1 / 2, so that one tanh serves all gates
+    inputs, hidden = (inputs * scale).astype(np.float32), (hidden * scale).astype(np.float32)
+    h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
+    out = np.zeros((*x.shape, HIDDEN), np.float32)
+    z, half = np.empty((x.shape[1], 4 * HIDDEN), np.float32), np.float32(0.5)
+    for t in range(len(x)):
+        n = alive[t]
+        z = z[:n]
+        np.matmul(h[:n], hidden, out=z)
+        z += inputs.take(x[t, :n], axis=0)
+        np.tanh(z, out=z)
+        i, f, o = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
+        c = (f * half + half) * c[:n]
+        c += (i * half + half) * z[:, 3 * HIDDEN :]
+        h = out[t, :n]
+        np.tanh(c, out=h)
+        h *= o * half + half
+    return out
+
+
 def windows(rng: np.random.Generator, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and labels [time, row] of windows of labelled texts."""
-    x, y = np.full((n, WINDOW), _PAD, np.int32), np.zeros((n, WINDOW), np.int64)
+    x, y = np.full((n, LEARNED), _PAD, np.int32), np.zeros((n, LEARNED), np.int64)
     for k in range(n):
         text, spans = labelled(rng)
         sym, tags = symbols(text), np.zeros(len(text), np.int64)
         for start, kind, end in spans:
             tags[start:end] = kind + 1
-        lo = int(rng.integers(-WINDOW // 3, max(1, len(text) - WINDOW // 2)))
-        a, b = max(lo, 0), min(lo + WINDOW, len(text))
+        lo = int(rng.integers(-LEARNED // 3, max(1, len(text) - LEARNED // 2)))
+        a, b = max(lo, 0), min(lo + LEARNED, len(text))
         x[k, a - lo : b - lo], y[k, a - lo : b - lo] = sym[a:b], tags[a:b]
     return x.T.copy(), y.T.copy()
 
@@ -298,18 +378,6 @@ def trained(batches: int = BATCHES, seed: int = SEED) -> Tagger:
 # ---- spans of texts ----
 
 
-def _segments(text: str) -> list[tuple[int, int]]:
-    """Ranges of the text within CONTEXT of an anchor, merged."""
-    out: list[list[int]] = []
-    for m in _ANCHOR.finditer(text):
-        lo, hi = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if out and lo <= out[-1][1]:
-            out[-1][1] = hi
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
-
-
 def _plausible(kind: int, piece: str) -> bool:
     digits = "".join(_DIGITS.findall(piece))
     letters = any(c.isalpha() for c in piece)
@@ -324,56 +392,71 @@ def _plausible(kind: int, piece: str) -> bool:
     return not letters and 10 <= len(digits) <= 15 and len(piece) <= 2 * len(digits) and any(c in " ().-" for c in piece)
 
 
-def model_spans(model: Tagger, texts: list[str], chunk: int = 512) -> list[list[tuple[int, int, int]]]:
-    """(start, kind number, end) that the tagger finds in each whole text, reconciled over its windows."""
-    where: list[tuple[int, int, int, int]] = []  # text, start of window, start and end of what it decides
+def _windows(n: int) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, first and last place it decides) of the windows of a text of n characters."""
+    step, start = WINDOW - 2 * MARGIN, 0
+    while True:
+        end = min(start + WINDOW, n)
+        yield start, end, start + MARGIN if start else 0, n if end == n else end - MARGIN
+        if end == n:
+            return
+        start += step
+
+
+def tags(model: Tagger, texts: list[str], chunk: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(places, tags) of the characters of each whole text that may have a tag, by one decoding over the scores of its windows."""
+    base = np.cumsum([0, *map(len, texts)])
+    e = np.empty((base[-1], _TAGS), np.float32)
+    pieces: list[np.ndarray] = []
+    wanted: list[tuple[int, int, int]] = []  # place of the first decided character, and what is decided in the window
+
+    def flush() -> None:
+        for found, (p, a, b) in zip(model.scores(pieces), wanted, strict=True):
+            e[p : p + b - a] = found[a:b]
+        pieces.clear()
+        wanted.clear()
+
     for k, text in enumerate(texts):
-        for lo, hi in _segments(text):
-            starts = [*range(lo, max(lo + 1, hi - WINDOW + STEP), STEP)]
-            for n, s in enumerate(starts):
-                a = lo if not n else s + (WINDOW - STEP) // 2
-                b = hi if n + 1 == len(starts) else s + STEP + (WINDOW - STEP) // 2
-                where.append((k, s, a, min(b, hi)))
-    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    sym: tuple[int, np.ndarray] = (-1, np.zeros(0, np.int32))
-    runs: dict[int, list[list[int]]] = {}
-    for c in range(0, len(where), chunk):
-        part = where[c : c + chunk]
-        x = np.full((len(part), WINDOW), _PAD, np.int32)
-        for r, (k, s, _, _) in enumerate(part):
-            if sym[0] != k:
-                sym = (k, symbols(texts[k]))
-            piece = sym[1][s : s + WINDOW]
-            x[r, : len(piece)] = piece
-        tags = model.decode(x.T.copy()).T
-        for r, (k, s, a, b) in enumerate(part):
-            row = tags[r, a - s : b - s]
-            edges = np.flatnonzero(np.diff(row, prepend=0, append=0))
-            cuts = sorted({*edges.tolist(), len(row)})
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if i < len(row) and row[i]:
-                    found = runs.setdefault(k, [])
-                    if found and found[-1][2] == a + i and found[-1][1] == row[i] - 1:
-                        found[-1][2] = a + j
-                    else:
-                        found.append([a + i, int(row[i]) - 1, a + j])
-    for k, found in runs.items():
-        for start, kind, end in found:
-            piece = texts[k][start:end]
-            start, end = start + len(piece) - len(piece.lstrip(" \n\t.,;:*")), end - (len(piece) - len(piece.rstrip(" \n\t.,;:*(")))
-            if start < end and _plausible(kind, texts[k][start:end]):
-                out[k].append((start, kind, end))
+        if text:
+            sym = symbols(text)
+            for start, end, a, b in _windows(len(text)):
+                pieces.append(sym[start:end])
+                wanted.append((int(base[k]) + a, a - start, b - start))
+                if len(pieces) == chunk:
+                    flush()
+    if pieces:
+        flush()
+    place, found = model.decode(e, base)
+    cut = np.searchsorted(place, base)
+    return [(place[cut[k] : cut[k + 1]] - base[k], found[cut[k] : cut[k + 1]]) for k in range(len(texts))]
+
+
+def model_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    """(start, kind number, end) that the tagger finds in each whole text."""
+    out: list[list[tuple[int, int, int]]] = []
+    if sum(map(len, texts)) > PASS_CHARS and len(texts) > 1:
+        half = len(texts) // 2
+        return model_spans(model, texts[:half]) + model_spans(model, texts[half:])
+    for text, (place, tag) in zip(texts, tags(model, texts), strict=True):
+        spans = []
+        change = np.flatnonzero((np.diff(place, prepend=-2) != 1) | (np.diff(tag, prepend=0) != 0))
+        for i, j in zip(change, np.append(change[1:], len(place)), strict=False):
+            if tag[i]:
+                start, end = int(place[i]), int(place[j - 1]) + 1
+                piece = text[start:end]
+                start, end = start + len(piece) - len(piece.lstrip(" \n\t.,;:*")), end - (len(piece) - len(piece.rstrip(" \n\t.,;:*(")))
+                if start < end and _plausible(int(tag[i]) - 1, text[start:end]):
+                    spans.append((start, int(tag[i]) - 1, end))
+        out.append(spans)
     return out
 
 
 def find(model: Tagger, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """(base spans, all spans) of each text."""
     out = []
-    busy = [k for k, t in enumerate(texts) if _ANCHOR.search(t)]
-    extra = dict(zip(busy, model_spans(model, [texts[k] for k in busy]), strict=True))
-    for k, text in enumerate(texts):
-        base = base_spans(text) if k in extra else []
-        new = [s for s in extra.get(k, ()) if not any(s[0] < b[2] and b[0] < s[2] for b in base)] if base else extra.get(k, [])
+    for text, extra in zip(texts, model_spans(model, texts), strict=True):
+        base = base_spans(text)
+        new = [s for s in extra if not any(s[0] < b[2] and b[0] < s[2] for b in base)]
         out.append((base, sorted({*base, *new})))
     return out
 

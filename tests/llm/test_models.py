@@ -1,3 +1,4 @@
+import itertools
 import math
 import re
 import zlib
@@ -160,6 +161,93 @@ def test_tagger_learns_and_adds_disguised_spans():
     assert pii.find(model, ['version 3.0, token = "0123456789abcdef0123456789abcdef01234567", year 1999'])[0] == ([], [])
 
 
+def test_decoding_finds_the_best_of_all_paths():
+    rng = np.random.default_rng(21)
+    for k in range(60):
+        model = pii.Tagger(k)
+        model.p["trans"] = (rng.normal(0, 2, (5, 5)) + 3 * np.eye(5)).astype(np.float32)
+        model.p["first"] = rng.normal(0, 2, 5).astype(np.float32)
+        sizes = rng.integers(1, 6, 4)
+        base = np.concatenate([[0], np.cumsum(sizes)])
+        e = rng.normal(0, 2, (base[-1], 5)).astype(np.float32)
+        e[:, 0] += rng.choice([0, 4, 8])
+        place, tag = model.decode(e, base)
+        got = np.zeros(base[-1], int)
+        got[place] = tag
+        for a, b in zip(base, base[1:]):
+            def score(path, a=a, model=model, e=e):
+                return model.p["first"][path[0]] + sum(e[a + i, x] for i, x in enumerate(path)) + sum(model.p["trans"][x, y] for x, y in zip(path, path[1:]))
+
+            best = max(itertools.product(range(5), repeat=int(b - a)), key=score)
+            assert score(got[a:b]) == pytest.approx(score(best), abs=1e-4)
+
+
+def plain_scores(model, text):
+    """Scores of each character of a text from the window in which it lies farthest from an edge, by a plain LSTM."""
+    step = pii.WINDOW - 2 * pii.MARGIN
+    starts = [k for k in range(0, len(text), step) if k == 0 or k + 2 * pii.MARGIN < len(text)]
+    sym, out = pii.symbols(text), np.full((len(text), 5), np.nan)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    h_size = pii.HIDDEN
+    for n, start in enumerate(starts):
+        piece = sym[start : start + pii.WINDOW]
+        both = []
+        for way, order in (("f", piece), ("b", piece[::-1])):
+            h = c = np.zeros(h_size)
+            states = []
+            for x in order:
+                z = model.p["x" + way][x] + h @ model.p["u" + way]
+                i, f, o, g = sigmoid(z[:h_size]), sigmoid(z[h_size : 2 * h_size]), sigmoid(z[2 * h_size : 3 * h_size]), np.tanh(z[3 * h_size :])
+                c = f * c + i * g
+                h = o * np.tanh(c)
+                states.append(h)
+            both.append(np.array(states[:: 1 if way == "f" else -1]))
+        e = np.concatenate(both, axis=1) @ model.p["w"] + model.p["b"]
+        a = pii.MARGIN if n else 0
+        out[start + a : start + len(piece)] = e[a:]  # the next window overwrites the far margin
+    return out
+
+
+def test_windows_of_whole_texts_are_reconciled_by_one_decoding(monkeypatch):
+    monkeypatch.setattr(pii, "WINDOW", 60)
+    monkeypatch.setattr(pii, "MARGIN", 8)
+    model, rng = pii.trained(), np.random.default_rng(31)
+    texts = [" ".join(pii.labelled(rng)[0] for _ in range(k)) for k in (1, 0, 2, 1)] + ["x" * 44, "x" * 45, "1" * 200, "é"]
+    for text, (place, tag) in zip(texts, pii.tags(model, texts, chunk=5), strict=True):
+        if not text:
+            assert not len(place)
+            continue
+        e = plain_scores(model, text)
+        back, best = [], e[0] + model.p["first"]
+        for x in e[1:]:
+            step = best[:, None] + model.p["trans"]
+            back.append(step.argmax(0))
+            best = step.max(0) + x
+        path = [int(best.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        got = np.zeros(len(text), int)
+        got[place] = tag
+        assert got.tolist() == path[::-1]
+
+
+def test_precision_and_recall_of_each_kind_on_planted_spans():
+    model, rng = pii.trained(), np.random.default_rng(77)
+    planted = [pii.labelled(rng) for _ in range(300)]
+    hit, total, right, found, base_hit = (Counter() for _ in range(5))
+    for (_, spans), (base, spans_found) in zip(planted, pii.find(model, [t for t, _ in planted]), strict=True):
+        near = lambda s, many: any(k == s[1] and abs(a - s[0]) <= 2 and abs(b - s[2]) <= 2 for a, k, b in many)
+        for s in spans:
+            total[s[1]] += 1
+            hit[s[1]] += near(s, spans_found)
+            base_hit[s[1]] += near(s, base)
+        for s in spans_found:
+            found[s[1]] += 1
+            right[s[1]] += near(s, spans)
+    for kind in range(4):
+        assert hit[kind] >= 0.93 * total[kind] and right[kind] >= 0.93 * found[kind] and hit[kind] > base_hit[kind] + 0.2 * total[kind]
+
+
 def test_gradients_are_those_of_the_likelihood():
     model = pii.Tagger(1)
     model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
