@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.common import mix64, window_hashes
+from lyceum.llm.common import few, mix64, running_sums, saved, window_hashes
 
 #: Bytes of a shingle (a shorter text is one shingle), bins, stored bits of a bin (at most 8).
 WIDTH, BINS, LOW_BITS = 12, 256, 8
-#: Rows that a range of ids holds on average.
-RANGE_ROWS = 2_000
-#: Sampled ids for each range.
-SAMPLE = 20
+#: Bytes of text of a range of ids; from RANGES ranges on they grow instead, up to WIDE_BYTES, and then their number grows again.
+RANGE_BYTES, RANGES, WIDE_BYTES = 1 << 24, 4_096, 1 << 28
+#: Sampled rows for each range, of which every so many-th is the first row of one.
+SAMPLE = 16
 
 _BIN_SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 _PIECE = 1 << 19
@@ -87,68 +87,88 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Rows with `part`, a range of descending ids; the first row of each range is repeated at the end of the range before it.
+def _distinct(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key, mark, n): the different rows with their number, in the order of key and mark: descending ids, null last, and a hash of the text.
 
-    The limits are ids of the table, even steps through a sample of about SAMPLE ids for each
-    range that is drawn by hash, so the same on every run. Rows without an id come last.
+    Only rows that are repeated meet by their text, counted before the shuffle.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    rows = docs.select("doc_id", "text", key.alias("key"))
-    n, top = rows.agg(F.count("*"), F.max("key")).first()
-    count = max(1, n // RANGE_ROWS)
-    limits: list[int] = []
+    key = F.bitwise_not(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", key).withColumn("mark", F.xxhash64("text"))
+    again, small = few(rows.groupBy("key", "mark").count().where("count > 1").select("key", "mark"))
+    if again.isEmpty():
+        return rows.withColumn("n", F.lit(1).cast("long"))
+    again = F.broadcast(again) if small else again
+    once = rows.join(again, ["key", "mark"], "left_anti").withColumn("n", F.lit(1).cast("long"))
+    many = rows.join(again, ["key", "mark"], "left_semi").groupBy("doc_id", "text", "key", "mark").agg(F.count("*").alias("n"))
+    return once.select("doc_id", "text", "key", "mark", "n").unionByName(saved(many))
+
+
+def _ranges(rows: DataFrame) -> DataFrame:
+    """`rows` dealt to one partition for each range of (key, mark), with `part`; the first row of each range is repeated as a guest of the range before it.
+
+    Ranges begin at even steps through a sample of SAMPLE rows for each, drawn by hash, so the
+    same on every run; it is put in order by ranges itself, and only the limits reach the driver.
+    """
+    n, size, top = rows.agg(F.count("*"), F.sum(F.octet_length("text").cast("long")), F.min(F.struct("key", "mark"))).first()
+    count = max(1, min((size or 0) // RANGE_BYTES, max(RANGES, (size or 0) // WIDE_BYTES)))
+    found: list = []
     if count > 1:
-        place = F.shiftrightunsigned(F.xxhash64("key"), 11) / F.lit(float(1 << 53))
-        sample = sorted(r["key"] for r in rows.where(place < SAMPLE * count / n).select("key").distinct().collect())
-        limits = sorted({sample[k * len(sample) // count] for k in range(1, count)} - {top}, reverse=True) if sample else []
-    bounds = docs.sparkSession.sparkContext.broadcast(np.array(limits, np.int64)[::-1].copy())
-    parts = len(limits) + 1
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ascending = bounds.value
+        place = F.shiftrightunsigned(F.xxhash64("key", "mark"), 11) / F.lit(float(1 << 53))
+        sample = rows.where(place < SAMPLE * count / n).select(F.lit(0).alias("all"), "key", "mark", F.lit(1).cast("long").alias("one"))
+        steps = running_sums(sample, "all", ["key", "mark"], "one").where((F.col("before") > 0) & (F.col("before") % SAMPLE == 0))
+        found = sorted({(r["key"], r["mark"]) for r in steps.select("key", "mark").collect()} - {(top["key"], top["mark"])})
+    limits = rows.sparkSession.sparkContext.broadcast(np.array(found, np.int64).reshape(-1, 2))
+    first = (top["key"], top["mark"]) if top else (0, 0)
+
+    def place_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, marks = limits.value[:, 0], limits.value[:, 1]
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            below = np.searchsorted(ascending, keys, "left")  # limits below the key
-            part = len(ascending) - below
-            part = np.where(below < len(ascending), part, 0)
-            first = np.zeros(len(keys), bool)
-            if len(ascending):
-                first = (below < len(ascending)) & (ascending[np.minimum(below, len(ascending) - 1)] == keys)
-            more = np.where(first, part - 1, np.where(keys == top, parts - 1, -1))
-            take = np.flatnonzero(more >= 0)
-            cols = [batch.column(c) for c in ("doc_id", "text", "key")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(part.astype(np.int64)), pa.array(np.zeros(len(keys), np.int32))], ["doc_id", "text", "key", "part", "guest"])
+            key, mark = batch.column("key").to_numpy(), batch.column("mark").to_numpy()
+            low, part = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+            opens = np.zeros(len(key), bool)
+            for k in np.flatnonzero(part > low):  # an id that holds limits of its own is cut by the texts' hashes
+                same = marks[low[k] : part[k]]
+                opens[k] = mark[k] in same
+                part[k] = low[k] + np.searchsorted(same, mark[k], "right")
+            guest = np.where(opens, part - 1, np.where((key == first[0]) & (mark == first[1]), len(keys), -1))
+            take = np.flatnonzero(guest >= 0)
+            yield batch.append_column("part", pa.array(part.astype(np.int32))).append_column("guest", pa.array(np.zeros(len(key), np.int32)))
             if len(take):
-                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(take)) for c in cols], pa.array(more[take].astype(np.int64)), pa.array(np.ones(len(take), np.int32))], ["doc_id", "text", "key", "part", "guest"])
+                yield batch.take(pa.array(take)).append_column("part", pa.array(guest[take].astype(np.int32))).append_column("guest", pa.array(np.ones(len(take), np.int32)))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(place, f"doc_id {kind}, text string, key long, part long, guest int"), parts
+    placed = rows.select("doc_id", "text", "key", "mark", "n").mapInArrow(place_rows, "doc_id long, text string, key long, mark long, n long, part int, guest int")
+    return placed.repartitionById(len(found) + 1, F.col("part"))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (part, guest, key descending, text): each one with its following text, which for the last of a range is the guest."""
+    """Rows sorted by (part, guest, key, mark, text): each one with its following text, which for the last of a range is the guest."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     out: list[tuple] = []
-    held = None
 
     def emit() -> pa.RecordBatch:
         columns = list(zip(*out, strict=True))
         out.clear()
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
+    def row(doc_id: int | None, text: str, mark: bytes, following: str, after: bytes) -> tuple:
+        new = edited(text, following).encode()
+        edit = fingerprint(new)
+        return doc_id, len(text), hashlib.sha256(new).hexdigest(), mark.hex(), edit.hex(), likeness(mark, edit), likeness(mark, after)
+
+    held = None
     for batch in batches:
-        for doc_id, text, part, guest in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "part", "guest")], strict=True):
-            text = text or ""
+        for doc_id, text, n, part, guest in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "n", "part", "guest")], strict=True):
+            mark = fingerprint(text.encode())
             if held is not None and held[2] == part:
-                new = edited(held[1], text).encode()
-                mark = fingerprint(text.encode())
-                edit = fingerprint(new)
-                out.append((held[0], len(held[1]), hashlib.sha256(new).hexdigest(), held[3].hex(), edit.hex(), likeness(held[3], edit), likeness(held[3], mark)))
-                held = None if guest else (doc_id, text, part, mark)
-            elif not guest:
-                held = (doc_id, text, part, fingerprint(text.encode()))
+                out.append(row(held[0], held[1], held[3], text, mark))
+            held = None if guest else (doc_id, text, part, mark)
+            if not guest and n > 1:
+                own = row(doc_id, text, mark, text, mark)
+                for k in range(n - 1):
+                    out.append(own)
+                    if len(out) >= 500:
+                        yield emit()
             if len(out) >= 500:
                 yield emit()
     if out:
@@ -159,11 +179,12 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The following document is the next by descending doc_id, after the last the first; rows of one
-    id follow by text, ids that are null come last. A null text is empty, and an empty text has an
-    empty fingerprint, like only another empty one. Texts are shuffled once, to ranges of ids;
-    a range also gets the first row of the next, so no step orders the whole table in one task.
-    An only row follows itself; an empty table gives no rows.
+    id follow by a hash of their text, ids that are null come last. Rows that are repeated follow
+    each other and then the next different one. A null text is empty, and an empty text has an
+    empty fingerprint, like only another empty one. Texts are shuffled once, to ranges of ids and
+    texts that hold about the same number of bytes; a range also gets the first row of the next, so
+    no step orders the whole table in one task. An only row follows itself; an empty table gives no
+    rows.
     """
-    ranged, _ = _ranges(docs)
-    ordered = ranged.repartition("part").sortWithinPartitions("part", "guest", F.desc("key"), "text")
+    ordered = _ranges(_distinct(docs)).sortWithinPartitions("part", "guest", "key", "mark", "text")
     return ordered.mapInArrow(_fingerprints, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 from lyceum.llm import fingerprint, packing
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 
@@ -66,18 +67,22 @@ def test_pack_empty(empty):
 
 def test_encoder_matches_the_tokenizer(tokenizer):
     enc = packing.encoder()
-    for text in ("", " a  b\n\n c", "don't I'LL 12 345", "éçñ x\u0085y\u001cz", "你好 ١٢ \U0001f600", "<|endoftext|>", "a" * 5000):
-        tokenizer.encode_special_tokens = True
+    for text in ("", " a  b\n\n c", "don't I'LL 12 345", "éçñ x\u0085y\u001cz", "你好 ١٢ \U0001f600", "<|endoftext|>", "a <|endoftext|> b", "a" * 5000):
         assert enc.ids(text).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, packing.END]
 
 
-def test_fingerprints_match_brute_force(docs, monkeypatch):
-    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 10)
+@pytest.mark.parametrize("size", [1_000, 1 << 24])
+def test_fingerprints_match_brute_force(spark, docs, monkeypatch, size):
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", size)
+    monkeypatch.setattr(fingerprint, "SAMPLE", 2)
+    hot = spark.createDataFrame([(77, f"t{k % 9}" * (k % 9)) for k in range(60)] + [(None, "same")] * 40 + [(None, f"n{k}" * 30) for k in range(40)], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").unionByName(hot)
     got = fingerprint.fingerprint_rows(docs).collect()
-    rows = sorted(((r.doc_id, r.text or "") for r in docs.collect()), key=lambda r: (-r[0] if r[0] is not None else 1e30, r[1]))
+    marked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text")).collect()
+    rows = sorted(((r.doc_id, r.mark, r.text) for r in marked), key=lambda r: (-r[0] if r[0] is not None else 1e30, r[1]))
     want = []
-    for k, (doc_id, text) in enumerate(rows):
-        after = rows[(k + 1) % len(rows)][1]
+    for k, (doc_id, _, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][2]
         edit = fingerprint.edited(text, after).encode()
         a, b, c = fingerprint.fingerprint(text.encode()), fingerprint.fingerprint(edit), fingerprint.fingerprint(after.encode())
         want.append((doc_id, len(text), hashlib.sha256(edit).hexdigest(), a.hex(), b.hex(), fingerprint.likeness(a, b), fingerprint.likeness(a, c)))
