@@ -4,8 +4,9 @@ A recording is 16-bit mono PCM. Frames of FRAME samples, half overlapping, give
 class; an integral image over (frame, pitch class) lets sixteen rectangle filters be read with a
 few look-ups each; each filter's log ratio is quantised to two bits, so a frame is one packed
 32-bit integer. Recordings with equal fingerprints are one class. A query class is compared with
-the classes that share three of the four bytes of an integer, at every offset with enough overlap:
-the share of unequal bits is the bit error, and the offset of a pair is where most frames match.
+the classes that share a sub-word: the same two of the four bytes in two frames that are APART apart. A pair
+is compared at every offset with enough overlap: the share of unequal bits is the bit error, and the
+offset of a pair is where most frames match.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.common import PASS_BYTES, saved
+from lyceum.llm.common import PASS_BYTES, mix64, saved
 
 #: Samples a second, samples of a frame, frames that the widest filter spans, largest bit error of a match.
 RATE, FRAME, SPAN, MATCH = 2000, 512, 8, 0.25
+#: Frames between the two that a sub-word is made of; in fingerprints that are too short for it, a frame stands alone.
+APART = (3, 4, 5)
 #: Every how many ids one is a query.
 EVERY = 20
 #: Type of the list of a class's matches.
@@ -46,29 +49,28 @@ def filters() -> list[tuple[int, int, int, int]]:
 
 
 def chroma(pcm: np.ndarray) -> np.ndarray:
-    """[frame, pitch class] shares of energy."""
+    """[..., frame, pitch class] shares of energy of recordings [..., sample] of equal length."""
     hop = FRAME // 2
-    if len(pcm) < FRAME:
-        return np.zeros((0, 12), np.float32)
-    frames = np.lib.stride_tricks.sliding_window_view(pcm.astype(np.float32), FRAME)[::hop]
-    power = np.abs(np.fft.rfft(frames * np.hanning(FRAME).astype(np.float32), axis=1)) ** 2
+    if pcm.shape[-1] < FRAME:
+        return np.zeros((*pcm.shape[:-1], 0, 12), np.float32)
+    frames = np.lib.stride_tricks.sliding_window_view(pcm.astype(np.float32), FRAME, axis=-1)[..., ::hop, :]
+    power = np.abs(np.fft.rfft(frames * np.hanning(FRAME).astype(np.float32), axis=-1)) ** 2
     out = power.astype(np.float32) @ _chroma_of_bin()
-    return out / np.maximum(np.sqrt((out**2).sum(axis=1, keepdims=True)), 1e-3)
+    return out / np.maximum(np.sqrt((out**2).sum(axis=-1, keepdims=True)), 1e-3)
 
 
 def packed(image: np.ndarray) -> np.ndarray:
-    """One 32-bit integer for each place of the widest filter."""
-    n = len(image) - SPAN + 1
+    """One 32-bit integer [..., place] for each place of the widest filter in images [..., frame, pitch class]."""
+    n = image.shape[-2] - SPAN + 1
     if n <= 0:
-        return np.zeros(0, np.uint32)
-    sums = np.zeros((len(image) + 1, 13))
-    sums[1:, 1:] = image.cumsum(0).cumsum(1)
-    t = np.arange(n)
+        return np.zeros((*image.shape[:-2], 0), np.uint32)
+    sums = np.zeros((*image.shape[:-2], image.shape[-2] + 1, 13))
+    sums[..., 1:, 1:] = image.cumsum(-2).cumsum(-1)
 
     def area(t0: int, y0: int, t1: int, y1: int) -> np.ndarray:
-        return sums[t + t1, y1] - sums[t + t0, y1] - sums[t + t1, y0] + sums[t + t0, y0]
+        return sums[..., t1 : t1 + n, y1] - sums[..., t0 : t0 + n, y1] - sums[..., t1 : t1 + n, y0] + sums[..., t0 : t0 + n, y0]
 
-    out = np.zeros(n, np.uint32)
+    out = np.zeros((*image.shape[:-2], n), np.uint32)
     for shape, y, height, width in filters():
         whole, half, mid = area(0, y, width, y + height), width // 2, y + height // 2
         if shape == 0:
@@ -110,30 +112,47 @@ def recordings(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedd
 
 
 def fingerprints(media: DataFrame) -> DataFrame:
-    """(rec_id, n_frames, marks): the packed integers of each recording, none for a null or short one."""
+    """(rec_id, n_frames, marks): the packed integers of each recording, none for a null or short one.
+
+    Recordings of equal length are transformed together, up to PASS_BYTES of samples at once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, frames = [], []
-            for x in batch.column("pcm"):
-                raw = x.as_py() or b""
-                image = chroma(np.frombuffer(raw[: len(raw) // 2 * 2], "<i2"))
-                frames.append(len(image))
-                marks.append(packed(image).view(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("rec_id"), pa.array(frames, pa.int64()), pa.array(marks, pa.binary())], ["rec_id", "n_frames", "marks"])
+            sounds = [x.as_py() or b"" for x in batch.column("pcm")]
+            marks, frames = [b""] * len(sounds), np.zeros(len(sounds), np.int64)
+            by_size = defaultdict(list)
+            for k, raw in enumerate(sounds):
+                by_size[len(raw) // 2].append(k)
+            for size, rows in by_size.items():
+                step = max(1, PASS_BYTES // max(1, 2 * size))
+                for at in (rows[k : k + step] for k in range(0, len(rows), step)):
+                    image = chroma(np.stack([np.frombuffer(sounds[k][: 2 * size], "<i2") for k in at]))
+                    frames[at] = image.shape[1]
+                    for k, row in zip(at, packed(image).view(np.int32), strict=True):
+                        marks[k] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("rec_id"), pa.array(frames), pa.array(marks, pa.binary())], ["rec_id", "n_frames", "marks"])
 
     return media.mapInArrow(run, "rec_id long, n_frames long, marks binary")
 
 
+def sub_words(marks: np.ndarray) -> np.ndarray:
+    """The distinct sub-words of a fingerprint: 64-bit hashes of two bytes in each of two frames, which bytes these are, and how far apart the frames."""
+    masks = [255 << 8 * a | 255 << 8 * b for a in range(4) for b in range(a)]
+    out = []
+    for apart in APART:
+        first, second = (marks[:-apart], marks[apart:]) if len(marks) > apart else (marks, np.zeros_like(marks))
+        both = (first.astype(np.uint64) << np.uint64(32)) | second.astype(np.uint64)
+        out += [mix64((both & np.uint64(m << 32 | m)) ^ np.uint64((6 * apart + k) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k, m in enumerate(masks)]
+    return np.unique(np.concatenate(out))
+
+
 def _entries(classes: DataFrame) -> DataFrame:
-    """(node, asked, mark): the distinct sub-words of each class; a sub-word is an integer without one of its bytes, and which one that is."""
+    """(node, asked, mark): the sub-words of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = []
-            for x in batch.column("marks"):
-                marks = np.unique(np.frombuffer(x.as_buffer(), np.uint32)).astype(np.int64)
-                words.append(np.unique(np.concatenate([(marks & ~(255 << 8 * k)) | (k << 32) for k in range(4)])))
+            words = [sub_words(np.frombuffer(x.as_buffer(), np.uint32)).view(np.int64) for x in batch.column("marks")]
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, words)]).astype(np.int32), np.concatenate(words) if words else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("asked"), lists], ["node", "asked", "words"])
 
