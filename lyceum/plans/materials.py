@@ -239,8 +239,7 @@ def extraction_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.element_at(F.array(*map(F.lit, ("Which is right?\nA. ", "Fill in: x ____ y\nA. ", "Points to treat:\nA. ", "Answer: ____\n"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    words = F.substring("text", 1, 12)
-    return _t(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.regexp_replace(words, "\\n", " "), F.lit("\nB. other thing")).alias("text"), F.element_at(F.array(*map(F.lit, ("Answer: B", "1) b because", "other thing.", "Solution set", "Question 2: C"))), (F.col("doc_id") % 5 + 1).cast("int")).alias("answer"))
+    return _t(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.regexp_replace("text", "\\n", " "), F.lit("\nB. other thing")).alias("text"), F.element_at(F.array(*map(F.lit, ("Answer: B", "1) b because", "other thing.", "Solution set", "Question 2: C"))), (F.col("doc_id") % 5 + 1).cast("int")).alias("answer"))
 
 
 def question_types(spark: SparkSession, sf_dir: str) -> DataFrame:

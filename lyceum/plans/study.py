@@ -211,7 +211,7 @@ def difficulty_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Difficulty and points of every question."""
     bank = _bank(spark, sf_dir).withColumn("chapter_no", questions.numeric_chapter(F.col("chapter"), F.col("phase")))
     rows = bank.crossJoin(F.broadcast(questions.late_cutoff(bank)))
-    d, points = questions.difficulty(_fields({"chapter_no": F.col("chapter_no")}), F.col("cutoff"))
+    d, points, _ = questions.difficulty(_fields({"chapter_no": F.col("chapter_no")}), F.col("cutoff"))
     return rows.select("id", d.alias("difficulty"), points.alias("points"), F.array_join(questions.families(F.col("question")), "/").alias("families"))
 
 

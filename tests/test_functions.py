@@ -1,5 +1,5 @@
 import pytest
-from lyceum.functions import answers, quality
+from lyceum.functions import answers, mathtext, quality
 from lyceum.functions import text as t
 from pyspark.sql import functions as F
 
@@ -78,8 +78,46 @@ def test_contains_gold(answer, gold, found):
 
 
 def test_decision_ladder(spark):
-    rows = [(False, True, "factual", False, False, None, None), (True, False, "numeric", True, False, None, None), (True, False, "factual", False, True, 0, 1), (True, False, "factual", False, False, 1, 2), (True, False, "factual", False, False, None, None)]
-    df = spark.createDataFrame(rows, "answerable boolean, abstained boolean, answer_type string, numeric_ok boolean, has_gold boolean, votes_for int, votes int")
-    correct, by = answers.decide({c: F.col(c) for c in df.columns})
-    assert [tuple(r) for r in df.select(correct, by).collect()] == [(True, "abstention"), (True, "numeric"), (True, "lexical"), (True, "judge"), (False, "judge_error")]
+    names = "answerable boolean, abstained boolean, answer_type string, numeric_ok boolean, hedged boolean, has_gold boolean, votes_for int, votes int, votes_abstained int, faithful double"
+    rows = [
+        (False, True, "factual", False, False, False, None, None, None, None), (False, False, "numeric", True, False, False, None, None, None, None),
+        (True, False, "numeric", True, False, False, None, None, None, None), (True, True, "numeric", False, True, False, None, None, None, None), (True, True, "numeric", False, False, False, None, None, None, None),
+        (True, False, "factual", False, False, True, 0, 1, 0, 0.5), (True, False, "factual", False, False, False, 1, 2, 0, 1.0), (True, False, "factual", False, False, False, 0, 3, 2, 0.2), (True, False, "factual", False, False, False, 2, 3, 0, 0.9),
+        (True, False, "factual", False, False, False, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, names)
+    got = [tuple(r.x) for r in df.select(answers.decide({c: F.col(c) for c in df.columns}).alias("x")).collect()]
+    assert got == [
+        (True, True, 1.0, False, "abstention", None), (False, False, 0.0, True, "abstention", None), (True, False, 1.0, False, "numeric", None), (False, False, 0.0, True, "numeric", None), (False, True, 0.0, False, "numeric", None),
+        (True, False, 1.0, False, "lexical", None), (True, False, 1.0, False, "judge", 0.5), (False, True, 0.2, False, "judge", 1.0), (True, False, 0.9, True, "judge", 2 / 3), (False, False, None, False, "judge_error", None),
+    ]
     assert answers.looks_abstained("I am NOT SURE.") and not answers.looks_abstained("sure")
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("a $x$ b $y$", [(2, 5), (8, 11)]), ("$$a\nb$$ c", [(0, 7)]), ("$a\nb$", []), ("$$ open", []), (r"\$5 and $x$", [(8, 11)]), ("$$$x$$", [(0, 6)]), ("", []), (None, [])],
+)
+def test_formula_spans(text, want):
+    assert mathtext.spans(text) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [(r"use \sin x", r"\sin"), (r"\log n", r"\log"), (r"\max f", r"\max"), (r"\binom{n}{k}", None), (r"$\sin x$", None), (r"C:\sin\x", None), (r"\\host\sum\a", None), (r"\sines", None), (r"\SUM", r"\SUM"), ("", None), (None, None)],
+)
+def test_bare_commands(text, want):
+    assert mathtext.bare_command(text) == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("x^2", "raw_superscript"), ("p_0", "raw_subscript"), ("$x^2$", None), ("`x^2`", None), ("`a $y$ x^2`", None), ("ab_c name", None), (") _ {ij}", "raw_subscript"), (None, None)])
+def test_raw_notation(text, want):
+    assert mathtext.raw_notation(text) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("not sure, maybe 999", True), ("not covered; I checked all 20 lectures", False), ("not sure, maybe 5 years", True), ("不确定，材料只有 20 讲", False), ("不确定，可能是 3,14", True), ("not covered in chapter 7", False), ("not covered; maybe 999. I checked all 20 lectures", True), (None, False)],
+)
+def test_hedged_numbers(text, want):
+    assert answers.hedged(text) is want

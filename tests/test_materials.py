@@ -132,6 +132,33 @@ def test_question_types(spark, text, kind):
     assert spark.createDataFrame([(text,)], "t string").select(questions.question_type(F.col("t"))[0]).first()[0] == kind
 
 
+OPTIONS = "A. one\nB. two"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Which?\nA. one\nmore of it\nB. two\nExplain your answer", ("choice", ["A. one more of it", "B. two"])), ("Which?\nA. one\n\nnot more\nB. two", ("choice", ["A. one", "B. two"])),
+        ("选一个：A. 对的 B. 错的", ("choice", ["A. 对的", "B. 错的"])), ("Which is it? A. foo, B. bar Explain why", ("choice", ["A. foo", "B. bar"])), ("Which? A. e.g. one B.", ("subjective", None)),
+        ("Let x __ y", ("subjective", None)), ("Let x ___ y", ("fill_blank", None)), ("Solution:\nx ___ y", ("subjective", None)), ("Write in the box below ___", ("subjective", None)), ("Fill in the blank below ____", ("fill_blank", None)),
+        ("(5 pts) ____", ("subjective", None)), ("Answer the following: f(x)= ____", ("fill_blank", None)), (None, ("subjective", None)),
+    ],
+)
+def test_classified_questions(text, want):
+    assert questions.classify_question(text) == want
+
+
+@pytest.mark.parametrize(
+    ("question", "answer", "want"),
+    [
+        ("Which?\n" + OPTIONS, "B. because", ("choice", ["A. one", "B. two"], "B")), ("Which?\n" + OPTIONS, "a long proof", ("subjective", None, "a long proof")), ("Parts:\n" + OPTIONS, "1. B", ("choice", ["A. one", "B. two"], "B")),
+        ("Parts:\n" + OPTIONS, "1. C", ("subjective", None, "1. C")), ("x is ____ now", "Answer: LIFO", ("fill_blank", None, "LIFO")), ("Prove it", None, ("subjective", None, None)), ("Which?\nA. B. Smith\nB. two", "B. Smith", ("choice", ["A. B. Smith", "B. two"], "A")),
+    ],
+)
+def test_typed_items(question, answer, want):
+    assert questions.typed_item(question, answer) == want
+
+
 @pytest.mark.parametrize(("answer", "letter"), [("Answer: B", "B"), ("1) b", "B"), ("B because it is", "B"), ("two.", "B"), ("C", None), ("Solution set", None), ("(A)", "A")])
 def test_choice_letters(spark, answer, letter):
     df = spark.createDataFrame([(answer, ["A. one", "B. two"])], "a string, o array<string>")

@@ -148,7 +148,7 @@ def test_matrix_is_honest_about_missing_verdicts(spark):
 
 def test_difficulty_and_mastery(spark):
     df = spark.createDataFrame([(["a", "b", "c"], "prove that the integral", True, "3-5", 9, "proof"), ([], "plain", None, None, 1, "choice")], "knowledge_points array<string>, text string, requires_assets boolean, answer_pages string, chapter_no int, type string")
-    d, points = questions.difficulty({c: F.col(c) for c in df.columns}, F.lit(7))
+    d, points, _ = questions.difficulty({c: F.col(c) for c in df.columns}, F.lit(7))
     assert [tuple(r) for r in df.select(d, points).collect()] == [(5, 8), (1, 0)]
     rows = spark.createDataFrame([("weak", 3, 0), ("weak", 1, 1), ("neutral", 2, 2), ("mastered", 5, 3), ("neutral", 4, 4)], "class string, difficulty int, position int")
     assert [r.position for r in rows.orderBy(*questions.study_order("review")).collect()] == [1, 0, 4, 2, 3]
