@@ -48,3 +48,74 @@ def severity(kind: Column, blocking: list[str]) -> Column:
     for word in blocking:
         out = out | F.contains(kind, F.lit(word))
     return F.when(out, "blocking").otherwise("warning")
+
+
+# Study modes, time tiers and reply languages, with the words that stand for them; older modes with the mode and tier that replace them.
+MODES = {
+    "from_scratch": ("零基础从头讲", "teach from scratch", "from scratch", "teach-from-scratch"),
+    "shore_up": ("某章起步补弱", "start mid-course, shore up weak spots", "shore up", "shore up weak spots", "start mid-course", "mid-course"),
+    "fill_gaps": ("查缺补漏", "fill the gaps", "fill gaps", "fill-the-gaps", "gap filling"),
+}
+OLD_MODES = {"panic": ("from_scratch", "le1d"), "sprint": ("fill_gaps", "d1_3"), "normal": ("fill_gaps", None), "mock": ("fill_gaps", None)}
+TIERS = {
+    "le1d": ("≤1天", "≤1 day", "<=1天", "1天", "当天", "今天", "一天", "考前一天", "明天考", "1 day"), "d1_3": ("1-3天", "1-3 days", "1—3天", "1~3天", "2-3天", "几天"),
+    "d3_7": ("3-7天", "3-7 days", "3—7天", "3~7天", "一周", "一周内"), "gt7d": (">7天", ">7 days", "＞7天", "7天以上", "一周以上", "还早", "时间充裕"),
+}
+LANGUAGES = {
+    "zh": ("中文", "Chinese", "zh-cn", "chinese", "简体中文", "汉语", "中"), "en": ("English", "english", "英文", "英语"), "bilingual": ("双语", "Bilingual", "bi", "zh+en", "中英", "中英双语"),
+}
+WINDOW_STATUSES = {"in_window": ("在窗口", "in window"), "out_window": ("窗口外", "out of window"), "verified": ("已实测", "verified by quiz")}
+ROW_STATUSES = {
+    "to_review": ("待复盘", "to review"), "to_revisit": ("待回顾", "to revisit"), "corrected": ("已订正", "corrected"), "reviewed": ("已复盘", "reviewed"), "revisited": ("已回顾", "revisited"), "resolved": ("已解决", "resolved"),
+}
+# What an answer says when the run failed, for good or for now, and what marks it as no answer.
+HARD_ERRORS, TRANSIENT_ERRORS = ("hit your limit", "usage limit", "resets "), ("temporarily limiting", "rate limited", "api error", "overloaded")
+INFRA_ERRORS = ("hit your limit", "api error", "rate limited", "temporarily limiting", "usage limit", "你已达到", "prompt is too long")
+# Families of models by what their name holds.
+MODEL_FAMILIES = (("claude", ("opus", "sonnet", "haiku", "claude")), ("gemini", ("gemini",)), ("openai", ("gpt", "o1", "o3", "openai")), ("deepseek", ("deepseek",)), ("mock", ("mock",)))
+
+
+def canonical(value: Column, words: dict[str, tuple[str, ...]], *, any_case: bool = True) -> Column:
+    """(code, known) of a word: its code, or the trimmed word itself where it stands for none."""
+    said = F.trim(F.coalesce(value, F.lit("")))
+    pairs = {w: code for code, names in words.items() for w in (code, *names)}
+    if any_case:
+        pairs |= {w.lower(): code for w, code in pairs.items()}
+    table = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    code = F.coalesce(F.try_element_at(table, said), F.try_element_at(table, F.lower(said)) if any_case else F.lit(None).cast("string"))
+    return F.struct(F.coalesce(code, said).alias("code"), code.isNotNull().alias("known"))
+
+
+def canonical_mode(value: Column) -> Column:
+    """(code, tier, known): a mode's code; an older mode gives the tier that it implied."""
+    said = F.trim(F.coalesce(value, F.lit("")))
+    new = canonical(value, MODES)
+    out = F.struct(new["code"].alias("code"), F.lit(None).cast("string").alias("tier"), new["known"].alias("known"))
+    for old, (code, tier) in OLD_MODES.items():
+        out = F.when(said == old, F.struct(F.lit(code).alias("code"), F.lit(tier).cast("string").alias("tier"), F.lit(False).alias("known"))).otherwise(out)
+    return out
+
+
+def _holds(text: Column, marks: tuple[str, ...]) -> Column:
+    low, out = F.lower(F.coalesce(text, F.lit(""))), F.lit(False)
+    for m in marks:
+        out = out | F.contains(low, F.lit(m))
+    return out
+
+
+def error_class(text: Column) -> Column:
+    """hard (a limit that must be waited for), transient (try again) or ok."""
+    return F.when(_holds(text, HARD_ERRORS), "hard").when(_holds(text, TRANSIENT_ERRORS), "transient").otherwise("ok")
+
+
+def is_infra_error(text: Column) -> Column:
+    """Whether an answer is a message of the service, and so neither right nor wrong."""
+    return _holds(text, INFRA_ERRORS)
+
+
+def model_family(model: Column) -> Column:
+    name = F.lower(F.coalesce(model, F.lit("")))
+    out = F.when(name == "", "unknown").otherwise(name)
+    for family, marks in reversed(MODEL_FAMILIES):
+        out = F.when(_holds(model, marks), family).otherwise(out)
+    return out

@@ -171,22 +171,6 @@ def contains_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "text", gold.alias("gold")).where("gold is not null").select("conv_id", "turn", ans.contains_gold_of("text", "gold").alias("found"))
 
 
-def answer_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns decided by the ladder, counted by what decided."""
-    c = _t(spark, sf_dir, "conversations")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = c.select("conv_id", "turn", "text", F.lag("text").over(w).alias("gold")).where("gold is not null")
-    vote = ans.overlap_vote(F.col("text"), F.col("gold"))
-    kind = F.when(F.col("turn") % 3 == 0, "numeric").otherwise("factual")
-    correct, by = ans.decide(
-        {
-            "answerable": F.col("turn") % 5 != 0, "abstained": ans.abstained(F.col("text")), "answer_type": kind, "numeric_ok": F.length("text") % 2 == 0, "has_gold": F.contains("text", F.col("gold")),
-            "votes_for": vote.cast("int"), "votes": F.when(F.col("turn") % 7 != 0, 1),
-        }
-    )
-    return rows.select(correct.alias("correct"), by.alias("scored_by")).groupBy("correct", "scored_by").agg(F.count("*").alias("n"))
-
-
 # ---- questions: a part is a question (type as structure words, size as chapter, brand as source) ----
 
 
@@ -436,7 +420,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         matrix_cells, matrix_merge_problems, cost_per_q, ragged_flag, resume_antijoin, rerun_patch, task_product, mcnemar_counts, mcnemar_p, cohen_kappa, bootstrap_ci, p95_nearest_rank, kind_prf, page_accounting,
-        convergence_round, stratified_sample, csv_safe, numeric_extract, contains_gold, answer_decisions, difficulty_score, late_chapter_cutoff, question_match, untagged_excluded, mastery_order, mastery_classes,
+        convergence_round, stratified_sample, csv_safe, numeric_extract, contains_gold, difficulty_score, late_chapter_cutoff, question_match, untagged_excluded, mastery_order, mastery_classes,
         eligibility_reasons, tainted_assets, asset_roles, bank_points, drift_running_phase, snapshot_row_diff, context_growth, drift_invention, threshold_failures, question_turns, review_reconcile, manifest_upsert,
         ledger_replay_latest, phase_plan, micro_batches, issue_attribution, merged_candidates, constraint_violations, readiness_state, stable_ids, unsafe_paths, chapter_keys, tumbling_counts, sessionize, watermarked_late,
     )
