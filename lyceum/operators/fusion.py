@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -66,18 +68,36 @@ def nearest_rank(df: DataFrame, value: str, share: float, by: list[str]) -> Data
     return df.groupBy(*by).agg(F.expr(f"percentile_disc({share}) within group (order by {value})").alias("percentile"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+#: Rows and queries of a block of the comparison, on average.
+ROW_BLOCK, QUERY_BLOCK = 16_384, 4_096
 
 
 def dense_top_k(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest rows (vec_id, embedding) of each query (query_id, query) by cosine.
+    """The k nearest rows (vec_id, embedding) of each query (query_id, query) by cosine, rounded to six places; a row is not its own neighbour.
 
-    Queries are a stated small set: every row is compared with all of them where it lies, and only
-    the k best of each query leave a partition (a window's limit on groups).
+    Rows and queries are dealt to blocks by hash; each pair of blocks is one matrix product, of which
+    only the k best of each query (and what ties with the last) leave. Nothing is broadcast, and a
+    task holds one block of either side. Null vectors have no neighbours and are none.
     """
-    each = rows.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    scored = each.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
+    rows, queries = rows.where("embedding is not null"), queries.where("query is not null")
+    many = lambda df, size: max(1, -(-df.count() // size))
+    n, m = many(rows, ROW_BLOCK), many(queries, QUERY_BLOCK)
+    block = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    left = rows.select("vec_id", "embedding", block("vec_id", n).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
+    right = queries.select("query_id", "query", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"), block("query_id", m).alias("j"))
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not (a.num_rows and b.num_rows):
+            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        x, q = (np.array(t.column(c).to_pylist(), np.float64) for t, c in ((a, "embedding"), (b, "query")))
+        vec, ask = a.column("vec_id").to_numpy(), b.column("query_id").to_numpy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.round((q @ x.T) / np.sqrt(np.outer((q * q).sum(1), (x * x).sum(1))), 6)
+        score[(ask[:, None] == vec[None, :]) | np.isnan(score)] = -np.inf
+        last = np.partition(score, -min(k, len(vec)), axis=1)[:, -min(k, len(vec))]
+        r, c = np.nonzero((score >= last[:, None]) & (score > -np.inf))
+        return pa.table({"query_id": ask[r], "vec_id": vec[c], "score": score[r, c]})
+
+    scored = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -97,11 +97,10 @@ def conflict_reviews(conflicts: DataFrame, units: DataFrame) -> DataFrame:
 def batch_states(events: DataFrame) -> DataFrame:
     """The state of each batch from events (batch, seq, state), which must follow the order of states one by one; `skipped` counts events that don't."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        place, skipped = -1, 0
-        for s in rows.sort_values("seq")["state"]:
-            step = BATCH_STATES.index(s) if s in BATCH_STATES else None
-            place, skipped = (step, skipped) if step == place + 1 else (place, skipped + 1)
-        return pd.DataFrame([(rows["batch"].iloc[0], BATCH_STATES[place] if place >= 0 else None, skipped)], columns=["batch", "state", "skipped"])
-
-    return events.groupBy("batch").applyInPandas(run, "batch string, state string, skipped long")
+    place = F.array_position(F.array(*map(F.lit, BATCH_STATES)), F.col("state")).cast("int") - 1
+    history = F.transform(F.array_sort(F.collect_list(F.struct("seq", place.alias("place")))), lambda x: x["place"])
+    start = F.struct(F.lit(-1).alias("place"), F.lit(0).cast("long").alias("skipped"))
+    follows = lambda now, step: F.coalesce(step == now["place"] + 1, F.lit(False))
+    step = lambda now, s: F.struct(F.when(follows(now, s), s).otherwise(now["place"]).alias("place"), (now["skipped"] + F.when(follows(now, s), 0).otherwise(1)).alias("skipped"))
+    done = events.groupBy("batch").agg(F.aggregate(history, start, step).alias("end"))
+    return done.select("batch", F.get(F.array(*map(F.lit, BATCH_STATES)), F.col("end.place")).alias("state"), F.col("end.skipped").alias("skipped"))

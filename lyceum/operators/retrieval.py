@@ -58,6 +58,7 @@ def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFra
     """
     asked = queries.select("query_id", F.explode(F.array_distinct("tokens")).alias("token"))
     wanted = asked.select("token").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TOKENS else wanted
     found = postings.join(wanted, "token", "left_semi")
     df = found.groupBy("token").agg(F.count("*").alias("df"))
     stats = F.broadcast(index_stats(lengths))

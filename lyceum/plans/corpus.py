@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from lyceum.functions import quality as q
 from lyceum.functions import text as t
 from lyceum.operators import chunking, duplicates, fusion, retrieval, sessions
-from lyceum.session import prepare, table
+from lyceum.session import prepare, stored, table
 
 #: Words of a benchmark passage that ask the query; the passage's tokens beyond them are its answer.
 QUESTION_WORDS = 12
+#: Runs of words of the passages up to which they are broadcast to the documents.
+BROADCAST_RUNS = 2_000_000
 GLOSSARY = [("the", ["der", "le"]), ("and", ["und", "et"]), ("tion", ["ción"])]
 
 TOKENS = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9][a-z0-9\-'']*')"
@@ -179,7 +181,8 @@ def contamination_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return w.select(key, each.alias("run"))
 
     spark = prepare(spark)
-    return runs(_docs(spark, sf_dir), "doc_id").join(runs(table(spark, sf_dir, "benchmark"), "item_id"), "run")
+    passages = stored(runs(table(spark, sf_dir, "benchmark"), "item_id"))
+    return runs(_docs(spark, sf_dir), "doc_id").join(F.broadcast(passages) if passages.count() <= BROADCAST_RUNS else passages, "run")
 
 
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,6 +247,12 @@ QUERIES = {
     )
 }
 
+
+
+def _listed(names: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in names) + "]"
+
+
 _QUESTIONS = rf"""asked as (select item_id as query_id, array_to_string(list_slice(string_split(trim(regexp_replace(text, '{BLANK}+', ' ', 'g')), ' '), 1, {QUESTION_WORDS}), ' ') as text from benchmark)"""
 _INDEX = f"""
 toks as (select doc_id, unnest({TOKENS.format("text")}) as token from documents),
@@ -280,6 +289,11 @@ pairs as (
   union all select lang, least(x, y), greatest(x, y), 'near', ((2 * shared * 1000000) // (nx + ny))::bigint from hits where (2 * shared * 1000000) // (nx + ny) >= 920000
 )"""
 
+_RUNS = r"""w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as w from documents),
+b as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as w from benchmark),
+wr as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as run from w where len(w) >= 8),
+br as (select distinct item_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as run from b where len(w) >= 8)"""
+
 ORACLE = {
     "bm25_topk": f"with {_QUESTIONS}, {_INDEX}, {_BM25} select query_id, rank::int as rank, doc_id, round(round(score, 4), 3) as score from ranked where rank <= 5",
     "bm25_abstain": f"""with base as (select * from benchmark), {_QUESTIONS.replace('asked as', 'a0 as')}, asked as (select * from a0 union all select -1, 'what is the of' union all select -2, 'zzqq unheard'), {_INDEX}, {_BM25},
@@ -307,11 +321,7 @@ select doc_id, nul, mojibake, nul + mojibake + controls + private as bad, round(
     "exact_dup_pairs": f"with {_PAIRS} select left_id, right_id from pairs where match_kind = 'exact'",
     "fold_display_units": f"with {_PAIRS} select d.doc_id, (select count(*) from pairs p where match_kind = 'exact' and p.left_id = d.doc_id)::bigint as n_aliases from documents d where d.doc_id not in (select right_id from pairs where match_kind = 'exact')",
     "near_dup_pairs": f"with {_PAIRS} select * from pairs",
-    "contamination": r"""with w as (select doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as w from documents),
-b as (select item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') as w from benchmark),
-wr as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as run from w where len(w) >= 8),
-br as (select distinct item_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as run from b where len(w) >= 8)
-select doc_id, count(distinct item_id)::bigint as items, count(distinct run)::bigint as runs from wr join br using (run) group by 1""",
+    "contamination": f"""with {_RUNS} select doc_id, count(distinct item_id)::bigint as items, count(distinct run)::bigint as runs from wr join br using (run) group by 1""",
     "rrf_fuse": f"""with {_QUESTIONS}, {_INDEX}, {_BM25}, {_LISTS}, f as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 12) as score, count(*)::bigint as backends from lists group by 1, 2),
 r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from f) select query_id, rank::int as rank, doc_id, round(score, 9) as score, backends from r where rank <= 5""",
     "rerank_pool": f"""with {_QUESTIONS}, {_INDEX}, {_BM25}, {_LISTS}, p as (select query_id, doc_id, rank, length(text) as new_score from lists join documents using (doc_id) where backend = 'overlap' and rank <= 10),
@@ -326,4 +336,18 @@ s as (select query_id, ql, vec_id, label, round(list_cosine_similarity(embedding
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s),
 m as (select query_id, ql, max((rank = 1 and label = ql)::int) as r1, max((rank <= 5 and label = ql)::int) as r5, min(case when label = ql then rank end) as first, max((label = (ql + 1) % 10)::int) as intr from r where rank <= 5 group by 1, 2)
 select query_id, ql <> 9 as answerable, (r1 * (ql <> 9)::int)::double as recall_1, (r5 * (ql <> 9)::int)::double as recall_5, r1 * (ql <> 9)::int as hit_1, r5 * (ql <> 9)::int as hit_5, case when ql <> 9 then coalesce(round(1.0 / first, 6), 0) else 0 end::double as reciprocal_rank, intr * (ql <> 9)::int as intrusion, (ql = 9)::int as false_accept, 0 as missing, 0 as abstained from m""",
+    "bm25_snippets": f"""with {_QUESTIONS}, {_INDEX}, {_BM25}, q as (select query_id, list_filter({TOKENS.format("text")}, lambda x: not list_contains({STOP}, x)) as tokens from asked),
+h as (select query_id, doc_id, text, list_filter(list_transform(tokens, lambda t: instr(lower(text), t)), lambda i: i > 0) as places from ranked join q using (query_id) join documents using (doc_id) where rank = 1),
+s as (select query_id, doc_id, text, greatest(0, coalesce(places[1] - 1, 0) - 60) as start from h)
+select query_id, doc_id, trim(regexp_replace(substring(text, start + 1, 240), '\s+', ' ', 'g')) as snippet from s""",
+    "heading_slugs": r"""with h as (select doc_id, source, regexp_replace(regexp_replace(lower(trim(split_part(text, chr(10), 1))), '[^\p{L}\p{N}_\-\s]', '', 'g'), '\s', '-', 'g') as slug from documents),
+n as (select *, row_number() over (partition by source, slug order by doc_id) - 1 as n from h) select doc_id, case when n > 0 then slug || '-' || n else slug end as anchor from n""",
+    "language_evidence": r"""with w as (select lang, text, regexp_extract_all(text, '[A-Za-z]+') as raw, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)) as words,
+  regexp_extract_all(regexp_replace(text, '\\(?:begin|end)\{[A-Za-z*]+\}|\\[A-Za-z]+', '', 'g'), '[A-Za-z]+') as seen, regexp_matches(text, '[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}]') as han from documents),
+e as (select lang, case when text is null or trim(text) = '' then 'unknown'
+  when han then case when list_sum(list_transform(words, lambda x: length(x))) >= 3 and list_has_any(words, PROSE) then 'mixed' else 'zh' end
+  when not regexp_matches(text, '(?i)\\(?:text|textrm|textsf|texttt|textnormal|mbox)\s*\{') and regexp_matches(text, '\\[A-Za-z]+|[0-9=+*/^<>≤≥∑∏∫√±×÷≠≈∈∉⊂⊆⊃⊇∅∀∃∪∩(){}\[\]|_]')
+    and len(list_filter(seen, lambda t: not (length(t) = 1 or (not list_contains(FORMULA, lower(t)) and (list_contains(MATHS, lower(t)) or (t = upper(t) and length(t) <= 4)))))) = 0 then 'zxx'
+  when list_has_any(words, LABELS) then 'en' else 'unknown' end as evidence from w)
+select lang, evidence, count(*) as n from e group by 1, 2""".replace("PROSE", _listed(t.ENGLISH_PROSE)).replace("FORMULA", _listed(t.ENGLISH_PROSE + t.FORMULA_PROSE)).replace("MATHS", _listed(t.MATH_WORDS)).replace("LABELS", _listed(t.ENGLISH_PROSE + t.ENGLISH_LABELS)),
 }

@@ -251,7 +251,7 @@ def question_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def patch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units after a ledger of patches, by whether they exist and what didn't fit."""
-    c = _t(spark, sf_dir, "conversations").where("turn < 4")
+    c = _t(spark, sf_dir, "conversations")
     uid = F.concat_ws("-", "conv_id", "turn")
     null = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
     units = c.where("turn < 3").select(uid.alias("unit_id"), F.when(F.col("role") == "assistant", "answer").otherwise("question").alias("kind"), F.lit("t").alias("text"), *null("chapter_id", "phase_id", "asset_role", "paired_unit_id"))
@@ -342,4 +342,30 @@ s as (select kind, case when op = 'mark_resolved' and kind <> 'answer_mismatch'
 select kind, status, problem, count(*)::bigint as n from s group by 1, 2, 3""",
     "conflict_reviews": """with p as (select a.doc_id, case when a.doc_id % 2 = 0 then 'blocking' else 'warning' end as severity, unnest(case when b.source is null then [a.source] when a.source = b.source then [a.source] else [a.source, b.source] end) as source, case when a.source = b.source then 2 else 1 end as targets from documents a left join documents b on b.doc_id = a.doc_id + 1)
 select severity, targets::int as targets, count(*)::bigint as n from p group by 1, 2""",
+    "claims_located": """with s as (select doc_id as claim_id, text, case when doc_id % 9 = 0 then 'nowhere to be found' when doc_id % 9 = 1 then ' ' else substring(text, 5, 12) end as quote, case when doc_id % 2 = 0 then (doc_id % 4 + 2)::int end as given from documents),
+p as (select *, instr(text, quote) as pos, case when text is null or text = '' then 'payload_missing' when trim(coalesce(quote, '')) = '' then 'quote_blank' when given is not null and substring(text, given + 1, length(quote)) <> quote then 'quote_not_at_start'
+  when given is null and instr(text, quote) = 0 then 'quote_absent' when given is null and instr(substring(text, instr(text, quote) + 1), quote) > 0 then 'quote_ambiguous' end as problem from s)
+select claim_id, case when problem is null then coalesce(given, pos - 1) end::int as "start", case when problem is null then coalesce(given, pos - 1) + length(quote) end::int as "end", problem from p""",
+    "multi_column": """with b as (select l_orderkey as page, l_linenumber, case when l_linenumber % 2 = 0 then 100.0::double else 0 end * (l_orderkey % 3) as x0, l_linenumber * 10.0::double * case when l_orderkey % 2 = 0 then 1.0::double else 0.2::double end as y0 from lineitem),
+r as (select page, x0, x0 + 80 as x1, y0, y0 + 25 as y1, count(*) over (partition by page) as n, max(x0 + 80) over (partition by page) - min(x0) over (partition by page) as width from b),
+w as (select *, row_number() over o as k, max(x1) over l as lx, min(x0) over r as rx, min(y0) over l as ly0, max(y1) over l as ly1, min(y0) over r as ry0, max(y1) over r as ry1 from r
+  window o as (partition by page order by x0, y0), l as (partition by page order by x0, y0 rows between unbounded preceding and current row), r as (partition by page order by x0, y0 rows between 1 following and unbounded following)),
+p as (select page, bool_or(coalesce(n >= 4 and k >= 2 and n - k >= 2 and rx - lx >= 0.03 * width and least(ly1, ry1) - greatest(ly0, ry0) >= 0.25 * least(ly1 - ly0, ry1 - ry0), false)) as multi_column from w group by 1)
+select multi_column, count(*) as n from p group by 1""",
+    "merged_quality": """select doc_id, least(doc_id * 3 % 101, doc_id * 4 % 101) as score,
+  array_to_string(list_filter([case when doc_id % 4 = 0 or doc_id % 5 = 0 then 'no_text' end, case when doc_id % 3 = 0 or doc_id % 4 = 0 then 'table_hint' end, case when doc_id % 5 = 0 or doc_id % 6 = 0 then 'own_reason' end], lambda x: x is not null), ',') as reasons,
+  list_extract(['fast', 'recover', 'review'], greatest(doc_id % 2, doc_id % 3)::int + 1) as route from documents""",
+    "answer_rank": f"""with {corpus._QUESTIONS}, {corpus._INDEX}, {corpus._BM25}, {corpus._RUNS}, p as (select distinct item_id as query_id, doc_id from wr join br using (run))
+select query_id, min(rank)::int as rank, count(*) as found from ranked join p using (query_id, doc_id) where rank <= 20 group by 1""",
+    "extraction_retrieval": f"""with {corpus._QUESTIONS}, {corpus._INDEX}, {corpus._BM25}, {corpus._LISTS}, {corpus._RUNS}, f as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 12) as score from lists group by 1, 2),
+k as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from f qualify rank <= 5), g as (select distinct item_id as query_id, doc_id from wr join br using (run)),
+q as (select g.query_id, count(*) as n, count(k.rank) filter (k.rank = 1) as h1, count(k.rank) as h5, min(k.rank) as first from g left join k using (query_id, doc_id) group by 1)
+select count(*) as queries, round(avg(round(h1 / n, 6)), 6) as recall_at_1, round(avg(round(h5 / n, 6)), 6) as recall_at_5, round(avg(coalesce(1.0::double / first, 0)), 6) as mrr from q""",
+    "batch_states": """with e as (select conv_id, turn, case when turn = 1 and conv_id % 3 = 0 then 1 else least(turn + 1, 3) end as s from conversations),
+a as (select conv_id, count(*) as n, min(turn) filter (s = 1) as t1 from e group by 1), b as (select a.*, (select min(turn) from e where e.conv_id = a.conv_id and s = 2 and turn > t1) as t2 from a),
+c as (select b.*, (select min(turn) from e where e.conv_id = b.conv_id and s = 3 and turn > t2) as t3 from b)
+select case when t3 is not null then 'taught' when t2 is not null then 'visual_ready' when t1 is not null then 'planned' end as state, n - (t1 is not null)::int - (t2 is not null)::int - (t3 is not null)::int as skipped, count(*) as n from c group by 1, 2""",
 }
+ORACLE["visual_question_index"] = ORACLE["visual_pages"].split("select doc_id, doc_id % 50")[0].rstrip() + """,
+v as (select doc_id, regexp_matches(l, '(^|[^a-z0-9])(figure|fig\\.?|table)\\s*[0-9]') or regexp_matches(l, '(^|[^a-z0-9])(x-axis|y-axis|legend|axis)([^a-z0-9]|$)') or len(kinds) > 0 as has from k where doc_id % 3 <> 0)
+select coalesce(has, false) as visual, coalesce(has, false) and quality <> 1 as suspect, has is null as unscanned, count(*) as n from labels left join v using (doc_id) group by 1, 2, 3"""

@@ -148,10 +148,10 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First characters of texts made safe for a spreadsheet."""
+    """Texts made safe for a spreadsheet."""
     from lyceum.sources.sinks import csv_safe as safe
 
-    head = F.substring("text", 1, 20)
+    head = F.col("text")
     return _t(spark, sf_dir, "documents").select("doc_id", safe(F.concat(F.element_at(F.array(F.lit("="), F.lit("+"), F.lit("-"), F.lit("@"), F.lit("a")), (F.col("doc_id") % 5 + 1).cast("int")), head)).alias("cell"))
 
 
@@ -255,7 +255,7 @@ def tainted_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def asset_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of parts, and those that serve both sides."""
     role = F.when(F.col("l_linestatus") == "O", "question_context").when(F.col("l_returnflag") == "A", "worked_solution").otherwise("answer_context")
-    out = questions.asset_roles(_t(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("path"), role.alias("role")))
+    out = questions.asset_roles(_t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("path"), role.alias("role")))
     return out.groupBy(F.array_join("roles", ",").alias("roles"), "conflict").agg(F.count("*").alias("n"))
 
 
@@ -343,7 +343,7 @@ def micro_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issue_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines attributed to a nation by order, by supplier, or not at all."""
-    issues = _t(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.when(F.col("l_orderkey") % 3 == 0, F.col("l_orderkey")).alias("unit_id"), F.col("l_suppkey").alias("source_id"), F.when(F.col("l_orderkey") % 2 == 0, F.col("l_partkey") % 5).alias("page"))
+    issues = _t(spark, sf_dir, "lineitem").select(F.when(F.col("l_orderkey") % 3 == 0, F.col("l_orderkey")).alias("unit_id"), F.col("l_suppkey").alias("source_id"), F.when(F.col("l_orderkey") % 2 == 0, F.col("l_partkey") % 5).alias("page"))
     units = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit_id"), F.col("o_orderstatus").alias("chapter"))
     supp = _t(spark, sf_dir, "supplier")
     pages = supp.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("source_id"), (F.col("s_suppkey") % 5).alias("page"), F.lit("page").alias("chapter"))
@@ -477,7 +477,7 @@ select *, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) as precision, round(coa
 v as (select event_type, week, round(n / m, 4) as share from s join t using (week)), d as (select *, row_number() over w as i, abs(share - lag(share) over w) as d from v window w as (partition by event_type order by week)),
 b as (select *, lag(d) over (partition by event_type order by week) as before from d) select event_type, min(case when i >= 3 and d < 0.05 and before < 0.05 then i end)::int as converged from b group by 1""",
     "stratified_sample": "select quality, toxic, doc_id, rank::int as rank from (select *, row_number() over (partition by quality, toxic order by md5(doc_id::varchar), doc_id) as rank from labels) where rank <= 8",
-    "csv_safe": r"with c as (select doc_id, list_extract(['=', '+', '-', '@', 'a'], (doc_id % 5 + 1)::int) || substring(text, 1, 20) as cell from documents) select doc_id, case when left(cell, 1) in ('=', '+', '-', '@') then '''' || cell else cell end as cell from c",
+    "csv_safe": r"with c as (select doc_id, list_extract(['=', '+', '-', '@', 'a'], (doc_id % 5 + 1)::int) || text as cell from documents) select doc_id, case when left(cell, 1) in ('=', '+', '-', '@') then '''' || cell else cell end as cell from c",
     "difficulty_score": rf"""with {_BANK}, x as (select *, p_size as no from bank), cut as (select list_extract(l, (floor(len(l) * 2 / 3))::int + 1) as cutoff from (select list(distinct no order by no) as l from x)),
 f as (select *, list_filter([case when contains(lower(question), 'integral') then '积分' end, case when contains(lower(question), 'prove that') or contains(lower(question), 'proof') then '证明' end, case when contains(lower(question), 'matrix') then '矩阵' end], lambda t: t is not null) as fam,
   len(list_distinct(list_filter(list_transform(kps, lambda k: trim(k)), lambda k: k <> ''))) as nk from x, cut),
@@ -494,7 +494,7 @@ r as (select case when copies > 1 then 'duplicate_id' when gradable = false then
   when type = 'subjective' and p % 8 = 1 then 'subjective_keywords_missing' when type = 'subjective' then null
   when type = 'true_false' then 'true_false_oracle_invalid' when answer is null then 'answer_missing' end as reason from c) select reason, count(*)::bigint as n from r group by 1""",
     "tainted_assets": "select l_partkey as path, count(*)::bigint as uses from lineitem where l_partkey not in (select l_partkey from lineitem where l_returnflag = 'R' and l_quantity > 49) group by 1",
-    "asset_roles": """with u as (select distinct l_partkey as path, case when l_linestatus = 'O' then 'question_context' when l_returnflag = 'A' then 'worked_solution' else 'answer_context' end as role from lineitem where l_quantity > 40),
+    "asset_roles": """with u as (select distinct l_partkey as path, case when l_linestatus = 'O' then 'question_context' when l_returnflag = 'A' then 'worked_solution' else 'answer_context' end as role from lineitem),
 g as (select path, string_agg(role, ',' order by role) as roles, bool_or(role = 'question_context') and bool_or(role <> 'question_context') as conflict from u group by 1) select roles, conflict, count(*)::bigint as n from g group by 1, 2""",
     "bank_points": f"with {_BANK}, k as (select id, unnest(list_distinct(kps)) as knowledge_point from bank) select knowledge_point, count(*)::bigint as n from k group by 1",
     "drift_running_phase": "select conv_id, turn, coalesce(last_value(case when length(text) % 3 = 0 then length(text) % 10 end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding), 1)::bigint as phase from conversations",
@@ -513,7 +513,7 @@ select status, count(*)::bigint as n, sum(round(b * 100)::bigint)::bigint as cen
 g as (select user_id, count(*)::bigint as entries, arg_min(case when event_type <> 'error' then round(value, 3) end, r) filter (event_type <> 'error') as value, bool_or(r = 1 and event_type = 'error') as gone from e group by 1) select user_id, value, entries from g where not gone""",
     "phase_plan": "select n_nationkey, lead(n_name) over (partition by n_regionkey order by n_nationkey) as next_phase from nation",
     "micro_batches": "with b as (select doc_id, source, (row_number() over (partition by source order by doc_id) - 1) // 8 as batch from documents) select source, batch::bigint as batch, count(*)::bigint as n, min(doc_id) as first_id, max(batch) >= 512 as over from b group by 1, 2",
-    "issue_attribution": """with i as (select case when l_orderkey % 3 = 0 then l_orderkey end as u, l_suppkey as s, case when l_orderkey % 2 = 0 then l_partkey % 5 end as pg from lineitem where l_linenumber = 1)
+    "issue_attribution": """with i as (select case when l_orderkey % 3 = 0 then l_orderkey end as u, l_suppkey as s, case when l_orderkey % 2 = 0 then l_partkey % 5 end as pg from lineitem)
 select coalesce(o_orderstatus, case when s % 2 = 0 and s % 5 = pg then 'page' end, s_nationkey::varchar) as chapter, count(*)::bigint as n from i left join orders on u = o_orderkey left join supplier on s = s_suppkey group by 1""",
     "merged_candidates": """with e as (select user_id, dayofyear(ts)::int as day, event_type, min(row(ts, event_id)) as seen_at from events group by 1, 2, 3)
 select user_id, day, string_agg(event_type, ' | ' order by seen_at) as event_type, case when bool_or(event_type = 'error') then 'blocking' else 'warning' end as severity from e group by 1, 2""",
@@ -531,4 +531,9 @@ select rule, level, count(*)::bigint as n from v group by 1, 2""",
 s as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as session from e) select user_id, session::bigint as session, count(*)::bigint as n, ((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000)::bigint as seconds from s group by 1, 2""",
     "watermarked_late": "with e as (select event_type, epoch_us(ts) as t, max(epoch_us(ts)) over (partition by event_type order by event_id rows between unbounded preceding and 1 preceding) as seen from events) select event_type, count(*)::bigint as n, count(*) filter (t < seen - 86400000000)::bigint as late from e group by 1",
     "chapter_keys": r"with c as (select p_partkey as id, list_extract(['', 'ch', 'chapter-', '0', 'phase ', 'x'], (p_partkey % 6 + 1)::int) || p_size as v from part) select id, case when left(v, 1) <> 'x' then ltrim(regexp_extract(v, '[0-9]+$'), '0') end as chapter from c",
+    "stable_ids": r"""select case when text is null or text = '' then 'empty' when text <> regexp_replace(regexp_replace(text, '^[\s\x{85}\x{a0}]+', ''), '[\s\x{85}\x{a0}]+$', '') then 'padded' when length(text) > 200 then 'too_long'
+  when regexp_matches(text, '[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Zl}\p{Zp}]') then 'unprintable' end as problem, count(*) as n from documents group by 1""",
+    "unsafe_paths": r"""with p as (select regexp_replace(url, '^https?://[^/]*/', '') as path from pages), e as (select path, lower(regexp_extract(regexp_replace(path, '[?#].*$', ''), '\.([A-Za-z0-9]+)$', 1)) as ext from p)
+select regexp_matches(path, '^/|^[A-Za-z]:|\\|(^|/)\.\.(/|$)') as unsafe, case ext when 'pdf' then 'application/pdf' when 'md' then 'text/markdown' when 'markdown' then 'text/markdown' when 'txt' then 'text/plain' when 'csv' then 'text/csv' when 'tsv' then 'text/tab-separated-values'
+  when 'html' then 'text/html' when 'png' then 'image/png' when 'jpg' then 'image/jpeg' when 'jpeg' then 'image/jpeg' when 'gif' then 'image/gif' when 'json' then 'application/json' else 'application/octet-stream' end as media, count(*) as n from e group by 1, 2""",
 }
