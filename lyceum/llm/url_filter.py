@@ -8,12 +8,14 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lyceum.llm.common import saved
+from lyceum.llm.common import BROADCAST_IDS, hot_join, saved
 
 #: Words of a block, bits of a word, and listed URLs a block holds on average (about 12 bits for each).
 WORDS, BITS, PER_BLOCK = 8, 32, 21
 #: Blocks up to which the filter is broadcast (40 bytes each); a larger one is joined by a shuffle.
 BROADCAST_BLOCKS = 200_000
+#: Pages of one listed URL from which it is looked up in a broadcast table in the exact join.
+HOT = 10_000
 
 
 @dataclass(frozen=True)
@@ -86,7 +88,8 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RU
 
     `listed` has a column `url`. A rule decides first; else a URL whose canonical form is listed is
     blocked and any other allowed. The filter has no false negatives and the exact join removes
-    its false positives, so verdicts do not depend on its size. A null url, or one without `://`,
+    its false positives, so verdicts do not depend on its size. A list of up to BROADCAST_IDS names
+    meets the possible hits in one pass; a longer one by a shuffle of the hits, without hot names. A null url, or one without `://`,
     has an empty host and path, fits no rule and is allowed. Repeated rows are judged each; other
     columns are ignored; empty tables give no rows.
     """
@@ -98,10 +101,16 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RU
     host, path = F.col("host"), F.col("path")
     rows = rows.select("page_id", "host", "path", rule_of(host, path, rules, "name").alias("rule"), rule_of(host, path, rules, "verdict").alias("ruled"), canonical(host, path).alias("canon"))
     probed = maybe_listed(rows, bloom_blocks(names, blocks), blocks, broadcast=blocks <= BROADCAST_BLOCKS)
+    open_ = F.col("maybe") & F.col("ruled").isNull()
     out = ["page_id", "host", "path", "rule"]
-    settled = probed.where(~F.col("maybe") | F.col("ruled").isNotNull()).select(*out, F.coalesce("ruled", F.lit("allow")).alias("verdict"))
-    hits = probed.where(F.col("maybe") & F.col("ruled").isNull())
-    exact = hits.join(names.withColumn("found", F.lit(True)), "canon", "left")
+    if names.count() <= BROADCAST_IDS:
+        named = F.broadcast(names.select(F.col("canon").alias("_listed")))
+        exact = probed.join(named, open_ & (F.col("canon") == F.col("_listed")), "left")
+        return exact.select(*out, F.coalesce("ruled", F.when(F.col("_listed").isNotNull(), "block").otherwise("allow")).alias("verdict"))
+    settled = probed.where(~open_).select(*out, F.coalesce("ruled", F.lit("allow")).alias("verdict"))
+    hits = probed.where(open_)
+    found = saved(hits.groupBy("canon").agg(F.count("*").alias("m")).join(names, "canon").withColumn("found", F.lit(True)))
+    exact = hot_join(hits, found, ["canon"], "left", F.col("m") > HOT)
     return settled.unionByName(exact.select(*out, F.when(F.col("found"), "block").otherwise("allow").alias("verdict")))
 
 

@@ -290,6 +290,74 @@ def test_label_model_recovers_accuracies():
     assert ((model.posterior(patterns) >= 0.5) == good).mean() > 0.95
 
 
+def plain_votes(text):
+    """The vote of each labeller on one text, by its words, lines and characters."""
+    raw = (text or "").encode()
+    ws = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    lines = [x for x in raw.split(b"\n") if x]
+    n, size = len(ws), max(len(raw), 1)
+    upper, lower, high = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw), sum(b >= 128 for b in raw)
+    symbols, marks = sum(b in b"#$%&*|<>{}\\^~=" for b in raw), raw.count(b"!")
+    repeats = sum(a == b for a, b in zip(ws, ws[1:])) / max(n, 1)
+    variety = len(set(ws)) / n if n > 1 else 1
+    fresh = len(set(lines)) / len(lines) if len(lines) > 1 else 1
+    letters, cased = (upper + lower + high) / size, max(upper + lower, 1)
+    judge = lambda bad, good: 0 if bad else 2 if good else 1
+    return [
+        judge(symbols > 0.03 * size, symbols == 0), judge(upper > 0.5 * cased, upper < 0.15 * cased), judge(repeats > 0.2, repeats < 0.05), judge(n >= 50 and variety < 0.4, n >= 50 and variety > 0.6),
+        judge(len(lines) >= 4 and fresh < 0.6, len(lines) >= 2 and fresh == 1), judge(marks > 0.2 * max(n, 1), False), judge(letters < 0.7, letters > 0.78), judge(n < 1, n >= 30),
+    ], [repeats, 1 - fresh, 10 * symbols / size, upper / cased], ws
+
+
+def plain_label_model(votes, rounds=60):
+    """Expectation-maximisation over single documents."""
+    good = [1 / (1 + math.exp(-1.5 * (sum(v - 1 for v in d) - 3 * d.count(0)))) for d in votes]
+    for _ in range(rounds):
+        sides = [[1 - g for g in good], good]
+        prior = min(max((sum(good) + 1) / (len(good) + 2), 0.01), 0.99)
+        table = []
+        for k in range(8):
+            row = []
+            for side in sides:
+                count = [sum(w for w, d in zip(side, votes) if d[k] == v) for v in (0, 2)]
+                row.append([(c + 0.5) / (sum(count) + 1) for c in count])
+            table.append(row)
+        good = []
+        for d in votes:
+            odds = [math.log(1 - prior), math.log(prior)]
+            for k, v in enumerate(d):
+                if v != 1:
+                    odds = [o + math.log(table[k][c][v // 2]) for c, o in enumerate(odds)]
+            good.append(1 / (1 + math.exp(odds[0] - odds[1])))
+    return good
+
+
+def test_quality_matches_a_plain_version(spark, docs):
+    rng = np.random.default_rng(13)
+    texts = [r.text for r in docs.select("text").collect() if r.text is None or len(r.text) < 20_000]
+    texts += [" ".join(rng.choice(["spam", "spam!!", "SHOUT", "x%%", "word", "other", "fine"], int(rng.integers(1, 90)))) + str(rng.choice(["", "\n", "\nline\nline\nline\nline"])) for _ in range(80)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = [plain_votes(t) for t in texts]
+    want = {i: sum(v * 3**k for k, v in enumerate(p[0])) for i, p in enumerate(plain)}
+    rows = {r.doc_id: r for r in quality.classify(frame).collect()}
+    assert {i: r.votes for i, r in rows.items()} == want
+    for i, g in enumerate(plain_label_model([p[0] for p in plain])):
+        assert rows[i].posterior == pytest.approx(g, abs=1e-6)
+    _, _, scorer = quality.fit(frame)
+    mask, mix = np.uint64(quality.BINS - 1), lambda x: quality.mix64(np.array([x], np.uint64))[0]
+
+    def hashed(word):
+        raw = np.frombuffer(word, np.uint8)
+        return quality.window_hashes(raw, np.array([0]), np.array([len(raw)]))[0]
+
+    for i in range(0, len(texts), 3):
+        _, shape, ws = plain[i]
+        total = scorer.bias + sum(scorer.weights[int(mix(np.uint64(k) + np.uint64(1)) & mask)] * v for k, v in enumerate(shape))
+        for w in ws:
+            total += (scorer.weights[int(mix(hashed(w) + np.uint64(1)) & mask)] + scorer.weights[int(mix(hashed(w[-3:]) + np.uint64(2)) & mask)]) / len(ws)
+        assert rows[i].score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6)
+
+
 def test_quality_of_awkward_rows(docs, empty):
     got = quality.classify(docs).collect()
     assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)

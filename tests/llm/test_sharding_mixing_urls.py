@@ -139,6 +139,14 @@ def test_urls_by_rules_and_list(spark):
     assert url_filter.judge_urls(pages, pages.select("url")).count() == len(URLS)
 
 
+def test_long_lists_are_joined_by_a_shuffle_without_hot_names(spark, monkeypatch):
+    pages = spark.createDataFrame([(*u, "clash", "b") for u in URLS] + [(100 + k, "http://x.org/de/9?k", "c", "b") for k in range(30)], "page_id long, url string, host string, block string")
+    short = sorted(map(tuple, url_filter.judge_urls(pages, url_filter.feed_urls(pages)).collect()))
+    monkeypatch.setattr(url_filter, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(url_filter, "HOT", 5)
+    assert sorted(map(tuple, url_filter.judge_urls(pages, url_filter.feed_urls(pages)).collect())) == short
+
+
 def test_bloom_filter_has_no_false_negatives_and_few_false_positives(spark):
     names = spark.range(3000).selectExpr("concat('h', id, '/p') as canon")
     blocks = 3000 // url_filter.PER_BLOCK + 1
