@@ -339,7 +339,7 @@ select query_id, ql <> 9 as answerable, (r1 * (ql <> 9)::int)::double as recall_
     "bm25_snippets": f"""with {_QUESTIONS}, {_INDEX}, {_BM25}, q as (select query_id, list_filter({TOKENS.format("text")}, lambda x: not list_contains({STOP}, x)) as tokens from asked),
 h as (select query_id, doc_id, text, list_filter(list_transform(tokens, lambda t: instr(lower(text), t)), lambda i: i > 0) as places from ranked join q using (query_id) join documents using (doc_id) where rank = 1),
 s as (select query_id, doc_id, text, greatest(0, coalesce(places[1] - 1, 0) - 60) as start from h)
-select query_id, doc_id, trim(regexp_replace(substring(text, start + 1, 240), '\s+', ' ', 'g')) as snippet from s""",
+select query_id, doc_id, trim(regexp_replace(substring(text, start + 1, 240), '\\s+', ' ', 'g')) as snippet from s""",
     "heading_slugs": r"""with h as (select doc_id, source, regexp_replace(regexp_replace(lower(trim(split_part(text, chr(10), 1))), '[^\p{L}\p{N}_\-\s]', '', 'g'), '\s', '-', 'g') as slug from documents),
 n as (select *, row_number() over (partition by source, slug order by doc_id) - 1 as n from h) select doc_id, case when n > 0 then slug || '-' || n else slug end as anchor from n""",
     "language_evidence": r"""with w as (select lang, text, regexp_extract_all(text, '[A-Za-z]+') as raw, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)) as words,
