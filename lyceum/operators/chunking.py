@@ -131,3 +131,30 @@ def chunk_units(units: DataFrame, tainted: DataFrame | None = None, target: int
 
     schema = "source_file string, chunk int, chapter_id string, kind string, unit_ids array<string>, pages array<int>, text string"
     return rows.groupBy("source_file").applyInPandas(run, schema)
+
+
+# The heading of a notebook entry, and a code fence.
+ENTRY_HEAD, FENCE = r"^##\s+\[#([^\]\s]+)\]\s*(.*)$", r"^ {0,3}(`{3,}|~{3,})"
+
+
+def notebook_entries(text: str | None) -> list[tuple[str, str, int, int]]:
+    """(id, title, first line, lines) of the entries of a notebook chapter, lines counted from 0; a heading in a code fence is content.
+
+    A fence is closed by the same character, as many times at least. One that is left open is an error.
+    """
+    lines, fence, heads = (text or "").splitlines(), None, []
+    for k, line in enumerate(lines):
+        mark = re.match(FENCE, line)
+        if mark:
+            if fence is None:
+                fence = mark[1]
+            elif mark[1][0] == fence[0] and len(mark[1]) >= len(fence):
+                fence = None
+            continue
+        head = re.match(ENTRY_HEAD, line) if fence is None else None
+        if head:
+            heads.append((head[1], head[2].strip() or head[1], k))
+    if fence is not None:
+        raise ValueError("a code fence is left open")
+    ends = [h[2] for h in heads[1:]] + [len(lines)]
+    return [(i, title, k, end - k) for (i, title, k), end in zip(heads, ends, strict=True)]

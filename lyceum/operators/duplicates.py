@@ -54,6 +54,22 @@ def exact_fingerprint(text: Column) -> Column:
     return F.sha2(normalize_exact(text), 256)
 
 
+def identities(units: DataFrame) -> DataFrame:
+    """(unit_id, block, fingerprint) of units (unit_id, kind, text, chapter_id, provenance, asset_path, asset_role, asset_sha256, paired_unit_id).
+
+    The fingerprint covers the text, the asset and, of a question, what its paired answer is: bound
+    with that answer's own fingerprint, missing, or none. The block is the compatibility key, so
+    units of other chapters, sides or origins never meet.
+    """
+    asset = F.to_json(F.struct("asset_path", "asset_role", "asset_sha256"))
+    rows = units.withColumn("own", F.sha2(F.concat_ws("\x1f", normalize_exact(F.col("text")), asset), 256))
+    answers = rows.where("kind = 'answer'").select(F.col("unit_id").alias("paired_unit_id"), F.col("own").alias("bound"))
+    both = rows.join(answers, "paired_unit_id", "left")
+    pairing = F.when(F.col("paired_unit_id").isNull(), "unpaired").when(F.col("bound").isNotNull(), F.col("bound")).otherwise(F.concat(F.lit("missing:"), "paired_unit_id"))
+    key = compatibility_key({c: F.col(c) for c in ("kind", "asset_role", "provenance", "chapter_id")})
+    return both.select("unit_id", key.alias("block"), F.when(F.col("kind") == "question", F.sha2(F.concat_ws("\x1f", "own", pairing), 256)).otherwise(F.col("own")).alias("fingerprint"))
+
+
 def exact_groups(units: DataFrame, block: str, unit_id: str = "unit_id", text: str = "text") -> DataFrame:
     """(block, fingerprint, members, display): units of one block with equal normal texts, two or more."""
     rows = units.select(F.col(block).alias("block"), F.col(unit_id).alias("unit_id"), exact_fingerprint(F.col(text)).alias("fingerprint"), normalize_near(F.col(text)).alias("near"))

@@ -95,3 +95,35 @@ def patch_runs(rows: DataFrame, reruns: DataFrame, keys: list[str], value: str,
     use = F.col(error) & F.col("_error").isNotNull()
     out = rows.join(again, keys, "left")
     return out.withColumn(value, F.when(use, F.col("_value")).otherwise(F.col(value))).withColumn(error, F.when(use, F.col("_error")).otherwise(F.col(error))).drop("_value", "_error")
+
+
+def arm_means(scored: DataFrame) -> DataFrame:
+    """Rates of each arm from scored answers (arm, answerable, answer_type, faithfulness, hallucinated, correct, abstained); an empty rate is null."""
+    ok, numeric = F.col("answerable"), F.col("answer_type") == "numeric"
+    rate = lambda cond, c: F.round(F.avg(F.when(cond, F.col(c).cast("double"))), 6)
+    return scored.groupBy("arm").agg(
+        F.count("*").alias("n"), rate(ok, "faithfulness").alias("faithfulness"), F.round(F.avg(F.col("hallucinated").cast("double")), 6).alias("hallucination"),
+        rate(ok, "correct").alias("correctness"), rate(ok & numeric, "correct").alias("numeric_accuracy"), rate(~ok, "abstained").alias("abstention"),
+    )
+
+
+def course_summary(merged: DataFrame) -> DataFrame:
+    """One row a course: its cells, models, arms, items, answers that failed, and its whole cost, failed runs included."""
+    return merged.groupBy("course").agg(
+        F.count_distinct("model", "arm").alias("cells"), F.count_distinct("model").alias("models"), F.count_distinct("arm").alias("arms"), F.count_distinct("item_id").alias("n_items"),
+        F.count_if("infra_error").alias("failed"), F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0))), 4).alias("total_cost_usd"),
+    )
+
+
+def traced_recall(answers: DataFrame, items: DataFrame) -> DataFrame:
+    """(model, arm, n_traced, n_hit, n_untraced, recall): whether the files that a run opened (item_id, model, arm, files) hold the chapter of the item's source (item_id, source_file, answerable).
+
+    Items that can't be answered or name no chapter have no right chapter and don't count.
+    """
+    from lyceum.functions.vocabulary import chapter_of
+
+    gold = items.where(F.coalesce("answerable", F.lit(True))).select("item_id", chapter_of(F.col("source_file")).alias("chapter")).where("chapter is not null")
+    opened = F.transform(F.coalesce("files", F.array().cast("array<string>")), chapter_of)
+    rows = answers.join(gold, "item_id").withColumn("traced", F.coalesce(F.size("files") > 0, F.lit(False))).withColumn("hit", F.coalesce(F.array_contains(opened, F.col("chapter")), F.lit(False)))
+    out = rows.groupBy("model", "arm").agg(F.count_if("traced").alias("n_traced"), F.count_if(F.col("traced") & F.col("hit")).alias("n_hit"), F.count_if(~F.col("traced")).alias("n_untraced"))
+    return out.withColumn("recall", F.round(F.try_divide("n_hit", "n_traced"), 4))
