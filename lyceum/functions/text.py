@@ -134,6 +134,7 @@ ENGLISH_PROSE = (
 ENGLISH_LABELS = "chapter section example quiz problem overview course note parser output".split()
 FORMULA_PROSE = "if where otherwise use let be when then else such that equals result case".split()
 MATH_WORDS = "sin cos tan log ln exp min max lim det rank arg argmin argmax var cov dx dy dt".split()
+NEUTRAL_KINDS = ("text", "list", "table", "formula", "question", "answer", "other")
 HAN = r"[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]"
 MATH_SIGNAL = r"\\[A-Za-z]+|[0-9=+*/^<>≤≥∑∏∫√±×÷≠≈∈∉⊂⊆⊃⊇∅∀∃∪∩(){}\[\]|_]"
 TEX_PROSE = r"(?i)\\(?:text|textrm|textsf|texttt|textnormal|mbox)\s*\{"
@@ -159,7 +160,8 @@ def neutral_formula(text: Column, latex: Column, kind: Column) -> Column:
         return (F.length(t) == 1) | (~prose & (F.array_contains(_words(MATH_WORDS), low) | ((t == F.upper(t)) & short) | (symbolic & (t == low) & short)))
 
     plain = ~value.rlike(HAN) & ~value.rlike(TEX_PROSE) & F.forall(tokens, allowed)
-    return (value != "") & plain & (is_formula | has_latex | value.rlike(MATH_SIGNAL))
+    known = kind.isNull() | kind.isin(*NEUTRAL_KINDS)
+    return known & (value != "") & plain & (is_formula | has_latex | value.rlike(MATH_SIGNAL))
 
 
 def language_evidence(text: Column, latex: Column | None = None, kind: Column | None = None) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -30,19 +31,26 @@ def sentences(text: str, start: int, end: int) -> list[tuple[int, int]]:
 
 
 def packed(text: str, start: int, end: int, target: int = TARGET, hard: int = HARD_MAX) -> list[tuple[int, int]]:
-    """Sentences joined up to about the target, never beyond the limit, rather split before a word that opens a topic."""
-    out: list[list[int]] = []
-    for a, b in sentences(text, start, end):
-        size = b - out[-1][0] if out else 0
-        opens = bool(TOPIC.match(text[a : min(b, a + 24)].lstrip()))
-        if not out or size > hard or size > 1.5 * target or (size > target and opens):
-            out.append([a, b])
-        else:
-            out[-1][1] = b
-    if len(out) > 1 and out[-1][1] - out[-1][0] < MIN_TAIL and out[-1][1] - out[-2][0] <= hard:
-        tail = out.pop()
-        out[-1][1] = tail[1]
-    return [(s, min(s + hard, b)) for a, b in out for s in range(a, max(b, a + 1), hard)]
+    """Chunks of whole sentences: each ends before the first sentence that would pass the limit, or that opens a topic beyond the target.
+
+    Both places are searched among the sentences' ends. A short tail joins the chunk before it, and
+    a sentence beyond the limit is cut there.
+    """
+    found = sentences(text, start, end)
+    ends = [b for _, b in found]
+    topics = [k for k, (a, b) in enumerate(found) if TOPIC.match(text[a : min(b, a + 24)].lstrip())]
+    chunks, first = [], 0
+    while first < len(found):
+        begin = found[first][0]
+        full = bisect.bisect_right(ends, begin + min(hard, 1.5 * target), first + 1)
+        enough = bisect.bisect_right(ends, begin + target, first + 1)
+        topic = bisect.bisect_left(topics, enough)
+        after = min([full, *topics[topic : topic + 1]])
+        chunks.append((begin, ends[after - 1]))
+        first = after
+    if len(chunks) > 1 and chunks[-1][1] - chunks[-1][0] < MIN_TAIL and chunks[-1][1] - chunks[-2][0] <= hard:
+        chunks[-2:] = [(chunks[-2][0], chunks[-1][1])]
+    return [(s, min(s + hard, b)) for a, b in chunks for s in range(a, max(b, a + 1), hard)]
 
 
 def spans(text: str, target: int = TARGET, hard: int = HARD_MAX) -> list[Span]:

@@ -20,13 +20,13 @@ FIGURE_NUMBER = r"(?i)(?<![A-Za-z0-9])(?:figure|fig\.?|table|图|表)\s*\d"
 MIN_DRAWINGS = 4
 MASKED = ("table of contents", "figure it out", "figure out", "graph theory", "figure caption")
 SHOWN = (
-    r"venn|at right|to the right|shown (on the right|below|above)|as shown|\bshaded?\b|(figure|diagram|table|image|picture|chart|graph|tree|plot)s?\s+(below|above|at right|to the right)"
-    r"|(shown|given)\s+in\s+(figure|table|fig\.?)\s*\d*|文氏图|如图|阴影|示意图|如下图|见下图|如上图|见上图|下图所示|上图所示|如下表|见下表|如上表|见上表|下表所示|上表所示"
-)
+    r"venn", r"at right", r"to the right", r"shown (on the right|below|above)", r"as shown", r"\bshaded?\b", r"(figure|diagram|table|image|picture|chart|graph|tree|plot)s?\s+(below|above|at right|to the right)",
+    r"(shown|given)\s+in\s+(figure|table|fig\.?)\s*\d*", "文氏图", "如图", "阴影", "示意图", "如下图", "见下图", "如上图", "见上图", "下图所示", "上图所示", "如下表", "见下表", "如上表", "见上表", "下表所示", "上表所示",
+)
 NAMED = (
-    r"\b(diagram|figure|table|graph|plot|tree|circuit|draw|drawn|axes|rectangle|triangle|histograms?|flow\s*charts?)\b|流程图|柱状图|折线图|饼图|图示|区域|[见如]\s*[上下]一?页"
-    r"|(?:see|on)\s+(?:the\s+)?(?:next|previous)\s+page|matrix\s+(below|above|shown)"
-)
+    r"\bdiagram\b", r"\bfigure\b", r"\btable\b", r"\bgraph\b", r"\bplot\b", r"\btree\b", r"\bcircuit\b", r"\bdraw\b", r"\bdrawn\b", r"\baxes\b", r"\brectangle\b", r"\btriangle\b", r"\bhistograms?\b", r"\bflow\s*charts?\b",
+    "流程图", "柱状图", "折线图", "饼图", "图示", "区域", r"[见如]\s*[上下]一?页", r"(?:see|on)\s+(?:the\s+)?(?:next|previous)\s+page", r"matrix\s+(below|above|shown)",
+)
 MARKER = r"(?i)\b(example|quiz)\s+(\d+)\.(\d+)\b\s*[:.\-(]*\s*(solutions?|answers?|problems?)?"
 
 
@@ -53,7 +53,8 @@ def needs_assets(text: Column, renderable: Column) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     for phrase in MASKED:
         t = F.replace(t, F.lit(phrase), F.lit(" "))
-    return t.rlike("(?i)" + SHOWN) | (renderable & t.rlike("(?i)" + NAMED))
+    any_of = lambda cues: t.rlike("(?i)" + "|".join(cues))
+    return any_of(SHOWN) | (renderable & any_of(NAMED))
 
 
 def chapters(pages: DataFrame) -> DataFrame:
