@@ -5,8 +5,8 @@ bijection of the ring, and signature coordinate k is the least image after a shi
 with equal shingle sets are one class. Classes that share a band are tied to the least and the
 greatest class of that band (a star, so a band of m classes makes 2m candidates, not m*m). Links are
 confirmed on full sets. Where a band still holds several components, its classes are compared by
-their sketches: the members of its largest component lie in one block each, only the rest visit all
-blocks. Those that could reach the threshold with one of another component are compared on full
+their sketches: the members of its largest component stay in their block, only the rest visit all
+blocks, and a group is a block with a part of its visitors. Those that could reach the threshold with one of another component are compared on full
 sets, within their blocks as well: no bucket is capped, no candidate is dropped, and only links
 leave these comparisons.
 """
@@ -117,15 +117,15 @@ def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of whole groups (bkey, i) of sorted rows; a group that a batch cuts is finished with the next."""
+    """Tables of whole groups (bkey, i, j) of sorted rows; a group that a batch cuts is finished with the next."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         t = pa.Table.from_batches(held)
-        keys = [t.column(c).to_numpy() for c in ("bkey", "i")]
-        other = np.flatnonzero((keys[0] != keys[0][-1]) | (keys[1] != keys[1][-1]))
+        keys = [t.column(c).to_numpy() for c in ("bkey", "i", "j")]
+        other = np.flatnonzero((keys[0] != keys[0][-1]) | (keys[1] != keys[1][-1]) | (keys[2] != keys[2][-1]))
         cut = int(other[-1]) + 1 if len(other) else 0
         if cut:
             yield t.slice(0, cut)
@@ -136,9 +136,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _numbered(t: pa.Table) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """The number of each row's group, and the columns that pairs are chosen by."""
-    cols = {c: t.column(c).to_numpy() for c in ("bkey", "i", "side", "n", "node", "comp")}
+    cols = {c: t.column(c).to_numpy() for c in ("bkey", "i", "j", "side", "n", "node", "comp")}
     change = np.zeros(t.num_rows, np.int64)
-    change[1:] = (np.diff(cols["bkey"]) != 0) | (np.diff(cols["i"]) != 0)
+    change[1:] = (np.diff(cols["bkey"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)
     return np.cumsum(change), cols
 
 
@@ -165,8 +165,8 @@ def _suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _foreign(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether rows lie in different components, and one of them at least in its own block."""
-    return (c["comp"][x] != c["comp"][y]) & ((c["side"][x] == 0) | (c["side"][y] == 0))
+    """Whether rows lie in different components and one of them is a visitor; members of a block meet each other in its first group only."""
+    return (c["comp"][x] != c["comp"][y]) & ((c["side"][x] != c["side"][y]) | ((c["side"][x] == 0) & (c["j"][x] == 0)))
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,22 +282,29 @@ def _stars(members: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows (bkey, node, n, comp) of bands that hold several components, dealt to blocks.
+    """Rows (bkey, node, n, comp) of bands that hold several components, dealt to groups (bkey, i, j).
 
-    Two members of different components can't both be of the largest one. A member of it stays in
-    its own block (side 0); any other also visits the other blocks of the band (side 1).
+    Two members of different components can't both be of the largest one, so only the rest of a
+    band visits blocks other than its own. Group j of block i holds the block's members (side 0)
+    and the part j of the visitors (side 1): about two blocks of rows, whatever the band's size.
     """
     parts = rows.groupBy("bkey", "comp").agg(F.count("*").alias("m"))
     bands = parts.groupBy("bkey").agg(F.sum("m").alias("m"), F.count("*").alias("parts"), F.max(F.struct("m", "comp")).alias("most")).where("parts > 1")
-    bands, small = few(bands.select("bkey", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int").alias("blocks"), F.col("most.comp").alias("most")))
-    rows = rows.join(F.broadcast(bands) if small else bands, "bkey").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rows = rows.withColumn("i", F.explode(F.when(F.col("comp") == F.col("most"), F.array("own")).otherwise(every)))
-    return rows.select("bkey", "i", F.when(F.col("i") == F.col("own"), 0).otherwise(1).alias("side"), "n", "node", "comp")
+    many = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1)).cast("int")
+    bands, small = few(bands.select("bkey", many(F.col("m")).alias("blocks"), many(F.col("m") - F.col("most.m")).alias("shares"), F.col("most.comp").alias("most")))
+    rows = rows.join(F.broadcast(bands) if small else bands, "bkey")
+    own, share = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("shares")).cast("int")
+    place = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    member = F.transform(upto(F.col("shares")), lambda j: place(F.col("own"), j, 0))
+    visitor = F.transform(F.filter(upto(F.col("blocks")), lambda i: i != F.col("own")), lambda i: place(i, F.col("share"), 1))
+    rows = rows.withColumn("own", own).withColumn("share", share)
+    rows = rows.withColumn("at", F.explode(F.when(F.col("comp") == F.col("most"), member).otherwise(F.concat(member, visitor))))
+    return rows.select("bkey", "at.i", "at.j", "at.side", "n", "node", "comp")
 
 
 def _sorted(rows: DataFrame, payload: str) -> DataFrame:
-    return rows.select("bkey", "i", "side", "n", "node", "comp", payload).repartition("bkey", "i").sortWithinPartitions("bkey", "i", "n", "node")
+    return rows.select("bkey", "i", "j", "side", "n", "node", "comp", payload).repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j", "n", "node")
 
 
 def _rest(corpus: _Corpus, members: DataFrame, labels: DataFrame) -> DataFrame:

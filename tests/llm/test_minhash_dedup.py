@@ -106,6 +106,28 @@ def test_hot_bands_and_classes_match_brute_force(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_groups_of_a_band_are_bounded_and_meet_every_foreign_pair(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 10)
+    rng = np.random.default_rng(2)
+    comps = {0: [*([7] * 90), *range(100, 160)], 1: [5] * 30, 2: list(range(40))}
+    rows = [(band, 1000 * band + k, 50, comp) for band, members in comps.items() for k, comp in enumerate(members)]
+    order = rng.permutation(len(rows))
+    made = minhash_dedup._blocks(spark.createDataFrame([rows[k] for k in order], "bkey long, node long, n long, comp long")).collect()
+    groups = {}
+    for r in made:
+        groups.setdefault((r.bkey, r.i, r.j), []).append(r)
+    assert max(map(len, groups.values())) <= 45 and not any(b == 1 for b, _, _ in groups)
+    met = set()
+    for members in groups.values():
+        c = {name: np.array([getattr(m, name) for m in members]) for name in ("comp", "side", "j", "node")}
+        for x in range(len(members)):
+            y = np.arange(len(members))
+            for z in y[minhash_dedup._foreign(c, np.full(len(y), x), y)]:
+                met.add((int(c["node"][x]), int(c["node"][z])))
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[3] != b[3]}
+    assert want == met
+
+
 def test_shingles_agree_with_words():
     texts = ["A b c d e f", "a B", "", None, " x\ty\nz  w v u t ", "a b c d e f"]
     sizes = [len(s) for s in shingle_rows(pa.array(texts))]
