@@ -165,4 +165,4 @@ def notebook_entries(text: str | None) -> list[tuple[str, str, int, int]]:
     if fence is not None:
         raise ValueError("a code fence is left open")
     ends = [h[2] for h in heads[1:]] + [len(lines)]
-    return [(i, title, k, end - k) for (i, title, k), end in zip(heads, ends, strict=True)]
+    return [(i, title, k, end - k) for (i, title, k), end in zip(heads, ends, strict=False)]
