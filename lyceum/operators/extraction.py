@@ -56,3 +56,32 @@ def retrieval_scores(gold: DataFrame, ranked: DataFrame) -> DataFrame:
         F.coalesce(F.round(F.avg(F.coalesce(1 / F.get(places, F.lit(0)), F.lit(0.0))), 6), F.lit(0.0)).alias("mrr"),
     )
     return out
+
+
+def math_readiness(chapters: DataFrame, fields: DataFrame) -> DataFrame:
+    """(chapter, status, reasons, formulas, substitutions, symbols, spans) of chapters (chapter, wiki, manifest, local_risk, global_risk).
+
+    `manifest` is valid, invalid or missing, `wiki` the chapter's text, and the risks are open
+    reviews. `fields` (chapter, field, text) are the strings of a manifest. Damaged evidence needs
+    recovery, and never passes for a chapter without mathematics.
+    """
+    from lyceum.functions.mathtext import spans_of
+
+    said = fields.withColumn("spans", F.size(spans_of("text")))
+    filled = F.trim(F.coalesce("text", F.lit(""))) != ""
+    count = lambda name: F.count_if(filled & (F.col("field") == name))
+    found = said.groupBy("chapter").agg(count("latex").alias("formulas"), count("substitution").alias("substitutions"), count("symbol").alias("symbols"), F.sum("spans").alias("spans"))
+    both = chapters.join(found, "chapter", "left")
+    valid = F.col("manifest") == "valid"
+    n = lambda c: F.when(valid, F.coalesce(c, F.lit(0))).otherwise(0)
+    reasons = F.array(
+        F.when(F.col("manifest") == "invalid", "chapter_teaching_manifest_invalid"), F.when(F.col("manifest") == "missing", "chapter_teaching_manifest_missing"), F.when(F.col("wiki").isNull(), "chapter_wiki_missing_or_ambiguous"),
+        F.when(F.col("wiki").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"), "unsafe_control_text"), F.when(F.contains("wiki", F.lit("\ufffd")), "unicode_replacement_text"),
+        F.when(F.col("local_risk") > 0, "chapter_source_recovery_pending"), F.when(F.col("global_risk") > 0, "unbound_high_risk_review_pending"),
+    )
+    reasons = F.array_sort(F.filter(reasons, lambda r: r.isNotNull()))
+    any_math = n("formulas") + n("substitutions") + n("symbols") + n("spans") > 0
+    return both.select(
+        "chapter", F.when(F.size(reasons) > 0, "needs_recovery").when(any_math, "standard").otherwise("none").alias("status"), reasons.alias("reasons"),
+        *[n(c).cast("long").alias(c) for c in ("formulas", "substitutions", "symbols", "spans")],
+    )

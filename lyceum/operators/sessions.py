@@ -64,3 +64,22 @@ def anchors(headings: DataFrame, by: list[str], order: str, slug: str) -> DataFr
     """Slugs made unique by -1, -2 ... in the order of the headings."""
     n = F.row_number().over(Window.partitionBy(*by, slug).orderBy(order)) - 1
     return headings.withColumn("anchor", F.when(n > 0, F.concat_ws("-", slug, n.cast("string"))).otherwise(F.col(slug)))
+
+
+def snapshots(turns: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Which snapshot of a turn counts (`source`: state, view or none), its phase, whether the view was written against the state (`view_edit`) and whether the turn can't be judged (`malformed`).
+
+    `turns` has state_phase and view_phase (null without a snapshot), state_written and view_written.
+    The state counts as soon as it was seen; from then on a view that is written alone, or that
+    shows another phase than the state of the same turn, is an edit by hand.
+    """
+    has_state, has_view = F.col("state_phase").isNotNull(), F.col("view_phase").isNotNull()
+    touched = has_state | F.coalesce("state_written", F.lit(False))
+    view = has_view | F.coalesce("view_written", F.lit(False))
+    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.max(touched.cast("int")).over(so_far) == 1
+    rows = turns.withColumn("_known", known)
+    source = F.when(has_state, "state").when(has_view & ~F.col("_known"), "view")
+    malformed = (has_view & F.coalesce("state_written", F.lit(False)) & ~has_state) | (has_state & F.coalesce("view_written", F.lit(False)) & ~has_view)
+    edited = (F.col("_known") & view & ~touched) | F.coalesce(F.col("state_phase") != F.col("view_phase"), F.lit(False))
+    return rows.select(*by, *order, source.alias("source"), F.when(has_state, F.col("state_phase")).when(source == "view", F.col("view_phase")).alias("phase"), edited.alias("view_edit"), malformed.alias("malformed"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,17 +53,33 @@ def cohen_kappa(ratings: DataFrame, a: str, b: str) -> DataFrame:
     return out.select(F.col("total").alias("n"), F.round(po, 6).alias("observed"), F.round(pe, 6).alias("expected"), F.round(kappa, 6).alias("kappa"))
 
 
+def _draws(seed: int, n: int) -> Iterator[np.ndarray]:
+    """Blocks of the numbers below n that a Mersenne twister of that seed draws one by one: its words' leading bits, those that are too large left out."""
+    _, words, _ = random.Random(seed).getstate()
+    twister = np.random.RandomState()
+    twister.set_state(("MT19937", np.array(words[:-1], np.uint32), words[-1]))
+    bits = n.bit_length()
+    while True:
+        drawn = twister.randint(0, 1 << 32, size=1 << 16, dtype=np.uint32) >> np.uint32(32 - bits)
+        yield drawn[drawn < n].astype(np.int64)
+
+
 def bootstrap_interval(left: list[float], right: list[float], resamples: int, seed: int, alpha: float = 0.05, statistic: Callable[[list[float]], float] | None = None) -> tuple[float, float, float]:
-    """Observed difference and the bounds of a paired bootstrap; a Mersenne twister of that seed draws the items."""
-    statistic = statistic or (lambda xs: sum(xs) / len(xs) if xs else 0.0)
+    """Observed difference and the bounds of a paired bootstrap; a Mersenne twister of that seed draws the items. Means are taken of whole blocks of resamples at once."""
     if not left:
         return 0.0, 0.0, 0.0
-    rng, n = random.Random(seed), len(left)
-    observed = statistic(right) - statistic(left)
-    found = []
-    for _ in range(resamples):
-        at = [rng.randrange(n) for _ in range(n)]
-        found.append(statistic([right[i] for i in at]) - statistic([left[i] for i in at]))
+    n, draws, rest = len(left), _draws(seed, len(left)), np.zeros(0, np.int64)
+    a, b, found = np.array(left, float), np.array(right, float), []
+    measure = statistic or (lambda xs: sum(xs) / len(xs))
+    observed = measure(list(right)) - measure(list(left))
+    while len(found) < resamples:
+        rest = np.concatenate([rest, next(draws)])
+        rows = min(len(rest) // n, resamples - len(found))
+        at, rest = rest[: rows * n].reshape(rows, n), rest[rows * n :]
+        if statistic is None:
+            found += (b[at].sum(1) / n - a[at].sum(1) / n).tolist()
+        else:
+            found += [statistic(b[k].tolist()) - statistic(a[k].tolist()) for k in at]
     found.sort()
     return observed, found[int(alpha / 2 * resamples)], found[max(0, int((1 - alpha / 2) * resamples) - 1)]
 

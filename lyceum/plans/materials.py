@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from lyceum.functions import mathtext, vocabulary
 from lyceum.functions import quality as q
 from lyceum.operators import claims, extraction, fusion, gate, ledger, pages, questions, retrieval
 from lyceum.plans import corpus
-from lyceum.session import prepare, table
+from lyceum.session import prepare, stored, table
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -184,8 +186,24 @@ def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     cand = fusion.query_metrics(gold, fusion.rrf(lists).select("query_id", "rank", unit))
     lim = gate.limits()
     why = gate.sufficiency(gold, ["rare_term"], lim)
-    run = lambda m, kind: {"kind": kind, "resources": {"p95_latency_ms": 0.0, "index_size_bytes": 0, "indexed_docs": docs.count(), "top5_stability": 1.0}, "slices": {r["tag"]: r["recall_5"] for r in gate.slice_recall(m, gold).collect()}} | dict(m.agg(F.avg(F.when(F.col("answerable"), F.col("recall_5"))).alias("recall_5"), F.avg("intrusion").alias("intrusion"), F.sum("false_accept").alias("false_accepts"), F.sum("missing").alias("missing")).first().asDict())
-    decision, reasons = gate.decide(why, run(base, "bm25") if not why else None, run(cand, "rrf") if not why else None, gate.compare(base, cand) if not why else None, ["rare_term"], lim)
+    asked_n, indexed = max(1, asked.count()), docs.count()
+    postings = stored(retrieval.postings(docs).groupBy("token").agg(F.count("*").alias("df")))
+    index_bytes = postings.agg(F.sum(F.octet_length("token") + 12 * F.col("df"))).first()[0] or 0  # a token, and a document and a count for each posting
+    again = lists.where("rank <= 5").select("query_id", "backend", "doc_id", "rank", F.lit(0).alias("repeat")).unionByName(corpus._lists(spark, sf_dir).where("rank <= 5").select("query_id", "backend", "doc_id", "rank", F.lit(1).alias("repeat")))
+
+    def run(metrics: DataFrame, kind: str, hits: DataFrame) -> dict:
+        """A receipt of measured values: the time that all hits take, dealt to the questions, as they are answered together."""
+        began = time.monotonic()
+        hits.write.format("noop").mode("overwrite").save()
+        latency = 1000 * (time.monotonic() - began) / asked_n
+        same = again if kind == "rrf" else again.where("backend = 'bm25'")
+        stability = fusion.top_k_stability(same.select("query_id", F.concat_ws(":", "backend", "doc_id").alias("doc_id"), "rank", "repeat")).first().share
+        sums = metrics.agg(F.avg(F.when(F.col("answerable"), F.col("recall_5"))).alias("recall_5"), F.avg("intrusion").alias("intrusion"), F.sum("false_accept").alias("false_accepts"), F.sum("missing").alias("missing")).first().asDict()
+        resources = {"p95_latency_ms": latency, "index_size_bytes": index_bytes, "indexed_docs": indexed, "top5_stability": stability}
+        return {"kind": kind, "resources": resources, "slices": {r["tag"]: r["recall_5"] for r in gate.slice_recall(metrics, gold).collect()}} | sums
+
+    bm25, rrf = lists.where("backend = 'bm25'"), fusion.rrf(lists)
+    decision, reasons = gate.decide(why, run(base, "bm25", bm25) if not why else None, run(cand, "rrf", rrf) if not why else None, gate.compare(base, cand) if not why else None, ["rare_term"], lim)
     return spark.createDataFrame([(decision, ",".join(reasons))], "decision string, reasons string")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from lyceum.operators import chunking, duplicates, matrix, sessions, state
+from lyceum.operators import chunking, duplicates, extraction, matrix, sessions, state
 from lyceum.plans import study
 from lyceum.plans.workspace import _pick, _sql_pick
 from lyceum.session import prepare, table
@@ -96,7 +96,31 @@ def notebook_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "e.id", "e.title", "e.line", "e.lines")
 
 
-QUERIES = {f.__name__: f for f in (arm_means, course_summary, traced_recall, unit_identities, compatibility_blocks, window_matches, manifest_collisions, latest_statuses, notebook_entries)}
+def session_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of users' events by the snapshot that counts, and edits of the view."""
+    e, u = F.col("event_id"), F.col("user_id")
+    turns = _t(spark, sf_dir, "events").select(
+        u.alias("session"), e.alias("turn"), F.when((e % 5 == 0) & (u % 4 != 0), (e % 3).cast("int")).alias("state_phase"), F.when(e % 2 == 0, (e % 3 + F.when(e % 20 == 0, 1).otherwise(0)).cast("int")).alias("view_phase"), (e % 7 == 0).alias("state_written"), (e % 3 == 0).alias("view_written")
+    )
+    out = sessions.snapshots(turns, ["session"], ["turn"])
+    return out.groupBy("session", "source", "view_edit", "malformed").agg(F.count("*").alias("n"), F.max("phase").alias("phase"))
+
+
+FIELDS = ("cost $x^2$ and", "shown $$\\frac{a}{b}$$ ok $y$", "plain", " ", "$open")
+
+
+def math_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as chapters, whose lines are the strings of a manifest."""
+    p = F.col("p_partkey")
+    wiki = F.when(p % 11 != 0, F.concat(F.lit("text\t\n"), F.when(p % 13 == 0, "\x01").otherwise(""), F.when(p % 17 == 0, "\ufffd").otherwise("")))
+    chapters = _t(spark, sf_dir, "part").select(p.alias("chapter"), _pick(("valid", "valid", "valid", "invalid", "missing"), p).alias("manifest"), wiki.alias("wiki"), (p % 19 == 0).cast("int").alias("local_risk"), (p % 23 == 0).cast("int").alias("global_risk"))
+    k = F.col("l_orderkey")
+    fields = _t(spark, sf_dir, "lineitem").where("l_partkey % 3 <> 0").select(F.col("l_partkey").alias("chapter"), _pick(("latex", "substitution", "symbol", "explanation"), k).alias("field"), _pick(FIELDS, k).alias("text"))
+    out = extraction.math_readiness(chapters, fields)
+    return out.withColumn("reasons", F.array_join("reasons", ","))
+
+
+QUERIES = {f.__name__: f for f in (arm_means, course_summary, traced_recall, unit_identities, compatibility_blocks, window_matches, manifest_collisions, latest_statuses, notebook_entries, session_snapshots, math_readiness)}
 
 _UNITS_SQL = """
 u as (select conv_id * 100 + turn as unit_id, turn % 2 = 0 as q, case when turn % 2 = 0 then 'q' || (conv_id % 6) else 'a ' || (conv_id % 4) end as text, 'ch' || lpad((conv_id % 2 + 1)::varchar, 2, '0') as chapter, conv_id % 5 = 0 as ai, conv_id % 3 = 0 as asset,
@@ -134,5 +158,21 @@ select c as c_custkey, len(new) - filled as added, len(gone) - filled as lost fr
     "notebook_entries": r"""
 with t as (select doc_id, regexp_replace(text, '[\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]', ' ', 'g') as t from documents), n as (select doc_id, len(string_split(t, chr(10))) - case when t like '%' || chr(10) or t = '' then 1 else 0 end as n from t)
 select doc_id, 'a' || doc_id as id, 'First' as title, 1 as line, 5 as lines from n union all select doc_id, 'b' || doc_id, 'b' || doc_id, 6, n + 1 from n
+""",
+    "session_snapshots": """
+with t as (select user_id as session, event_id as turn, case when event_id % 5 = 0 and user_id % 4 <> 0 then event_id % 3 end as st, case when event_id % 2 = 0 then event_id % 3 + case when event_id % 20 = 0 then 1 else 0 end end as vw, event_id % 7 = 0 as sw, event_id % 3 = 0 as ww from events),
+k as (select *, max((st is not null or sw)::int) over (partition by session order by turn rows unbounded preceding) = 1 as known from t),
+r as (select session, case when st is not null then 'state' when vw is not null and not known then 'view' end as source, case when st is not null then st when vw is not null and not known then vw end as phase,
+  (known and (vw is not null or ww) and not (st is not null or sw)) or coalesce(st <> vw, false) as view_edit, (vw is not null and sw and st is null) or (st is not null and ww and vw is null) as malformed from k)
+select session, source, view_edit, malformed, count(*) as n, max(phase)::int as phase from r group by 1, 2, 3, 4
+""",
+    "math_readiness": f"""
+with f as (select l_partkey as chapter, l_orderkey % 4 as kind, list_extract([1, 2, 0, 0, 0], (l_orderkey % 5 + 1)::int) as spans, l_orderkey % 5 <> 3 as filled from lineitem where l_partkey % 3 <> 0),
+g as (select chapter, count(*) filter (kind = 0 and filled) as a, count(*) filter (kind = 1 and filled) as b, count(*) filter (kind = 2 and filled) as c, sum(spans) as d from f group by 1),
+j as (select p_partkey as chapter, p_partkey % 5 < 3 as valid, case when p_partkey % 5 < 3 then coalesce(a, 0) else 0 end as a, case when p_partkey % 5 < 3 then coalesce(b, 0) else 0 end as b, case when p_partkey % 5 < 3 then coalesce(c, 0) else 0 end as c, case when p_partkey % 5 < 3 then coalesce(d, 0) else 0 end as d,
+  array_to_string(list_sort(list_filter([case when p_partkey % 5 = 3 then 'chapter_teaching_manifest_invalid' end, case when p_partkey % 5 = 4 then 'chapter_teaching_manifest_missing' end, case when p_partkey % 11 = 0 then 'chapter_wiki_missing_or_ambiguous' end,
+    case when p_partkey % 11 <> 0 and p_partkey % 13 = 0 then 'unsafe_control_text' end, case when p_partkey % 11 <> 0 and p_partkey % 17 = 0 then 'unicode_replacement_text' end, case when p_partkey % 19 = 0 then 'chapter_source_recovery_pending' end,
+    case when p_partkey % 23 = 0 then 'unbound_high_risk_review_pending' end], lambda x: x is not null)), ',') as reasons from part left join g on chapter = p_partkey)
+select chapter, case when reasons <> '' then 'needs_recovery' when a + b + c + d > 0 then 'standard' else 'none' end as status, reasons, a::bigint as formulas, b::bigint as substitutions, c::bigint as symbols, d::bigint as spans from j
 """,
 }

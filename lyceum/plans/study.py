@@ -109,7 +109,7 @@ def cohen_kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval of the difference of two labels by language."""
     rows = _labels(spark, sf_dir).select("lang", F.col("doc_id").alias("item"), (1 - F.col("toxic")).alias("left"), F.col("quality").alias("right"))
-    return stats.bootstrap(rows, ["lang"], "left", "right", resamples=200)
+    return stats.bootstrap(rows, ["lang"], "left", "right")
 
 
 def p95_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 from lyceum.functions import vocabulary as words
-from lyceum.operators import chunking, duplicates, fusion, matrix, validators, workspace
+from lyceum.operators import chunking, duplicates, fusion, matrix, sessions, stats, validators, workspace
 from pyspark.sql import functions as F
 
 
@@ -97,6 +99,32 @@ def test_traced_recall_counts_untraced_runs_apart(spark):
     assert (r.n_traced, r.n_hit, r.n_untraced, r.recall) == (2, 1, 2, 0.5)
 
 
+def plain_interval(left, right, resamples, seed):
+    rng, n, found = random.Random(seed), len(left), []
+    for _ in range(resamples):
+        at = [rng.randrange(n) for _ in range(n)]
+        found.append(sum(right[i] for i in at) / n - sum(left[i] for i in at) / n)
+    found.sort()
+    return found[int(0.025 * resamples)], found[int(0.975 * resamples) - 1]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 64, 333])
+def test_bootstrap_draws_as_the_plain_generator_does(n):
+    rng = random.Random(n)
+    left, right = [rng.random() for _ in range(n)], [float(rng.random() < 0.7) for _ in range(n)]
+    _, lo, hi = stats.bootstrap_interval(left, right, 400, 12_345)
+    assert (lo, hi) == pytest.approx(plain_interval(left, right, 400, 12_345), abs=1e-9)
+    assert stats.bootstrap_interval(left, right, 300, 5)[1:] == pytest.approx(stats.bootstrap_interval(left, right, 300, 5, statistic=lambda xs: sum(xs) / len(xs))[1:], abs=1e-9)
+
+
+def test_snapshots_follow_the_state_once_it_was_seen(spark):
+    rows = [("s", 0, None, 1, False, True), ("s", 1, 2, 2, True, True), ("s", 2, None, 3, False, True), ("s", 3, 3, 2, True, True), ("s", 4, None, 4, True, True), ("v", 0, None, 1, False, True)]
+    got = sessions.snapshots(spark.createDataFrame(rows, "session string, turn int, state_phase int, view_phase int, state_written boolean, view_written boolean"), ["session"], ["turn"]).collect()
+    by = {(r.session, r.turn): (r.source, r.phase, r.view_edit, r.malformed) for r in got}
+    assert by["s", 0] == by["v", 0] == ("view", 1, False, False)
+    assert [by["s", k] for k in range(1, 5)] == [("state", 2, False, False), (None, None, True, False), ("state", 3, True, False), (None, None, False, True)]
+
+
 def rules(df):
     return sorted((r.rule, r.key) for r in df.collect())
 
