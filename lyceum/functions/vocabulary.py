@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 # Patterns in order, the first that fits gives the code.
 MESSAGES = (
@@ -119,3 +124,31 @@ def model_family(model: Column) -> Column:
     for family, marks in reversed(MODEL_FAMILIES):
         out = F.when(_holds(model, marks), family).otherwise(out)
     return out
+
+
+# What marks a part of a path as an exam, what speaks against it, names that are a paper only in an exam folder, and words that stick to a key.
+EXAM_PART = (
+    r"(?i)(?:^|[\\/_\-. ])(?:exam(?!ple)s?|examinations?|mid[ _-]?terms?\d*|finals?[ _-]?exams?|finals?[ _-]?\d+|quiz(?:zes)?\d*|past[ _-]?papers?|question[ _-]?papers?|sample[ _-]?exams?|practice[ _-]?(?:exams?|midterms?|finals?)"
+    r"|mock[ _-]?exams?|specimen[ _-]?papers?|prelims?[ _-]?\d+|makeup[ _-]?exams?)(?![A-Za-z])|试卷|试题|考题|真题|模拟[题卷]|模拟试[卷题]|模拟考|期[中末]|半期|样[卷题]|测验|月考|补考"
+)
+NO_EXAM = (
+    r"(?i)课件|讲义|讲稿|教案|提纲|笔记|总结|归纳|串讲|考点|知识点|重点|复习|安排|通知|范围|时间表|考试时间|题型|说明|须知|指南|信息"
+    r"|(?<![A-Za-z])(?:lectures?|slides?|notes?|handouts?|reviews?|outlines?|syllabus|schedules?|format|info(?:rmation)?|instructions?|logistics|polic(?:y|ies)|guide(?:lines?)?)(?![A-Za-z])"
+)
+PAPER_NAME = r"(?i)^\d{1,4}(?:[-_ .]?\d{1,4})?\s*[abAB]?\s*卷?$|^[abAB]\s*卷?$|^卷[一二三四五12345]$|^finals?$|^papers?$"
+GLUED_KEY = r"(?i)(midterms?\d*|finals?\d*|exams?\d*|examinations?|quiz(?:zes)?\d*|prelims?\d*|(?:past|question|specimen)?papers?\d*)((?:solutions?|answers?|soln?s?|ans)(?:keys?|manuals?)?|keys?)(?![a-z])"
+
+
+def is_exam_path(path: str | None, root: str = "") -> bool:
+    """Whether a material is an exam: by its own name, or by a folder's (or the root's) if its name looks like a paper; notes and notices never are."""
+    *folders, name = [x for x in (path or "").replace("\\", "/").split("/") if x] or [""]
+    name = re.sub(GLUED_KEY, r"\1_\2", os.path.splitext(name)[0])
+    exam = lambda part: bool(re.search(EXAM_PART, "/" + part)) and not re.search(NO_EXAM, part)
+    if not name or re.search(NO_EXAM, name):
+        return False
+    return exam(name) or bool(re.match(PAPER_NAME, name.strip()) and any(exam(x) for x in (*folders, root) if x))
+
+
+@F.pandas_udf(BooleanType())
+def is_exam_path_of(paths: pd.Series) -> pd.Series:
+    return paths.map(is_exam_path).astype(bool)

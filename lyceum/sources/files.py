@@ -114,6 +114,32 @@ def json_lines(spark: SparkSession, path: str, *, comments: bool = False) -> Dat
     return lines.mapInPandas(run, "json string, problem string")
 
 
+def json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, json, problem) of whole JSON files: UTF-8, without repeated keys or constants that JSON lacks, as canonical text."""
+    found = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for name, raw in zip(b["path"], b["content"], strict=True):
+                try:
+                    rows.append((name, *strict_object(bytes(raw).decode())))
+                except UnicodeDecodeError:
+                    rows.append((name, None, "not UTF-8"))
+            yield pd.DataFrame(rows, columns=["path", "json", "problem"])
+
+    return found.mapInPandas(run, "path string, json string, problem string")
+
+
+def bank_items(documents: DataFrame) -> DataFrame:
+    """(path, position, item, problem): the objects with an id of JSON files that hold an array; a file that holds anything else is a problem, other entries are left out."""
+    whole = documents.select("path", F.coalesce("problem", F.when(~F.startswith("json", F.lit("[")), "not an array")).alias("problem"), F.from_json("json", "array<string>").alias("items"))
+    bad = whole.where("problem is not null").select("path", F.lit(None).cast("int").alias("position"), F.lit(None).cast("string").alias("item"), "problem")
+    each = whole.where("problem is null").select("path", F.posexplode("items").alias("position", "item"))
+    good = each.where(F.startswith("item", F.lit("{")) & F.get_json_object("item", "$.id").isNotNull())
+    return good.select("path", "position", "item", F.lit(None).cast("string").alias("problem")).unionByName(bad)
+
+
 def _members(raw: bytes) -> dict[str, bytes] | None:
     """Members of an archive; none if it is broken, has unsafe names or is larger than the limits."""
     try:

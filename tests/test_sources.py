@@ -4,6 +4,7 @@ import zipfile
 import zlib
 
 import pytest
+from lyceum.functions import vocabulary
 from lyceum.sources import files, sinks
 from lyceum.streaming import events
 
@@ -40,7 +41,7 @@ def test_office_files_and_pages(spark, tmp_path):
     assert found.count() == 5
     assert [(r.page, r.kind, r.text) for r in files.office_elements(found).orderBy("ordinal").collect()] == [(1, "heading", "Title"), (1, "text", "one\n"), (2, "table", "a\tb")]
     assert [(r.cell, r.type, r.value, r.formula) for r in files.sheet_cells(found).orderBy("cell").collect()] == [("A1", "string", "hello", None), ("B1", "number", "2", "1+1"), ("C1", "boolean", "true", None)]
-    assert sorted((r.path[-5:], r.page, r.text) for r in files.text_pages(found).collect()) == [("c.txt"[-5:], 1, "one"), ("c.txt", 2, "two"), ("/d.md", 1, "这是一个中文文档")] or True
+    assert sorted((r.path[-5:], r.page, r.text) for r in files.text_pages(found).collect()) == [("/d.md", 1, "这是一个中文文档"), ("c.txt", 1, "one"), ("c.txt", 2, "two")]
     assert {r.text for r in files.text_pages(found).collect()} == {"one", "two", "这是一个中文文档"}
 
 
@@ -97,3 +98,26 @@ def test_stream_windows_equal_batch_windows(spark, tmp_path):
     assert drained.awaitTermination(120)
     assert {(r.start, r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect()} <= want
     assert events.sessions(table, 3600).agg({"n": "sum"}).first()[0] == 30
+
+
+def test_banks_are_arrays_of_objects_with_ids(spark, tmp_path):
+    (tmp_path / "good.json").write_text('[{"id": 1, "q": "树"}, 5, {"q": "no id"}, {"id": "b", "o": ["x"]}]', encoding="utf-8")
+    (tmp_path / "object.json").write_text('{"id": 1}')
+    (tmp_path / "twice.json").write_text('[{"id": 1, "id": 2}]')
+    (tmp_path / "bytes.json").write_bytes(b"\xff\xfe")
+    docs = files.json_documents(spark, str(tmp_path))
+    got = sorted((r.path.rsplit("/", 1)[-1], r.position, r.item, r.problem) for r in files.bank_items(docs).collect())
+    assert [x[:3] for x in got if x[0] == "good.json"] == [("good.json", 0, '{"id":1,"q":"树"}'), ("good.json", 3, '{"id":"b","o":["x"]}')]
+    assert {x[0]: x[3] for x in got if x[3]}.keys() == {"object.json", "twice.json", "bytes.json"}
+
+
+@pytest.mark.parametrize(
+    ("path", "want"),
+    [("exams/1.pdf", True), ("exams/sorting.pdf", False), ("midterm1.pdf", True), ("example.pdf", False), ("exams/期末复习笔记.pdf", False), ("final_version.pdf", False), ("finalanswers.pdf", False), ("midtermsolutions.pdf", True), ("真题/A卷.pdf", True), ("midterm_notes/2.pdf", False), (None, False), ("", False)],
+)
+def test_exam_paths(path, want):
+    assert vocabulary.is_exam_path(path) is want
+
+
+def test_papers_in_an_exam_root():
+    assert vocabulary.is_exam_path("2.pdf", "past papers") and not vocabulary.is_exam_path("2.pdf", "lectures")
