@@ -116,12 +116,14 @@ def _prefixes(texts: DataFrame, threshold: int) -> DataFrame:
 
     spark = texts.sparkSession
     grams = texts.select("near").mapInArrow(count, "gram long, c long, texts long").groupBy("gram", "c").agg(F.sum("texts").alias("texts"))
-    rows = grams.limit(MAX_GRAMS + 1).collect()
-    rows = [] if len(rows) > MAX_GRAMS else sorted((r["gram"], r["c"], r["texts"]) for r in rows)
-    known, place = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)
-    keys = place.astype(np.int64) * (MAX_REPEATS + 1) + np.array([r[1] for r in rows], np.int64)
+    found = grams.limit(MAX_GRAMS + 1).toArrow()
+    found = found.slice(0, found.num_rows if found.num_rows <= MAX_GRAMS else 0)
+    gram, c, texts_with = (found.column(k).to_numpy().astype(np.int64) for k in range(3))
+    order = np.lexsort((c, gram))
+    known, place = np.unique(gram[order], return_inverse=True)
+    keys = place.astype(np.int64) * (MAX_REPEATS + 1) + c[order]
     # Texts with more than k repeats of a trigram: those of all larger counts of the same one.
-    upto = np.concatenate([[0], np.cumsum([r[2] for r in rows])]).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(texts_with[order])]).astype(np.int64)
     ends = upto[np.searchsorted(place, np.arange(len(known)), "right")] if len(known) else np.zeros(0, np.int64)
     table = spark.sparkContext.broadcast((known, keys, upto, ends))
     share = threshold / SCALE / (2 - threshold / SCALE)
@@ -159,9 +161,8 @@ def near_pairs(units: DataFrame, block: str, unit_id: str = "unit_id", text: str
     for the others, so only such texts of a block, of lengths that allow the threshold, are
     counted in full; nothing is capped.
     """
-    rows = units.select(
-        F.col(block).alias("block"), F.col(unit_id).alias("unit_id"), exact_fingerprint(F.col(text)).alias("fingerprint"), normalize_near(F.col(text)).alias("near")
-    ).where("near <> ''")
+    normal = units.select(F.col(block).alias("block"), F.col(unit_id).alias("unit_id"), exact_fingerprint(F.col(text)).alias("fingerprint"), normalize_near(F.col(text)).alias("near"))
+    rows = stored(normal).where("near <> ''")  # every text is normalised once
     kind = lambda df, name: df.select("block", "left_id", "right_id", F.lit(name).alias("match_kind"), F.lit(SCALE).cast("long").alias("score_ppm"))
     exact = kind(star_pairs(rows, ["block", "fingerprint"]), "exact")
     reps = rows.groupBy("block", "fingerprint").agg(F.min(F.struct("unit_id", "near")).alias("r")).select("block", "fingerprint", "r.unit_id", "r.near")

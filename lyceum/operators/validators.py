@@ -152,3 +152,102 @@ def adapter(name: Column, has_backend: Column) -> Column:
 
 def counted(violations: DataFrame) -> DataFrame:
     return violations.groupBy("rule", "level").agg(F.count("*").alias("n"), F.count_distinct("workspace").alias("workspaces"), F.min("key").alias("first_key"))
+
+
+# Kinds that an extraction is scored on, where units may come from, and kinds of the answer side.
+EVALUATED_KINDS = ("title", "heading", "text", "list", "table", "formula", "figure", "diagram", "caption", "code", "speaker_notes", "question", "answer", "other")
+PROVENANCE = ("material", "ai_recovered", "ai_supplemented")
+CLOSED_CONFLICTS = ("resolved_not_conflict", "superseded")
+
+
+def _rule(rows: DataFrame, rule: str, key: Column) -> DataFrame:
+    return rows.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def evaluation_contract(sources: DataFrame, units: DataFrame, pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(rule, key) of gold or predicted units that break their contract.
+
+    `sources` is (source_id, pages array), `units` (unit_id, source_id, page, kind, provenance,
+    asset_role, asset_sha256, exposed), `pairs` (question_id, answer_id), `lists` (query_id, unit_ids array).
+    """
+    held = sources.select("source_id", "pages").dropDuplicates(["source_id"]).withColumn("known", F.lit(True))
+    rows = units.join(held, "source_id", "left")
+    known = F.coalesce("known", F.lit(False))
+    conditions = [
+        ("source_unknown", ~known), ("page_not_accounted", known & ~F.coalesce(F.array_contains("pages", F.col("page")), F.lit(False))), ("kind_unknown", ~F.coalesce(F.col("kind").isin(*EVALUATED_KINDS), F.lit(False))),
+        ("provenance_unknown", ~F.coalesce(F.col("provenance").isin(*PROVENANCE), F.lit(False))), ("asset_digest_malformed", ~F.col("asset_sha256").rlike(DIGEST)),
+        ("exposed_without_role", F.col("exposed") & F.col("asset_role").isNull() & ~F.col("kind").isin("answer", "speaker_notes")),
+    ]
+    each = F.explode(F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for r, c in conditions]), lambda r: r.isNotNull()))
+    own = rows.select(each.alias("rule"), F.col("unit_id").cast("string").alias("key"))
+    kinds = units.select("unit_id", "kind").dropDuplicates(["unit_id"])
+    pair_key = F.concat_ws(">", "question_id", "answer_id")
+    ends = pairs.join(kinds.select(F.col("unit_id").alias("question_id"), F.col("kind").alias("qk")), "question_id", "left").join(kinds.select(F.col("unit_id").alias("answer_id"), F.col("kind").alias("ak")), "answer_id", "left")
+    listed = lists.select("query_id", F.explode("unit_ids").alias("unit_id"))
+    return _union([
+        own, _rule(sources.groupBy("source_id").count().where("count > 1"), "source_repeated", F.col("source_id")), _rule(units.groupBy("unit_id").count().where("count > 1"), "unit_repeated", F.col("unit_id")),
+        _rule(pairs.groupBy("question_id", "answer_id").count().where("count > 1"), "pair_repeated", pair_key), _rule(ends.where(~F.coalesce(F.col("qk") == "question", F.lit(False))), "pair_question", pair_key),
+        _rule(ends.where(~F.coalesce(F.col("ak") == "answer", F.lit(False))), "pair_answer", pair_key), _rule(lists.groupBy("query_id").count().where("count > 1"), "query_repeated", F.col("query_id")),
+        _rule(lists.where(F.size(F.array_distinct("unit_ids")) < F.size("unit_ids")), "listed_twice", F.col("query_id")), _rule(listed.join(kinds, "unit_id", "left_anti").select("query_id").distinct(), "listed_unknown", F.col("query_id")),
+    ])
+
+
+def _split_groups(members: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(group_id): groups whose members (group_id, unit_id) their edges (group_id, a, b) do not connect; the least unit spreads along the edges."""
+    from lyceum.session import stored
+
+    both = stored(edges.select("group_id", "a", "b").unionByName(edges.select("group_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels, total = stored(members.select("group_id", "unit_id", F.col("unit_id").alias("label"))), None
+    for _ in range(rounds):
+        near = both.join(labels.select("group_id", F.col("unit_id").alias("a"), "label"), ["group_id", "a"]).groupBy("group_id", F.col("b").alias("unit_id")).agg(F.min("label").alias("near"))
+        labels = stored(labels.join(near, ["group_id", "unit_id"], "left").select("group_id", "unit_id", F.least("label", F.coalesce("near", "label")).alias("label")))
+        now = labels.agg(F.sum(F.xxhash64("group_id", "unit_id", "label").cast("decimal(38,0)"))).first()[0]
+        if now == total:
+            break
+        total = now
+    return labels.groupBy("group_id").agg(F.count_distinct("label").alias("n")).where("n > 1").select("group_id")
+
+
+def fact_graph(candidates: DataFrame, members: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """(rule, key) of facts that contradict each other.
+
+    `candidates` is (candidate_id, left_id, right_id, match_kind, fingerprint, disputed), `members`
+    (group_id, unit_id, derivation, fingerprint), `conflicts` (conflict_id, candidate_id, left_id,
+    right_id, status). Equality is transitive, so an exact group needs edges that connect it; a
+    reviewed one needs an edge for every pair of its members, which is counted, not listed.
+    """
+    pair = candidates.select("candidate_id", F.least("left_id", "right_id").alias("a"), F.greatest("left_id", "right_id").alias("b"), "match_kind", "fingerprint", "disputed")
+    side = lambda c: members.select(F.col("unit_id").alias(c), F.col("group_id").alias(f"g_{c}"), *([F.col("derivation"), F.col("fingerprint").alias("group_fingerprint")] if c == "a" else []))
+    inside = pair.join(side("a"), "a").join(side("b"), "b").where("g_a = g_b").withColumn("group_id", F.col("g_a"))
+    exact, reviewed = inside.where("derivation = 'exact_auto'"), inside.where("derivation <> 'exact_auto'")
+    sizes = members.where("derivation <> 'exact_auto'").groupBy("group_id").agg(F.count_distinct("unit_id").alias("n"))
+    edges = reviewed.where("match_kind in ('exact', 'near')").groupBy("group_id").agg(F.count_distinct("a", "b").alias("edges"))
+    lacking = sizes.join(edges, "group_id", "left").where(F.coalesce("edges", F.lit(0)) < F.col("n") * (F.col("n") - 1) / 2)
+    known = conflicts.join(pair.select("candidate_id", "a", "b"), "candidate_id", "left")
+    fits = (F.col("a") == F.least("left_id", "right_id")) & (F.col("b") == F.greatest("left_id", "right_id"))
+    open_ = conflicts.where(~F.col("status").isin(*CLOSED_CONFLICTS))
+    held = lambda c: members.select(F.col("unit_id").alias(c), F.col("group_id").alias(f"of_{c}"))
+    closed_in = open_.join(held("left_id"), "left_id").join(held("right_id"), "right_id").where("of_left_id = of_right_id")
+    waived = conflicts.where("status = 'resolved_not_conflict'").select("candidate_id").distinct()
+    return _union([
+        _rule(pair.groupBy("a", "b").count().where("count > 1"), "pair_repeated", F.concat_ws("-", "a", "b")), _rule(members.groupBy("unit_id").agg(F.count_distinct("group_id").alias("n")).where("n > 1"), "groups_overlap", F.col("unit_id")),
+        _rule(exact.where("match_kind <> 'exact'"), "edge_not_exact", F.col("candidate_id")), _rule(exact.where("match_kind = 'exact' and fingerprint <> group_fingerprint"), "fingerprint_differs", F.col("candidate_id")),
+        _rule(_split_groups(members.where("derivation = 'exact_auto'"), exact.where("match_kind = 'exact'")), "group_not_connected", F.col("group_id")), _rule(lacking, "group_lacks_pairs", F.col("group_id")),
+        _rule(reviewed.where("disputed").join(waived, "candidate_id", "left_anti"), "dispute_not_waived", F.col("candidate_id")), _rule(known.where("a is null"), "candidate_unknown", F.col("conflict_id")),
+        _rule(known.where(F.col("a").isNotNull() & ~fits), "members_differ", F.col("conflict_id")), _rule(closed_in, "conflict_inside_group", F.col("conflict_id")),
+    ])
+
+
+def derivation_differences(persisted: DataFrame, rebuilt: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """(key, problem): rows that were persisted but are not derived, that are derived but were not persisted, or that differ."""
+    side = lambda rows, p: rows.select(*key, F.struct(*values).alias(p))
+    both = side(persisted, "p").join(side(rebuilt, "r"), key, "full_outer")
+    problem = F.when(F.col("p").isNull(), "not_persisted").when(F.col("r").isNull(), "not_derived").when(~F.col("p").eqNullSafe(F.col("r")), "differs")
+    return both.select(*key, problem.alias("problem")).where("problem is not null")

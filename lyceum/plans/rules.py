@@ -132,7 +132,54 @@ def adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "orders").select(found.alias("a")).groupBy("a.adapter", "a.problem").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (structure_rules, index_rules, wiki_rules, raw_math_rules, roster_rules, progress_rules, state_rules, cheat_sheet_rules, page_record_rules, adapters)}
+def _said(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("rule").agg(F.count("*").alias("n"), F.min("key").alias("first_key"))
+
+
+def evaluation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as units of suppliers' pages, orders as pairs and lists, against the contract of an evaluation."""
+    s, p, k = F.col("s_suppkey"), F.col("l_partkey"), F.col("l_orderkey")
+    sources = _t(spark, sf_dir, "supplier").where("s_suppkey % 10 <> 3").select((s - F.when(s % 20 == 1, 1).otherwise(0)).alias("source_id"), F.sequence(F.lit(1), (s % 5 + 3).cast("int")).alias("pages"))
+    unit = F.concat_ws("-", k, p)
+    units = _t(spark, sf_dir, "lineitem").select(
+        unit.alias("unit_id"), F.col("l_suppkey").alias("source_id"), F.col("l_linenumber").alias("page"), _pick(("question", "answer", "text", "riddle"), p).alias("kind"), _pick(("material", "ai_recovered", "hearsay"), k).alias("provenance"),
+        F.when(p % 2 == 0, "figure").alias("asset_role"), F.when(p % 100 == 7, "beef").alias("asset_sha256"), (k % 4 == 0).alias("exposed"),
+    )
+    two = F.concat_ws("-", k, F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice")))
+    pairs = _t(spark, sf_dir, "lineitem").select(unit.alias("question_id"), two.alias("answer_id"))
+    lists = _t(spark, sf_dir, "lineitem").groupBy((k - F.when(k % 500 == 2, 1).otherwise(0)).alias("query_id"), k).agg(F.collect_list(F.concat(unit, F.when((k % 90 == 0) & (F.col("l_linenumber") == 1), "x").otherwise(""))).alias("unit_ids")).select("query_id", "unit_ids")
+    return _said(v.evaluation_contract(sources, units, pairs, lists))
+
+
+def fact_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of one name as groups, chained by candidates, with conflicts, against each other."""
+    p = F.col("p_partkey")
+    g = F.floor(p / 4)
+    parts = _t(spark, sf_dir, "part")
+    edge = lambda a, b, cond: parts.where(cond).select((p * 10 + b).alias("candidate_id"), (g * 4 + a).alias("left_id"), (g * 4 + b).alias("right_id"), F.when(g % 7 == 0, "near").otherwise("exact").alias("match_kind"), F.when(p % 50 == 1, "other").otherwise(g.cast("string")).alias("fingerprint"), (p % 60 == 2).alias("disputed"))
+    chain = edge(0, 1, p % 4 == 1).unionByName(edge(1, 2, (p % 4 == 2) & (g % 9 != 0))).unionByName(edge(2, 3, p % 4 == 3))
+    every = edge(0, 2, (p % 4 == 0) & (g % 2 == 1)).unionByName(edge(0, 3, (p % 4 == 1) & (g % 2 == 1) & (g % 11 != 0))).unionByName(edge(1, 3, (p % 4 == 2) & (g % 2 == 1)))
+    again = edge(1, 0, (p % 4 == 1) & (g % 40 == 0)).withColumn("candidate_id", F.col("candidate_id") + 100_000_000)
+    candidates = chain.unionByName(every).unionByName(again)
+    members = parts.select((g - F.when(p % 300 == 5, 1).otherwise(0)).alias("group_id"), p.alias("unit_id"), F.when(g % 2 == 0, "exact_auto").otherwise("reviewed_near").alias("derivation"), g.cast("string").alias("fingerprint"))
+    members = members.unionByName(members.where("unit_id % 400 = 6").withColumn("group_id", F.lit(-1).cast("long")))
+    conflicts = chain.where("candidate_id % 3 = 0").select(
+        F.col("candidate_id").alias("conflict_id"), (F.col("candidate_id") + F.when(F.col("candidate_id") % 27 == 0, 5).otherwise(0)).alias("candidate_id"), (F.col("left_id") + F.when(F.col("candidate_id") % 33 == 0, 4000).otherwise(0)).alias("left_id"), "right_id",
+        _pick(("unresolved", "resolved_not_conflict", "superseded"), F.col("candidate_id") / 3).alias("status"),
+    )
+    return _said(v.fact_graph(candidates, members, conflicts))
+
+
+def derivation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' sums that were persisted, some of them tampered with, against their derivation."""
+    rebuilt = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("s"))
+    k = F.col("l_orderkey")
+    kept = rebuilt.where(k % 17 != 0).withColumn("n", F.col("n") + F.when(k % 19 == 0, 1).otherwise(0))
+    more = kept.where(k % 23 == 0).withColumn("l_orderkey", k + 10**8)
+    return v.derivation_differences(kept.unionByName(more), rebuilt, ["l_orderkey"], ["n", "s"]).groupBy("problem").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_key"))
+
+
+QUERIES = {f.__name__: f for f in (evaluation_rules, fact_rules, derivation_rules, structure_rules, index_rules, wiki_rules, raw_math_rules, roster_rules, progress_rules, state_rules, cheat_sheet_rules, page_record_rules, adapters)}
 
 _PLAN_SQL = """
 pl as (select c_custkey as workspace, unnest([c_custkey % 3 + 1, c_custkey % 4 + 3, 2]) as phase from customer where c_custkey % 8 <> 0), ph as (select workspace, list(distinct phase) as phases from pl group by 1)
@@ -193,5 +240,43 @@ r as (select workspace, key, 'error' as level, unnest(list_filter([case when o %
 with a as (select {_sql_pick(("core", "core", "docling", "mineru", "mineru", None, None), "o_orderkey")} as found, o_orderkey % 7 = 6 as nameless, o_custkey % 2 = 0 as backend from orders),
 p as (select *, case when nameless then 'name_not_text' when backend and found in ('docling', 'mineru') then 'heavy_needs_remote' when backend and found is null then 'backend_only_for_core' when found is null then 'adapter_unknown' end as problem from a)
 select case when problem is null then found end as adapter, problem, count(*) as n from p group by 1, 2
+""",
+    "evaluation_rules": """
+with s as (select s_suppkey - case when s_suppkey % 20 = 1 then 1 else 0 end as source_id, s_suppkey from supplier where s_suppkey % 10 <> 3),
+u as (select l_orderkey || '-' || l_partkey as id, l_suppkey as src, l_linenumber as page, l_partkey as p, l_orderkey as k, l_extendedprice as x, l_partkey % 4 as kind from lineitem),
+k1 as (select distinct id, kind from u), pr as (select id as q, k || '-' || lead(p) over (partition by k order by p, page, src, x) as a0, k from u), pa as (select q, coalesce(a0, k::varchar) as a from pr),
+l as (select k - case when k % 500 = 2 then 1 else 0 end as q, k, list(id || case when k % 90 = 0 and page = 1 then 'x' else '' end) as ids from u group by 1, 2), r as (
+  select 'source_unknown' as rule, id as key from u where src not in (select source_id from s)
+  union all select 'page_not_accounted', id from u where src in (select source_id from s) and page > (select min(s.s_suppkey % 5 + 3) from s where s.source_id = u.src)
+  union all select 'kind_unknown', id from u where kind = 3 union all select 'provenance_unknown', id from u where k % 3 = 2 union all select 'asset_digest_malformed', id from u where p % 100 = 7
+  union all select 'exposed_without_role', id from u where k % 4 = 0 and p % 2 = 1 and kind <> 1
+  union all select 'source_repeated', source_id::varchar from s group by source_id having count(*) > 1 union all select 'unit_repeated', id from u group by id having count(*) > 1
+  union all select 'pair_repeated', q || '>' || a from pa group by q, a having count(*) > 1 union all select 'pair_question', q || '>' || a from pa left join k1 on k1.id = q where coalesce(kind <> 0, true) union all select 'pair_answer', q || '>' || a from pa left join k1 on k1.id = a where coalesce(kind <> 1, true)
+  union all select 'query_repeated', q::varchar from l group by q having count(*) > 1 union all select 'listed_twice', q::varchar from l where len(list_distinct(ids)) < len(ids)
+  union all select distinct 'listed_unknown', q::varchar from (select q, unnest(ids) as id from l) where id not in (select id from u))
+select rule, count(*) as n, min(key) as first_key from r group by 1
+""",
+    "fact_rules": """
+with p as (select p_partkey as p, p_partkey // 4 as g from part),
+e(i, a, b) as (values (1, 0, 1), (2, 1, 2), (3, 2, 3), (4, 0, 2), (5, 0, 3), (6, 1, 3), (7, 1, 0)),
+c as (select p * 10 + b + case when i = 7 then 100000000 else 0 end as id, g * 4 + a as l, g * 4 + b as r, least(g * 4 + a, g * 4 + b) as x, greatest(g * 4 + a, g * 4 + b) as y, g % 7 = 0 as near, p % 50 = 1 as other, p % 60 = 2 as disputed, i, g from p, e
+  where case i when 1 then p % 4 = 1 when 2 then p % 4 = 2 and g % 9 <> 0 when 3 then p % 4 = 3 when 4 then p % 4 = 0 and g % 2 = 1 when 5 then p % 4 = 1 and g % 2 = 1 and g % 11 <> 0 when 6 then p % 4 = 2 and g % 2 = 1 else p % 4 = 1 and g % 40 = 0 end),
+m0 as (select g - case when p % 300 = 5 then 1 else 0 end as grp, p as u, g % 2 = 0 as auto, g as fp from p), m as (select * from m0 union all select -1, u, auto, fp from m0 where u % 400 = 6),
+n as (select c.*, a.grp, a.auto, a.fp from c join m a on a.u = c.x join m b on b.u = c.y and b.grp = a.grp),
+f as (select id, case when id % 27 = 0 then id + 5 else id end as cand, case when id % 33 = 0 then l + 4000 else l end as l, r, (id // 3) % 3 as st from c where i < 4 and id % 3 = 0),
+ex as (select grp, x, y from n where auto and not near union select grp, y, x from n where auto and not near),
+z as (with recursive w as (select grp, u as s, u as t from m where auto union select w.grp, w.s, ex.y from w join ex on ex.grp = w.grp and ex.x = w.t) select grp, s, min(t) as label from w group by 1, 2), q as (
+  select 'pair_repeated' as rule, x || '-' || y as key from c group by x, y having count(*) > 1 union all select 'groups_overlap', u::varchar from m group by u having count(distinct grp) > 1
+  union all select 'edge_not_exact', id::varchar from n where auto and near union all select 'fingerprint_differs', id::varchar from n where auto and not near and (other or g <> fp)
+  union all select 'group_not_connected', grp::varchar from z group by grp having count(distinct label) > 1
+  union all select 'group_lacks_pairs', s.grp::varchar from (select grp, count(distinct u) as k from m where not auto group by 1) s left join (select grp, count(distinct (x, y)) as d from n where not auto group by 1) t using (grp) where coalesce(d, 0) < k * (k - 1) / 2
+  union all select 'dispute_not_waived', id::varchar from n where not auto and disputed and id not in (select cand from f where st = 1)
+  union all select 'candidate_unknown', id::varchar from f where cand not in (select id from c) union all select 'members_differ', f.id::varchar from f join c on c.id = f.cand where c.x <> least(f.l, f.r) or c.y <> greatest(f.l, f.r)
+  union all select 'conflict_inside_group', f.id::varchar from f join m a on a.u = f.l join m b on b.u = f.r and b.grp = a.grp where st = 0)
+select rule, count(*) as n, min(key) as first_key from q group by 1
+""",
+    "derivation_rules": """
+with d as (select l_orderkey as k from lineitem group by 1), r as (select 'not_persisted' as problem, k from d where k % 17 = 0 union all select 'differs', k from d where k % 17 <> 0 and k % 19 = 0 union all select 'not_derived', k + 100000000 from d where k % 17 <> 0 and k % 23 = 0)
+select problem, count(*) as n, min(k) as first_key from r group by 1
 """,
 }
