@@ -27,7 +27,14 @@ NAMED = (
     r"\bdiagram\b", r"\bfigure\b", r"\btable\b", r"\bgraph\b", r"\bplot\b", r"\btree\b", r"\bcircuit\b", r"\bdraw\b", r"\bdrawn\b", r"\baxes\b", r"\brectangle\b", r"\btriangle\b", r"\bhistograms?\b", r"\bflow\s*charts?\b",
     "流程图", "柱状图", "折线图", "饼图", "图示", "区域", r"[见如]\s*[上下]一?页", r"(?:see|on)\s+(?:the\s+)?(?:next|previous)\s+page", r"matrix\s+(below|above|shown)",
 )
-MARKER = r"(?i)\b(example|quiz)\s+(\d+)\.(\d+)\b\s*[:.\-(]*\s*(solutions?|answers?|problems?)?"
+# A problem's heading at the start of a line, what may stand between its number and its role, the roles, prose that only mentions a problem, and a line of a table of contents.
+HEAD = r"(?i)^[ \t>*•·\-\d.)）、#]*(Example|Quiz)\s+(\d+)\s*\.\s*(\d+)"
+SUBPART, CONTINUED = r"(?i)^\s*[\)\.:\-]?\s*\(\s*([A-Za-z])\s*\)\s*", r"(?i)^\s*[\)\.:\-]?\s*\(?\s*continued\b\s*\d*\s*\)?[\s:.\-]*"
+PROBLEM_ROLE, SOLUTION_ROLE = r"(?i)^\s*[\)\.:\-]?\s*\(?\s*problems?\b", r"(?i)^\s*[\)\.:\-]?\s*\(?\s*(?:solutions?|answers?)\b"
+CITING_TAIL, CITED_NUMBER = r"(?i)^\s*[\)\.:\-]?\s*(?:says|states)\s+that\b", r"^\s*[,.;](?:\s|$)"
+LEAD_IN = r"(?i)(?:\b(?:see|in|from|of|via|using|consult|review|recall|following)|\b(?:as\s+)?(?:described|defined|shown|given|stated|proved|derived|illustrated|explained)\s+in)\s*[:(]?\s*$"
+CONTENTS = r"\.{4,}"
+TAIL = 48
 
 
 def _words(text: Column, words: tuple[str, ...]) -> Column:
@@ -67,33 +74,60 @@ def chapters(pages: DataFrame) -> DataFrame:
 
 
 def markers(pages: DataFrame) -> DataFrame:
-    """(file, page, ordinal, kind, chapter, num, role) of `Example 2.3` and `Quiz 2.3`; lines of a table of contents are none."""
-    lines = pages.select("file", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(~F.col("line").rlike(r"\.{4,}"))
-    found = lines.select("file", "page", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(MARKER), F.lit(0))).alias("at", "said"))
-    part = lambda k: F.regexp_extract("said", MARKER, k)
-    role = F.when(F.lower(part(4)).rlike("^(solution|answer)"), "solution").otherwise("problem")
-    return found.select("file", "page", (F.col("line_no") * 1000 + F.col("at")).alias("ordinal"), F.lower(part(1)).alias("kind"), part(2).try_cast("int").alias("chapter"), part(3).try_cast("int").alias("num"), role.alias("role"))
+    """(file, page, ordinal, kind, chapter, num, variant, role, form, continued) of headings like `Example 2.3` and `Quiz 2.3 (b) Solution`.
+
+    A heading opens a line. A bare one is none where the line before runs on into it, or where its
+    number is punctuated like a citation; lines of a table of contents are none. `variant` is the
+    letter of a part, `form` tells whether the role was said.
+    """
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = pages.select("file", "page", F.posexplode(F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.get(lines, i - 1).alias("before"), F.get(lines, i + 1).alias("after")))).alias("ordinal", "l")).select("file", "page", "ordinal", "l.*")
+    rows = rows.where(F.col("line").rlike(HEAD) & ~F.substring("line", 1, 300).rlike(CONTENTS))
+    head = F.regexp_extract("line", HEAD, 0)
+    tail = F.substring(F.concat(F.substr("line", F.length(head) + 1), F.lit("\n"), F.coalesce("after", F.lit(""))), 1, TAIL)
+    rows = rows.withColumn("head", head).withColumn("tail", tail)
+    bare = F.col("tail")
+    for pattern in (SUBPART, CONTINUED, SUBPART, CONTINUED):
+        bare = F.regexp_replace(bare, pattern, "")
+    rows = rows.withColumn("said", bare)
+    either = lambda pattern: F.col("tail").rlike(pattern) | F.col("said").rlike(pattern)
+    form = F.when(either(PROBLEM_ROLE), "explicit_problem").when(either(SOLUTION_ROLE), "explicit_solution").otherwise("bare")
+    kind, listed = F.lower(F.regexp_extract("head", HEAD, 1)), F.trim(F.regexp_replace("head", r"(?i)(example|quiz)\s+\d+\s*\.\s*\d+$", "")) != ""
+    first = F.col("before").isNull() | (F.trim("before") == "")
+    credible = (form != "bare") | listed | first | (~F.trim("before").rlike(LEAD_IN) & ~F.col("tail").rlike(CITED_NUMBER))
+    rows = rows.where(credible & ~((kind == "example") & F.col("said").rlike(CITING_TAIL)))
+    part = F.lower(F.regexp_extract("tail", SUBPART, 1))
+    number = lambda k: F.regexp_extract("head", HEAD, k).try_cast("int")
+    return rows.select(
+        "file", "page", (F.col("ordinal") * 1000).alias("ordinal"), kind.alias("kind"), number(2).alias("chapter"), number(3).alias("num"), F.when(part != "", part).alias("variant"),
+        F.when(form == "explicit_solution", "solution").otherwise("problem").alias("role"), form.alias("form"), F.col("tail").rlike(r"(?i)\bContinued\b").alias("continued"),
+    )
+
+
+_PROBLEM = ["kind", "chapter", "num", "part"]
 
 
 def paired(found: DataFrame) -> DataFrame:
-    """One row a problem of a file, with the page of its solution: in the same file, else in another where no second file has the problem."""
-    key = ["kind", "chapter", "num"]
-    problems = found.where("role = 'problem'").groupBy(*key, "file").agg(F.min("page").alias("page"))
-    files = problems.groupBy(*key).agg(F.count("*").alias("files"))
-    solutions = found.where("role = 'solution'").groupBy(*key, "file").agg(F.min(F.struct("page", "ordinal")).alias("s"))
-    same = solutions.select(*key, "file", F.col("s.page").alias("same_page"))
-    other = solutions.groupBy(*key).agg(F.min(F.struct("file", "s")).alias("o")).select(*key, F.col("o.file").alias("other_file"), F.col("o.s.page").alias("other_page"))
-    rows = problems.join(files, key).join(same, [*key, "file"], "left").join(other, key, "left")
+    """One row a problem of a file (and of a part, where it has some), with the page of its solution: in the same file, else in another where no second file has the problem."""
+    found = found.withColumn("part", F.coalesce("variant", F.lit("")))
+    problems = found.where("role = 'problem'").groupBy(*_PROBLEM, "file").agg(F.min("page").alias("page"))
+    files = problems.groupBy(*_PROBLEM).agg(F.count("*").alias("files"))
+    solutions = found.where("role = 'solution'").groupBy(*_PROBLEM, "file").agg(F.min(F.struct("page", "ordinal")).alias("s"))
+    same = solutions.select(*_PROBLEM, "file", F.col("s.page").alias("same_page"))
+    other = solutions.groupBy(*_PROBLEM).agg(F.min(F.struct("file", "s")).alias("o")).select(*_PROBLEM, F.col("o.file").alias("other_file"), F.col("o.s.page").alias("other_page"))
+    rows = problems.join(files, _PROBLEM).join(same, [*_PROBLEM, "file"], "left").join(other, _PROBLEM, "left")
     lone = (F.col("files") == 1) & F.col("same_page").isNull()
     return rows.select(
-        *key, "file", "page", F.when(F.col("same_page").isNotNull(), F.col("file")).when(lone, F.col("other_file")).alias("answer_file"),
+        "kind", "chapter", "num", F.nullif("part", F.lit("")).alias("variant"), "file", "page", F.when(F.col("same_page").isNotNull(), F.col("file")).when(lone, F.col("other_file")).alias("answer_file"),
         F.coalesce("same_page", F.when(lone, F.col("other_page"))).alias("answer_page"), (F.col("files") > 1).alias("ambiguous"),
     )
 
 
-def orphan_solutions(found: DataFrame) -> DataFrame:
-    key = ["kind", "chapter", "num"]
-    return found.where("role = 'solution'").select(*key).distinct().join(found.where("role = 'problem'").select(*key), key, "left_anti")
+def orphan_solutions(found: DataFrame, parts: bool = False) -> DataFrame:
+    """Solutions of a problem, or of a part of one, that no heading poses; with `parts` the part is told as `variant`."""
+    found = found.withColumn("part", F.coalesce("variant", F.lit("")))
+    lone = found.where("role = 'solution'").select(*_PROBLEM).distinct().join(found.where("role = 'problem'").select(*_PROBLEM), _PROBLEM, "left_anti")
+    return lone.select("kind", "chapter", "num", *([F.nullif("part", F.lit("")).alias("variant")] if parts else [])).distinct()
 
 
 def question_index(questions: DataFrame, visual: DataFrame) -> DataFrame:

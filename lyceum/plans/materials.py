@@ -70,7 +70,7 @@ def lecture_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lecture_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems with the page of their solution."""
-    return pages.paired(pages.markers(_lecture(spark, sf_dir)))
+    return pages.paired(pages.markers(_lecture(spark, sf_dir))).drop("variant")
 
 
 def orphan_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,3 +198,24 @@ def test_boxes_are_all_lines(spark, tmp_path):
     lines = [(1, n) for n in range(1, 4)] + [(1, 8)]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert {r.multi_column: r.n for r in materials.multi_column(spark, str(tmp_path)).collect()} == {True: 1}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("## Quiz 1.2 (b) Solutions", [("quiz", 1, 2, "b", "solution", "explicit_solution")]), ("Example 3.4 Continued\nbody", [("example", 3, 4, None, "problem", "bare")]), ("Quiz 1.1 Problem: find the solution set", [("quiz", 1, 1, None, "problem", "explicit_problem")]),
+        ("as described in\nExample 1.9, each outcome", []), ("decisions of\nExample 1.9 each", []), ("some prose\nExample 1.9, each outcome", []), ("some prose\nExample 1.9 each outcome", [("example", 1, 9, None, "problem", "bare")]),
+        ("see in\nExample 1.9 Solution", [("example", 1, 9, None, "solution", "explicit_solution")]), ("see Example 1.1 here", []), ("Example 1.1 ..... 7", []), ("Example 2.2 states that x", []), ("see\n- Example 2.2 x", [("example", 2, 2, None, "problem", "bare")]),
+        ("Quiz 1.1 (a) continued 2: Answer", [("quiz", 1, 1, "a", "solution", "explicit_solution")]), ("Example 1.1\nSolution follows", [("example", 1, 1, None, "solution", "explicit_solution")]), (None, []),
+    ],
+)
+def test_headings_of_problems(spark, text, want):
+    rows = pages.markers(spark.createDataFrame([("f", 1, text)], "file string, page int, text string")).collect()
+    assert [(r.kind, r.chapter, r.num, r.variant, r.role, r.form) for r in rows] == want
+
+
+def test_parts_are_paired_apart(spark):
+    rows = [("f", 1, "Quiz 1.1 (a) Problem"), ("f", 2, "Quiz 1.1 (b) Problem"), ("f", 3, "Quiz 1.1 (b) Solution"), ("f", 4, "Quiz 1.1 (c) Solution")]
+    found = pages.markers(spark.createDataFrame(rows, "file string, page int, text string"))
+    assert {r.variant: r.answer_page for r in pages.paired(found).collect()} == {"a": None, "b": 3}
+    assert [r.variant for r in pages.orphan_solutions(found, parts=True).collect()] == ["c"]
