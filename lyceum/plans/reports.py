@@ -157,7 +157,7 @@ select c as c_custkey, len(new) - filled as added, len(gone) - filled as lost fr
     "latest_statuses": "select user_id, arg_max(event_type, (ts, event_id)) as event_type from events group by 1",
     "notebook_entries": r"""
 with t as (select doc_id, regexp_replace(text, '[\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]', ' ', 'g') as t from documents), n as (select doc_id, len(string_split(t, chr(10))) - case when t like '%' || chr(10) or t = '' then 1 else 0 end as n from t)
-select doc_id, 'a' || doc_id as id, 'First' as title, 1 as line, 5 as lines from n union all select doc_id, 'b' || doc_id, 'b' || doc_id, 6, n + 1 from n
+select doc_id, 'a' || doc_id as id, 'First' as title, 1 as line, 5 as lines from n union all select doc_id, 'b' || doc_id, 'b' || doc_id, 6, (n + 1)::int from n
 """,
     "session_snapshots": """
 with t as (select user_id as session, event_id as turn, case when event_id % 5 = 0 and user_id % 4 <> 0 then event_id % 3 end as st, case when event_id % 2 = 0 then event_id % 3 + case when event_id % 20 = 0 then 1 else 0 end end as vw, event_id % 7 = 0 as sw, event_id % 3 = 0 as ww from events),
