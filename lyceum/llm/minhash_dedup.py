@@ -30,7 +30,7 @@ SKETCH_AGREE = 72
 #: Least similarity, in percent.
 PERCENT = 75
 #: Rows of one block of a bucket in the comparison of sketches.
-BLOCK = 1024
+BLOCK = 512
 #: Rows of one key from which they are looked up in a broadcast table instead of being shuffled.
 HOT = 512
 #: Shingles that one run of a group's rows holds in the comparison of full sets.
