@@ -251,3 +251,31 @@ def derivation_differences(persisted: DataFrame, rebuilt: DataFrame, key: list[s
     both = side(persisted, "p").join(side(rebuilt, "r"), key, "full_outer")
     problem = F.when(F.col("p").isNull(), "not_persisted").when(F.col("r").isNull(), "not_derived").when(~F.col("p").eqNullSafe(F.col("r")), "differs")
     return both.select(*key, problem.alias("problem")).where("problem is not null")
+
+
+# Roles of teaching examples.
+TEACHING_ROLES = ("paired_problem", "worked_example")
+
+
+def teaching_examples(examples: DataFrame) -> DataFrame:
+    """Teaching examples (workspace, id, role, chapter, phase, question, source_file, answer_file) that can't be reached chapter by chapter.
+
+    An example needs a stable id of its own, a known role, a chapter or phase that is a number (and
+    the same one where both are given), a question, and paths that stay inside.
+    """
+    from lyceum.functions.text import chapter_key
+    from lyceum.operators.constraints import stable_id_problem, unsafe_path
+
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    number = lambda c: F.when(given(c), chapter_key(F.col(c), allow_phase=True).try_cast("int"))
+    positive = lambda c: F.when(number(c) >= 1, number(c))
+    rows = examples.withColumn("times", F.count("*").over(Window.partitionBy("workspace", "id"))).withColumn("_c", positive("chapter")).withColumn("_p", positive("phase"))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    sound = stable_id_problem(F.col("id")).isNull()
+    scoped = given("chapter") | given("phase")
+    return _each(rows, F.coalesce("id", F.lit("")), [
+        ("id_unstable", "error", ~sound), ("id_repeated", "error", sound & (F.col("times") > 1)), ("role_unknown", "error", ~F.coalesce(F.col("role").isin(*TEACHING_ROLES), F.lit(False))),
+        ("chapter_not_a_number", "error", given("chapter") & F.col("_c").isNull()), ("phase_not_a_number", "error", given("phase") & F.col("_p").isNull()), ("scope_missing", "error", ~scoped),
+        ("scope_conflict", "error", F.col("_c") != F.col("_p")), ("question_missing", "error", blank("question")), ("source_missing", "error", blank("source_file")),
+        ("source_unsafe", "error", ~blank("source_file") & unsafe_path(F.col("source_file"))), ("answer_source_unsafe", "error", F.col("answer_file").isNotNull() & (blank("answer_file") | unsafe_path(F.col("answer_file")))),
+    ])

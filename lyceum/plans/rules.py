@@ -170,6 +170,18 @@ def fact_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _said(v.fact_graph(candidates, members, conflicts))
 
 
+def teaching_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as teaching examples with all sorts of scopes and paths."""
+    p = F.col("p_partkey")
+    size = F.col("p_size").cast("string")
+    examples = _t(spark, sf_dir, "part").select(
+        (p % 6).alias("workspace"), F.when(p % 101 == 0, " pad").when(p % 97 == 0, F.lit("same")).otherwise(p.cast("string")).alias("id"), _pick(("paired_problem", "worked_example", "worked_example", "lecture", None), p).alias("role"),
+        F.when(p % 5 == 0, F.lit(None)).when(p % 7 == 0, "intro").when(p % 11 == 0, "0").otherwise(F.concat(F.lit("ch"), size)).alias("chapter"), F.when(p % 3 == 0, F.concat(F.lit("phase "), F.when(p % 9 == 0, "12").otherwise(size))).when(p % 13 == 0, "x").alias("phase"),
+        F.when(p % 17 == 0, " ").otherwise(F.col("p_name")).alias("question"), F.when(p % 19 == 0, "../out.pdf").when(p % 23 != 0, "lec/a.pdf").alias("source_file"), F.when(p % 29 == 0, "").when(p % 31 == 0, "C:x").when(p % 2 == 0, "b.pdf").alias("answer_file"),
+    )
+    return v.counted(v.teaching_examples(examples))
+
+
 def derivation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders' sums that were persisted, some of them tampered with, against their derivation."""
     rebuilt = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("s"))
@@ -179,7 +191,7 @@ def derivation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.derivation_differences(kept.unionByName(more), rebuilt, ["l_orderkey"], ["n", "s"]).groupBy("problem").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_key"))
 
 
-QUERIES = {f.__name__: f for f in (evaluation_rules, fact_rules, derivation_rules, structure_rules, index_rules, wiki_rules, raw_math_rules, roster_rules, progress_rules, state_rules, cheat_sheet_rules, page_record_rules, adapters)}
+QUERIES = {f.__name__: f for f in (evaluation_rules, fact_rules, teaching_rules, derivation_rules, structure_rules, index_rules, wiki_rules, raw_math_rules, roster_rules, progress_rules, state_rules, cheat_sheet_rules, page_record_rules, adapters)}
 
 _PLAN_SQL = """
 pl as (select c_custkey as workspace, unnest([c_custkey % 3 + 1, c_custkey % 4 + 3, 2]) as phase from customer where c_custkey % 8 <> 0), ph as (select workspace, list(distinct phase) as phases from pl group by 1)
@@ -278,5 +290,13 @@ select rule, count(*) as n, min(key) as first_key from q group by 1
     "derivation_rules": """
 with d as (select l_orderkey as k from lineitem group by 1), r as (select 'not_persisted' as problem, k from d where k % 17 = 0 union all select 'differs', k from d where k % 17 <> 0 and k % 19 = 0 union all select 'not_derived', k + 100000000 from d where k % 17 <> 0 and k % 23 = 0)
 select problem, count(*) as n, min(k) as first_key from r group by 1
+""",
+    "teaching_rules": f"""
+with t as (select p_partkey as p, p_partkey % 6 as workspace, case when p_partkey % 101 = 0 then ' pad' when p_partkey % 97 = 0 then 'same' else p_partkey::varchar end as id, p_partkey % 5 = 0 as no_chapter,
+  case when p_partkey % 5 = 0 or p_partkey % 7 = 0 or p_partkey % 11 = 0 or p_size < 1 then null else p_size end as c, case when p_partkey % 3 = 0 then case when p_partkey % 9 = 0 then 12 when p_size >= 1 then p_size end end as ph, p_partkey % 3 = 0 or p_partkey % 13 = 0 as has_phase from part),
+u as (select *, count(*) over (partition by workspace, id) as times from t),
+r as (select workspace, id as key, 'error' as level, unnest(list_filter([case when id = ' pad' then 'id_unstable' end, case when id <> ' pad' and times > 1 then 'id_repeated' end, case when p % 5 in (3, 4) then 'role_unknown' end, case when not no_chapter and c is null then 'chapter_not_a_number' end,
+  case when has_phase and ph is null then 'phase_not_a_number' end, case when no_chapter and not has_phase then 'scope_missing' end, case when c <> ph then 'scope_conflict' end, case when p % 17 = 0 then 'question_missing' end, case when p % 23 = 0 and p % 19 <> 0 then 'source_missing' end,
+  case when p % 19 = 0 then 'source_unsafe' end, case when p % 29 = 0 or p % 31 = 0 then 'answer_source_unsafe' end], lambda x: x is not null)) as rule from u) {_COUNTED}
 """,
 }

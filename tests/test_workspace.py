@@ -156,3 +156,11 @@ def test_cheat_sheet_links(spark):
 def test_adapters(spark, name, backend, want):
     r = spark.createDataFrame([(name, backend)], "n string, b boolean").select(validators.adapter(F.col("n"), F.col("b")).alias("a")).first().a
     assert (r.adapter, r.problem) == want
+
+
+def test_teaching_examples_need_one_scope(spark):
+    rows = [(1, "a", "worked_example", "ch3", "phase 3", "q", "f.pdf", None), (1, "b", "worked_example", "3", "4", "q", "f.pdf", None), (1, "c", "x", None, "", " ", "/abs", " "), (1, "d", "paired_problem", "intro", None, "q", None, "ok.pdf"), (1, None, "paired_problem", "1", None, "q", "f", None)]
+    df = spark.createDataFrame(rows, "workspace int, id string, role string, chapter string, phase string, question string, source_file string, answer_file string")
+    assert rules(validators.teaching_examples(df)) == [
+        ("answer_source_unsafe", "c"), ("chapter_not_a_number", "d"), ("id_unstable", ""), ("question_missing", "c"), ("role_unknown", "c"), ("scope_conflict", "b"), ("scope_missing", "c"), ("source_missing", "d"), ("source_unsafe", "c"),
+    ]
