@@ -93,6 +93,40 @@ def test_near_pairs_match_all_pairs(spark):
     assert got[(0, n)] == ("exact", 1_000_000) and got[(n + 2, n + 3)] == ("exact", 1_000_000) and got[(0, n + 1)] == ("near", 1_000_000)
 
 
+def test_near_pairs_meet_across_tiles_parts_and_bins(spark, monkeypatch):
+    import random
+
+    for name, value in (("TILE", 4000), ("COUNTED", 900), ("STRIP", 16), ("COLUMNS", 3), ("BROADCAST_ROWS", 0)):
+        monkeypatch.setattr(duplicates, name, value)
+    rng = random.Random(9)
+    syllables = "the of er in re an on ou ha st".split()
+    base = ["".join(rng.choice(syllables) + " " * rng.randrange(2) for _ in range(n)).strip() for n in (12, 95, 100, 105, 110, 115, 200, 210, 220, 700) for _ in range(3)] + ["ab" * 400, "ab" * 410]
+    texts = list(base)
+    for b in base:
+        texts += [b + " " + b[: len(b) // k] for k in (6, 9, 40)] + [b[: len(b) // 2] + "\U0001f600é" + b[len(b) // 2 :]]
+    rows = [(f"u{i:03d}", "kl"[i % 7 == 0], x) for i, x in enumerate(texts)] + [("u998", None, base[5]), ("u999", "k", None)]
+    units = spark.createDataFrame(rows, "unit_id string, block string, text string")
+    got = sorted((r.block, r.left_id, r.right_id, r.score_ppm) for r in duplicates.near_pairs(units, "block").collect() if r.score_ppm < 1_000_000)
+    first = {}
+    for u, b, x in rows:
+        if b and x and len(" ".join(x.split())) >= 24:
+            first.setdefault((b, " ".join(x.split())), u)
+    norm = [(u, b, x) for (b, x), u in first.items()]
+    want = [(b, u, v, dice(x, y)) for k, (u, b, x) in enumerate(norm) for v, c, y in norm[k + 1 :] if b == c]
+    assert got == sorted(w for w in want if 920_000 <= w[3] < 1_000_000) and len(got) > 60
+
+
+def test_unrelated_texts_of_few_trigrams_are_no_candidates(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("the of er in re an on ou ha st nd".split()) + " " * rng.randrange(2) for _ in range(rng.randrange(500, 600))) for _ in range(40)]
+    sides = [(0, 2, "k", i, str(i), len(x) - 2, 256, duplicates._sketch(duplicates._gram_codes(x), 256)) for i, x in enumerate([*texts, texts[3] + " the end"])]
+    df = spark.createDataFrame(sides, "tp long, side int, block string, unit_id long, digest string, n long, bins int, sketch binary")
+    out = duplicates._candidates(duplicates.THRESHOLD)(df.toArrow()).to_pylist()
+    assert sorted(r["unit_id"] for r in out) == [3, 40]
+
+
 def test_conflicts_need_two_sources(spark):
     units = spark.createDataFrame([(1, "a", "It is 5 always", "text"), (2, "b", "It is 6 always", "text"), (3, "a", "It is 5 never", "text")], "unit_id long, source string, text string, kind string")
     pairs = spark.createDataFrame([(1, 2, "near", 950_000), (1, 3, "near", 950_000)], "left_id long, right_id long, match_kind string, score_ppm long")
@@ -100,6 +134,24 @@ def test_conflicts_need_two_sources(spark):
     assert [(r.left_id, r.right_id, r.kind, r.preferred) for r in got] == [(1, 2, "numeric_mismatch", 2)]
 
 
+def test_conflicts_go_by_the_left_side_s_kind_and_carry_no_texts(spark):
+    rows = [(1, "a", "x + 1", "formula"), (2, "b", "x - 1", "text"), (3, "b", "X + 1", "answer"), (4, "a", None, "answer"), (5, None, "x + 1", None), (6, "a", "x  + 1", "text")]
+    units = spark.createDataFrame(rows, "unit_id long, source string, text string, kind string")
+    pairs = spark.createDataFrame([(a, b, "exact", 1_000_000) for a in range(1, 7) for b in range(1, 7) if a != b], "left_id long, right_id long, match_kind string, score_ppm long")
+    out = duplicates.conflicts(pairs, units)
+    got = {(r.left_id, r.right_id): list(r.signals) for r in out.collect()}
+    source, text, kind = ({r[0]: r[k] for r in rows} for k in (1, 2, 3))
+    want = {}
+    for a, b in ((a, b) for a in source for b in source if source[a] != source[b]):
+        found = ["answer_mismatch"] * (kind[a] == "answer" and " ".join((text[a] or "").split()).lower() != " ".join((text[b] or "").split()).lower())
+        found += ["numeric_mismatch"] * ((text[a] or "")[-1:] != (text[b] or "")[-1:])
+        found += ["formula_mismatch"] * (kind[a] == "formula" and (text[a] or "").split() != (text[b] or "").split())
+        want.update({(a, b): found} if found else {})
+    assert got == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan
+
+
 def test_labels_are_no_numbers(spark):
     df = spark.createDataFrame([("Theorem 7.8: there are 3 of -2.5e3",)], "t string")
     assert df.select(duplicates.numeric_tokens(F.col("t"))).first()[0] == ["3", "-2.5e3"]
