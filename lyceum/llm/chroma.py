@@ -28,6 +28,8 @@ RATE, FRAME, SPAN, MATCH = 2000, 512, 8, 0.25
 APART = (3, 4, 5)
 #: Every how many ids one is a query.
 EVERY = 20
+#: Recordings of a batch that leaves the renderer.
+SOUNDS = 128
 #: Type of the list of a class's matches.
 LINKS = "array<struct<match_id: long, offset: long, bit_error: double>>"
 
@@ -100,7 +102,7 @@ def recordings(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedd
     """(rec_id, pcm): each vector as a recording, the media column that the query works on; null and empty vectors have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, SOUNDS) for b in batches for k in range(0, b.num_rows, SOUNDS)):
             sound = []
             for x in batch.column("vector"):
                 v = np.nan_to_num(np.array([y if y is not None else 0.0 for y in x.as_py() or []], np.float64), posinf=9, neginf=-9)

@@ -24,7 +24,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, and of the margin at its edges that a neighbouring window decides.
 WINDOW, MARGIN = 384, 20
 #: Characters of the texts that one pass scores; a longer single text is a pass of its own.
-PASS_CHARS = 1 << 21
+PASS_CHARS = 1 << 19
 #: Hidden units each way, training batches, windows in a batch, characters of a training window, seed.
 HIDDEN, BATCHES, BATCH, LEARNED, SEED = 16, 240, 64, 112, 20240607
 
@@ -251,12 +251,14 @@ class Tagger:
         """Scores [character, tag] of each window of symbols; the windows do not see each other."""
         order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
         sizes = np.array([len(pieces[k]) for k in order])
-        x, back = np.full((2, sizes[0], len(pieces)), _PAD, np.int32)
+        x = np.full((sizes[0], 2, len(pieces)), _PAD, np.int32)
         for r, k in enumerate(order):
-            x[: sizes[r], r], back[: sizes[r], r] = pieces[k], pieces[k][::-1]
+            x[: sizes[r], 0, r], x[: sizes[r], 1, r] = pieces[k], pieces[k][::-1]
         alive = (sizes[None, :] > np.arange(sizes[0])[:, None]).sum(1)
-        ahead = _run(x, alive, self.p["xf"], self.p["uf"]) @ self.p["w"][:HIDDEN] + self.p["b"]
-        behind = _run(back, alive, self.p["xb"], self.p["ub"]) @ self.p["w"][HIDDEN:]
+        states = _run(x, alive, (self.p["xf"], self.p["xb"]), (self.p["uf"], self.p["ub"]))
+        half = self.p["w"].reshape(2, HIDDEN, _TAGS) * np.float32(0.5)
+        ahead, behind = (np.matmul(states[way].reshape(-1, HIDDEN), half[way]).reshape(*states.shape[1:3], _TAGS) for way in range(2))
+        ahead += self.p["b"]
         out: list[np.ndarray] = [ahead[:0, 0]] * len(pieces)
         for r, k in enumerate(order):
             out[k] = ahead[: sizes[r], r] + behind[: sizes[r], r][::-1]
@@ -272,7 +274,8 @@ class Tagger:
         """
         t, inner = self.p["trans"].astype(np.float64), self.p["trans"][1:, 1:].max()
         ends = max((t[0, 1:] - t[0, 0]).max(), (self.p["first"][1:] - self.p["first"][0]).max()) + max((t[1:, 0] - t[0, 0]).max(), 0) + t[0, 0] - inner
-        gain = (e[:, 1:].max(1) - e[:, 0]).astype(np.float64) + inner - t[0, 0]
+        most = np.maximum.reduce([e[:, k] for k in range(1, _TAGS)])
+        gain = (most - e[:, 0]).astype(np.float64) + inner - t[0, 0]
         # A wall before each text keeps runs inside it.
         walls = np.insert(gain, base[:-1], -1e6)
         sums = np.cumsum(walls)
@@ -320,26 +323,42 @@ class Tagger:
         return out
 
 
-def _run(x: np.ndarray, alive: np.ndarray, inputs: np.ndarray, hidden: np.ndarray) -> np.ndarray:
-    """States [time, row, unit] of an LSTM over symbols [time, row]; the rows are sorted by length and `alive` of them last until a step."""
+def _run(x: np.ndarray, alive: np.ndarray, inputs: tuple[np.ndarray, np.ndarray], hidden: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Twice the states [way, time, row, unit] of both LSTMs over symbols [time, way, row]; the rows are sorted by length and `alive` of them last until a step.
+
+    Gates lie apart [gate, way, row, unit], so that every step works on whole blocks. As sigmoid(z) is
+    (tanh(z / 2) + 1) / 2, one tanh serves all gates, and cells and states are kept doubled; scaling by
+    powers of two changes no digit.
+    """
     scale = np.full(4 * HIDDEN, 0.5, np.float32)
-    scale[3 * HIDDEN :] = 1  # sigmoid(z) = tanh(z / 2) / 2 + 1 / 2, so that one tanh serves all gates
-    inputs, hidden = (inputs * scale).astype(np.float32), (hidden * scale).astype(np.float32)
-    h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
-    out = np.zeros((*x.shape, HIDDEN), np.float32)
-    z, half = np.empty((x.shape[1], 4 * HIDDEN), np.float32), np.float32(0.5)
-    for t in range(len(x)):
-        n = alive[t]
-        z = z[:n]
-        np.matmul(h[:n], hidden, out=z)
-        z += inputs.take(x[t, :n], axis=0)
+    scale[3 * HIDDEN :] = 1
+    # [gate, symbol of a way, unit] and [gate, way, unit before, unit]
+    table = np.ascontiguousarray((np.concatenate(inputs) * scale).astype(np.float32).reshape(-1, 4, HIDDEN).swapaxes(0, 1))
+    weights = np.ascontiguousarray((np.stack(hidden) * scale * np.float32(0.5)).astype(np.float32).reshape(2, HIDDEN, 4, HIDDEN).transpose(2, 0, 1, 3))
+    x = x.astype(np.intp) + np.array([[0], [len(inputs[0])]])
+    steps, _, rows = x.shape
+    out, half, one = np.zeros((2, steps, rows, HIDDEN), np.float32), np.float32(0.5), np.float32(1)
+    h = c = np.zeros((2, rows, HIDDEN), np.float32)
+    z = np.empty((4, 2, rows, HIDDEN), np.float32)
+    added, n = np.empty_like(z), rows
+    for t in range(steps):
+        if alive[t] < n:
+            n = alive[t]
+            z, added, c = np.empty((4, 2, n, HIDDEN), np.float32), np.empty((4, 2, n, HIDDEN), np.float32), np.ascontiguousarray(c[:, :n])
+        np.matmul(h[:, :n], weights, out=z)
+        table.take(x[t, :, :n], axis=1, out=added, mode="clip")
+        z += added
         np.tanh(z, out=z)
-        i, f, o = (z[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
-        c = (f * half + half) * c[:n]
-        c += (i * half + half) * z[:, 3 * HIDDEN :]
-        h = out[t, :n]
-        np.tanh(c, out=h)
-        h *= o * half + half
+        z[:3] += one
+        i, f, o, new = z
+        c *= half
+        c *= f
+        i *= new
+        c += i
+        h = out[:, t, :n]
+        np.multiply(c, half, out=i)
+        np.tanh(i, out=h)
+        h *= o
     return out
 
 

@@ -161,6 +161,26 @@ def test_tagger_learns_and_adds_disguised_spans():
     assert pii.find(model, ['version 3.0, token = "0123456789abcdef0123456789abcdef01234567", year 1999'])[0] == ([], [])
 
 
+def test_both_directions_run_together_as_a_plain_network():
+    model = pii.Tagger(5)
+    rng = np.random.default_rng(2)
+    pieces = [rng.integers(0, 130, n).astype(np.int32) for n in (7, 40, 1, 40, 23)]
+    for piece, got in zip(pieces, model.scores(pieces), strict=True):
+        states = model.states(piece[:, None])[0][:, 0]
+        assert np.allclose(got, states @ model.p["w"] + model.p["b"], atol=1e-5)
+
+
+def test_batches_of_whole_texts_and_recordings_are_bounded_by_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    vectors = spark.createDataFrame([(i, [float(i % 7 - 3), 1.0] * 32) for i in range(600)], "vec_id long, embedding array<double>").coalesce(1)
+    media = chroma.recordings(vectors)
+    assert max(r.n for r in media.mapInArrow(sizes, "n long").collect()) < 10 << 20
+    assert media.where("pcm is not null").count() == 600
+
+
 def test_decoding_finds_the_best_of_all_paths():
     rng = np.random.default_rng(21)
     for k in range(60):
