@@ -25,6 +25,10 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, MARGIN = 384, 20
 #: Characters of the texts that one pass scores; a longer single text is a pass of its own.
 PASS_CHARS = 1 << 19
+#: Steps of the network whose states are kept at once.
+STEPS = 32
+#: Characters of a stretch that are decoded one after another.
+BLOCK = 64
 #: Hidden units each way, training batches, windows in a batch, characters of a training window, seed.
 HIDDEN, BATCHES, BATCH, LEARNED, SEED = 16, 240, 64, 112, 20240607
 
@@ -247,22 +251,26 @@ class Tagger:
             np.add.at(g["x" + way], sym.ravel(), dz.reshape(-1, 4 * HIDDEN))
         return float((z - gold).sum() * scale), {k: v * scale for k, v in g.items()}
 
-    def scores(self, pieces: list[np.ndarray]) -> list[np.ndarray]:
-        """Scores [character, tag] of each window of symbols; the windows do not see each other."""
-        order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
-        sizes = np.array([len(pieces[k]) for k in order])
-        x = np.full((sizes[0], 2, len(pieces)), _PAD, np.int32)
-        for r, k in enumerate(order):
-            x[: sizes[r], 0, r], x[: sizes[r], 1, r] = pieces[k], pieces[k][::-1]
-        alive = (sizes[None, :] > np.arange(sizes[0])[:, None]).sum(1)
-        states = _run(x, alive, (self.p["xf"], self.p["xb"]), (self.p["uf"], self.p["ub"]))
-        half = self.p["w"].reshape(2, HIDDEN, _TAGS) * np.float32(0.5)
-        ahead, behind = (np.matmul(states[way].reshape(-1, HIDDEN), half[way]).reshape(*states.shape[1:3], _TAGS) for way in range(2))
-        ahead += self.p["b"]
-        out: list[np.ndarray] = [ahead[:0, 0]] * len(pieces)
-        for r, k in enumerate(order):
-            out[k] = ahead[: sizes[r], r] + behind[: sizes[r], r][::-1]
-        return out
+    def scores(self, pieces: list[np.ndarray], kept: list[tuple[int, int]] | None = None) -> list[np.ndarray]:
+        """Scores [character, tag] of the `kept` places (all, if not given) of each window of symbols; the windows do not see each other.
+
+        What lies behind the last kept place matters to the way back only, and what lies before the
+        first to the way ahead only, so that neither runs over a margin that it does not warm up on.
+        """
+        kept = kept or [(0, len(p)) for p in pieces]
+        runs = [[p[:b] for p, (_, b) in zip(pieces, kept, strict=True)], [p[a:][::-1] for p, (a, _) in zip(pieces, kept, strict=True)]]
+        sizes = np.array([[len(p) for p in way] for way in runs])
+        order = np.argsort(-sizes, axis=1, kind="stable")
+        steps = int(sizes.max())
+        x = np.full((steps, 2, len(pieces)), _PAD, np.int32)
+        for way in range(2):
+            for r, k in enumerate(order[way]):
+                x[: sizes[way, k], way, r] = runs[way][k]
+        alive = (sizes[:, :, None] > np.arange(steps)).sum(1).max(0)
+        found = _run(x, alive, (self.p["xf"], self.p["xb"]), (self.p["uf"], self.p["ub"]), self.p["w"].reshape(2, HIDDEN, _TAGS))
+        found[0] += self.p["b"]
+        row = np.argsort(order, axis=1)
+        return [found[0, row[0, k], a:b] + found[1, row[1, k], len(p) - b : len(p) - a][::-1] for k, (p, (a, b)) in enumerate(zip(pieces, kept, strict=True))]
 
     def doubtful(self, e: np.ndarray, base: np.ndarray) -> np.ndarray:
         """Places that the best path may tag; e [character, tag] are the scores of texts that begin at `base`.
@@ -297,68 +305,110 @@ class Tagger:
         return place, self.decoded(e[place], sizes, place[new] == base[owner[new]], place[ends] + 1 == base[owner[ends] + 1])
 
     def decoded(self, e: np.ndarray, sizes: np.ndarray, opening: np.ndarray, closing: np.ndarray) -> np.ndarray:
-        """Best tags of consecutive stretches of `sizes` characters; a stretch that opens or closes a text has no untagged neighbour there."""
+        """Best tags of consecutive stretches of `sizes` characters; a stretch that opens or closes a text has no untagged neighbour there.
+
+        A long stretch is cut into blocks. Each block but the first has a best path for every tag
+        before it, and the best of the whole stretch is chosen from these, block by block.
+        """
+        trans, parts = self.p["trans"], -(-sizes // BLOCK)
+        owner, block_0 = np.repeat(np.arange(len(sizes)), parts), np.cumsum(parts) - parts
+        part = np.arange(len(owner)) - block_0[owner]
+        n, at = np.minimum(sizes[owner] - part * BLOCK, BLOCK), (np.cumsum(sizes) - sizes)[owner] + part * BLOCK
+        # A column is a block with a tag before it; columns are kept by falling length.
+        ways = np.where(part, _TAGS, 1)
+        column_0, block = np.cumsum(ways) - ways, np.repeat(np.arange(len(n)), ways)
+        before = np.arange(len(block)) - column_0[block]
+        order = np.argsort(-n[block], kind="stable")
+        block, before, place = block[order], before[order], np.argsort(order)
+        long, first = n[block], at[block]
+        alive = np.searchsorted(-long, -np.arange(long[0]))
+        by_tag = np.ascontiguousarray(e.T)
+        best = by_tag[:, first] + np.where((part[block] == 0) & opening[owner[block]], self.p["first"][:, None], trans[before].T)
+        bests, last = [best], best.copy()
+        for t in range(1, long[0]):
+            m = alive[t]
+            best = (best[:, None, :m] + trans[:, :, None]).max(0)
+            best += by_tag.take(first[:m] + t, axis=1)
+            last[:, :m] = best
+            bests.append(best)
+        # The column that each block's best path takes, and the tag at its end.
+        ends, column = np.where(closing, np.float32(0), trans[:, :1]), place[column_0]
+        tag = (last[:, column] + ends[:, owner]).argmax(0)
+        for k in np.flatnonzero(parts > 1):
+            blocks = range(block_0[k], block_0[k] + parts[k])
+            total, choices = last[:, column[blocks[0]]].astype(np.float64), []
+            for b in blocks[1:]:
+                both = total[:, None] + last[:, place[column_0[b] : column_0[b] + _TAGS]].T
+                choices.append(both.argmax(0))
+                total = both.max(0)
+            end = int((total + ends[:, k]).argmax())
+            for b, choice in zip(reversed(blocks), reversed(choices), strict=False):
+                tag[b], end = end, int(choice[end])
+                column[b] = place[column_0[b] + end]
+            tag[blocks[0]] = end
+        by_length = np.argsort(column)
+        tag, column, n, at = tag[by_length], column[by_length], n[by_length], at[by_length]
         out = np.zeros(len(e), np.int8)
-        first = np.cumsum(sizes) - sizes
-        trans, kinds = self.p["trans"], np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)
-        for kind in np.unique(kinds):
-            group = np.flatnonzero(kinds == kind)
-            group = group[np.argsort(-sizes[group], kind="stable")]
-            n, at = sizes[group], first[group]
-            back = np.empty((n[0], len(group), _TAGS), np.int8)
-            best = e[at] + np.where(opening[group][:, None], self.p["first"], trans[0])
-            last = best.copy()
-            for t in range(1, n[0]):
-                m = int((n > t).sum())
-                step = best[:m, :, None] + trans
-                back[t, :m] = step.argmax(1)
-                best = step.max(1) + e[at[:m] + t]
-                last[:m] = best
-            tag = (last + np.where(closing[group][:, None], 0, trans[:, 0])).argmax(1).astype(np.int8)
-            out[at + n - 1] = tag
-            for t in range(n[0] - 1, 0, -1):
-                m = int((n > t).sum())
-                tag[:m] = back[t, np.arange(m), tag[:m]]
-                out[at[:m] + t - 1] = tag[:m]
+        out[at + n - 1] = tag
+        alive = np.searchsorted(-n, -np.arange(n[0]))
+        for t in range(n[0] - 1, 0, -1):
+            m = alive[t]
+            tag[:m] = (bests[t - 1].take(column[:m], axis=1) + trans[:, tag[:m]]).argmax(0)
+            out[at[:m] + t - 1] = tag[:m]
         return out
 
 
-def _run(x: np.ndarray, alive: np.ndarray, inputs: tuple[np.ndarray, np.ndarray], hidden: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Twice the states [way, time, row, unit] of both LSTMs over symbols [time, way, row]; the rows are sorted by length and `alive` of them last until a step.
+def _run(x: np.ndarray, alive: np.ndarray, inputs: tuple[np.ndarray, np.ndarray], hidden: tuple[np.ndarray, np.ndarray], heads: np.ndarray) -> np.ndarray:
+    """What the states of both LSTMs add to the scores [way, row, time, tag] by `heads` [way, unit, tag], over symbols [time, way, row].
 
-    Gates lie apart [gate, way, row, unit], so that every step works on whole blocks. As sigmoid(z) is
-    (tanh(z / 2) + 1) / 2, one tanh serves all gates, and cells and states are kept doubled; scaling by
-    powers of two changes no digit.
+    The rows of a way are sorted by length, and at most `alive` of them last until a step; what lies
+    behind the end of a row means nothing. Gates lie apart [gate, way, row, unit], so that every step
+    works on whole blocks. As sigmoid(z) is 1 / (1 + exp(-z)) and tanh(z) is 2 * sigmoid(2 * z) - 1,
+    exponentials serve all gates, which numpy computes faster than tanh; to multiply by a gate is to
+    divide by 1 + exp(-z), and one that overflows closes the gate. Cells are kept times -2 and states
+    are halved; scaling by powers of two changes no digit.
     """
-    scale = np.full(4 * HIDDEN, 0.5, np.float32)
-    scale[3 * HIDDEN :] = 1
+    scale = np.full(4 * HIDDEN, -1, np.float32)
+    scale[3 * HIDDEN :] = -2
     # [gate, symbol of a way, unit] and [gate, way, unit before, unit]
     table = np.ascontiguousarray((np.concatenate(inputs) * scale).astype(np.float32).reshape(-1, 4, HIDDEN).swapaxes(0, 1))
-    weights = np.ascontiguousarray((np.stack(hidden) * scale * np.float32(0.5)).astype(np.float32).reshape(2, HIDDEN, 4, HIDDEN).transpose(2, 0, 1, 3))
+    weights = np.ascontiguousarray((np.stack(hidden) * scale * np.float32(2)).astype(np.float32).reshape(2, HIDDEN, 4, HIDDEN).transpose(2, 0, 1, 3))
+    heads = (heads * np.float32(2)).astype(np.float32)
     x = x.astype(np.intp) + np.array([[0], [len(inputs[0])]])
     steps, _, rows = x.shape
-    out, half, one = np.zeros((2, steps, rows, HIDDEN), np.float32), np.float32(0.5), np.float32(1)
+    half, one, four = np.float32(0.5), np.float32(1), np.float32(-4)
+    out = np.empty((2, rows, steps, heads.shape[2]), np.float32)
+    states = np.zeros((2, STEPS, rows, HIDDEN), np.float32)
+    room = np.empty((2, 4 * 2 * rows * HIDDEN), np.float32)
     h = c = np.zeros((2, rows, HIDDEN), np.float32)
-    z = np.empty((4, 2, rows, HIDDEN), np.float32)
-    added, n = np.empty_like(z), rows
-    for t in range(steps):
-        if alive[t] < n:
-            n = alive[t]
-            z, added, c = np.empty((4, 2, n, HIDDEN), np.float32), np.empty((4, 2, n, HIDDEN), np.float32), np.ascontiguousarray(c[:, :n])
-        np.matmul(h[:, :n], weights, out=z)
-        table.take(x[t, :, :n], axis=1, out=added, mode="clip")
-        z += added
-        np.tanh(z, out=z)
-        z[:3] += one
-        i, f, o, new = z
-        c *= half
-        c *= f
-        i *= new
-        c += i
-        h = out[:, t, :n]
-        np.multiply(c, half, out=i)
-        np.tanh(i, out=h)
-        h *= o
+    n = 0
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            if alive[t] != n:
+                n = alive[t]
+                z, added = room[:, : 4 * 2 * n * HIDDEN].reshape(2, 4, 2, n, HIDDEN)
+                i, f, o, new = z
+                c = np.ascontiguousarray(c[:, :n])
+            np.matmul(h[:, :n], weights, out=z)
+            table.take(x[t, :, :n], axis=1, out=added, mode="clip")
+            z += added
+            np.exp(z, out=z)
+            z += one
+            np.reciprocal(new, out=new)
+            new -= half
+            new *= four
+            new /= i
+            c /= f
+            c += new
+            np.exp(c, out=i)
+            i += one
+            h = states[:, t % STEPS, :n]
+            np.reciprocal(i, out=h)
+            h -= half
+            h /= o
+            if (t + 1) % STEPS == 0 or t + 1 == steps:
+                k = t % STEPS + 1
+                out[:, :, t + 1 - k : t + 1] = np.matmul(states[:, :k].reshape(2, k * rows, HIDDEN), heads).reshape(2, k, rows, -1).swapaxes(1, 2)
     return out
 
 
@@ -430,8 +480,8 @@ def tags(model: Tagger, texts: list[str], chunk: int = 512) -> list[tuple[np.nda
     wanted: list[tuple[int, int, int]] = []  # place of the first decided character, and what is decided in the window
 
     def flush() -> None:
-        for found, (p, a, b) in zip(model.scores(pieces), wanted, strict=True):
-            e[p : p + b - a] = found[a:b]
+        for found, (p, _, _) in zip(model.scores(pieces, [w[1:] for w in wanted]), wanted, strict=True):
+            e[p : p + len(found)] = found
         pieces.clear()
         wanted.clear()
 

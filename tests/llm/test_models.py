@@ -170,6 +170,55 @@ def test_both_directions_run_together_as_a_plain_network():
         assert np.allclose(got, states @ model.p["w"] + model.p["b"], atol=1e-5)
 
 
+def test_margins_are_run_only_where_they_warm_up(monkeypatch):
+    model, rng, steps, run = pii.Tagger(6), np.random.default_rng(8), [], pii._run
+    monkeypatch.setattr(pii, "_run", lambda x, *rest: steps.append(len(x)) or run(x, *rest))
+    pieces = [rng.integers(0, 130, n).astype(np.int32) for n in (90, 90, 50, 33)]
+    kept = [(20, 70), (20, 70), (9, 40), (8, 33)]
+    whole, parts = model.scores(pieces), model.scores(pieces, kept)
+    for all_of_it, part, (a, b) in zip(whole, parts, kept, strict=True):
+        assert np.allclose(part, all_of_it[a:b], atol=1e-6)
+    assert steps == [90, 70]
+    steps.clear()
+    pii.tags(model, ["ab " * 1000])
+    # Every window is run, but none that has a neighbour on both sides needs all its steps both ways.
+    assert steps == [pii.WINDOW]
+    pii.tags(model, ["ab " * 1000], chunk=1)
+    assert sum(steps[2:-1]) == (len(steps) - 3) * (pii.WINDOW - pii.MARGIN)
+
+
+def test_gates_far_from_zero_neither_overflow_nor_lose_their_value():
+    model, rng = pii.Tagger(7), np.random.default_rng(3)
+    for k in ("xf", "xb"):
+        model.p[k] = model.p[k] * np.float32(400)
+    pieces = [rng.integers(0, 130, n).astype(np.int32) for n in (60, 31)]
+    for piece, got in zip(pieces, model.scores(pieces), strict=True):
+        assert np.allclose(got, model.states(piece[:, None])[0][:, 0] @ model.p["w"] + model.p["b"], atol=1e-4)
+
+
+def test_long_stretches_are_decoded_block_by_block(monkeypatch):
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    rng = np.random.default_rng(22)
+    for k in range(60):
+        model = pii.Tagger(k)
+        model.p["trans"] = (rng.normal(0, 2, (5, 5)) + np.eye(5)).astype(np.float32)
+        model.p["first"] = rng.normal(0, 2, 5).astype(np.float32)
+        sizes = rng.integers(1, 20, 5)
+        e = rng.normal(0, 2, (sizes.sum(), 5)).astype(np.float32)
+        opening, closing = rng.random(5) < 0.5, rng.random(5) < 0.5
+        got, at = model.decoded(e, sizes, opening, closing), 0
+        for n, opens, closes in zip(sizes, opening, closing, strict=True):
+            def score(path, at=at, opens=opens, closes=closes, model=model, e=e):
+                ends = (model.p["first"] if opens else model.p["trans"][0])[path[0]] + (0 if closes else model.p["trans"][path[-1], 0])
+                return ends + sum(e[at + i, x] for i, x in enumerate(path)) + sum(model.p["trans"][x, y] for x, y in zip(path, path[1:]))
+
+            best = (model.p["first"] if opens else model.p["trans"][0]) + e[at].astype(float)
+            for x in e[at + 1 : at + n]:
+                best = (best[:, None] + model.p["trans"]).max(0) + x
+            assert score(got[at : at + n]) == pytest.approx((best + (0 if closes else model.p["trans"][:, 0])).max(), abs=1e-4)
+            at += n
+
+
 def test_batches_of_whole_texts_and_recordings_are_bounded_by_bytes(spark):
     def sizes(batches):
         for batch in batches:
