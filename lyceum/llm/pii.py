@@ -448,17 +448,18 @@ def trained(batches: int = BATCHES, seed: int = SEED) -> Tagger:
 
 
 def _plausible(kind: int, piece: str) -> bool:
-    digits = "".join(_DIGITS.findall(piece))
-    letters = any(c.isalpha() for c in piece)
     if kind == 0:
         at = _AT.search(piece)
         return bool(at) and any(c.isalpha() for c in piece[: at.start()]) and any(c.isalpha() for c in piece[at.end() :]) and len(piece) >= 6 and bool(re.search(r"\.|dot", piece[at.end() :]))
+    if any(c.isalpha() for c in piece):
+        return False
     if kind == 1:
         parts = re.findall("[0-9]+", piece)
-        return not letters and len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    digits = "".join(_DIGITS.findall(piece))
     if kind == 2:
-        return not letters and 14 <= len(digits) <= 19 and luhn(digits)
-    return not letters and 10 <= len(digits) <= 15 and len(piece) <= 2 * len(digits) and any(c in " ().-" for c in piece)
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    return 10 <= len(digits) <= 15 and len(piece) <= 2 * len(digits) and any(c in " ().-" for c in piece)
 
 
 def _windows(n: int) -> Iterator[tuple[int, int, int, int]]:
@@ -472,7 +473,7 @@ def _windows(n: int) -> Iterator[tuple[int, int, int, int]]:
         start += step
 
 
-def tags(model: Tagger, texts: list[str], chunk: int = 512) -> list[tuple[np.ndarray, np.ndarray]]:
+def tags(model: Tagger, texts: list[str], chunk: int = 2048) -> list[tuple[np.ndarray, np.ndarray]]:
     """(places, tags) of the characters of each whole text that may have a tag, by one decoding over the scores of its windows."""
     base = np.cumsum([0, *map(len, texts)])
     e = np.empty((base[-1], _TAGS), np.float32)
@@ -503,31 +504,35 @@ def tags(model: Tagger, texts: list[str], chunk: int = 512) -> list[tuple[np.nda
 def model_spans(model: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """(start, kind number, end) that the tagger finds in each whole text."""
     out: list[list[tuple[int, int, int]]] = []
-    if sum(map(len, texts)) > PASS_CHARS and len(texts) > 1:
-        half = len(texts) // 2
-        return model_spans(model, texts[:half]) + model_spans(model, texts[half:])
-    for text, (place, tag) in zip(texts, tags(model, texts), strict=True):
+    size, cuts = 0, [0]
+    for k, text in enumerate(texts):
+        if size and size + len(text) > PASS_CHARS:
+            cuts.append(k)
+            size = 0
+        size += len(text)
+    tagged = (x for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True) for x in tags(model, texts[a:b]))
+    for text, (place, tag) in zip(texts, tagged, strict=True):
         spans = []
+        place, tag = place[tag > 0], tag[tag > 0]
         change = np.flatnonzero((np.diff(place, prepend=-2) != 1) | (np.diff(tag, prepend=0) != 0))
         for i, j in zip(change, np.append(change[1:], len(place)), strict=False):
-            if tag[i]:
-                start, end = int(place[i]), int(place[j - 1]) + 1
-                piece = text[start:end]
-                start, end = start + len(piece) - len(piece.lstrip(" \n\t.,;:*")), end - (len(piece) - len(piece.rstrip(" \n\t.,;:*(")))
-                if start < end and _plausible(int(tag[i]) - 1, text[start:end]):
-                    spans.append((start, int(tag[i]) - 1, end))
+            start, end = int(place[i]), int(place[j - 1]) + 1
+            piece = text[start:end]
+            start, end = start + len(piece) - len(piece.lstrip(" \n\t.,;:*")), end - (len(piece) - len(piece.rstrip(" \n\t.,;:*(")))
+            if start < end and _plausible(int(tag[i]) - 1, text[start:end]):
+                spans.append((start, int(tag[i]) - 1, end))
         out.append(spans)
     return out
 
 
 def find(model: Tagger, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
-    """(base spans, all spans) of each text."""
-    out = []
-    for text, extra in zip(texts, model_spans(model, texts), strict=True):
+    """(base spans, all spans) of each text; equal texts are judged once."""
+    out, kinds = {}, list(dict.fromkeys(texts))
+    for text, extra in zip(kinds, model_spans(model, kinds), strict=True):
         base = base_spans(text)
         new = [s for s in extra if not any(s[0] < b[2] and b[0] < s[2] for b in base)]
-        out.append((base, sorted({*base, *new})))
-    return out
+        out[text] = base, sorted({*base, *new})
+    return [out[text] for text in texts]
 
 
 def shown(spans: list[tuple[int, int, int]]) -> str:

@@ -196,6 +196,18 @@ def test_gates_far_from_zero_neither_overflow_nor_lose_their_value():
         assert np.allclose(got, model.states(piece[:, None])[0][:, 0] @ model.p["w"] + model.p["b"], atol=1e-4)
 
 
+def test_equal_texts_are_judged_once_and_passes_are_filled(monkeypatch):
+    passes = []
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.int8))
+    monkeypatch.setattr(pii, "PASS_CHARS", 10)
+    monkeypatch.setattr(pii, "tags", lambda model, texts: passes.append(list(texts)) or [empty] * len(texts))
+    texts = ["a@b.cd", "xyz", "a@b.cd", "", "x" * 30, "1.2.3.4", "xyz", "qq"]
+    found = pii.find(None, texts)
+    assert passes == [["a@b.cd", "xyz", ""], ["x" * 30], ["1.2.3.4", "qq"]]
+    assert [base for base, _ in found] == [pii.base_spans(t) for t in texts] == [spans for _, spans in found]
+    assert pii.find(None, []) == []
+
+
 def test_long_stretches_are_decoded_block_by_block(monkeypatch):
     monkeypatch.setattr(pii, "BLOCK", 3)
     rng = np.random.default_rng(22)
